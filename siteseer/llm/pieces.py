@@ -66,7 +66,7 @@ class Model:
 
     def _keys(self, s: str) -> np.ndarray:
         acc = self._prefix(np.array([[ord(c) for c in s]]))
-        return mix(acc[:, -1] + U(len(s)) * U(0xA24BAED4963EE407))
+        return mix(acc[:, -1] + np.array([len(s)], U) * U(0xA24BAED4963EE407))
 
     def merge(self, s: str) -> list[str]:
         """The segmentation by merges: best score first, leftmost among equals."""

@@ -122,4 +122,6 @@ def ablation(led: DataFrame, policy: str = "v1") -> DataFrame:
 
 def reject(docs: DataFrame, policy: str = "v1") -> DataFrame:
     """The documents a policy keeps, with all their columns."""
-    return judge(ledger(docs, carry=True), policy).where("kept").select("row.*")
+    # the draw keeps the optimizer from pushing the filter, and a copy of every measure, below the ledger
+    judged = judge(ledger(docs, carry=True), policy).select("row", "kept", F.rand(0).alias("draw"))
+    return judged.where(F.col("kept") & (F.col("draw") >= 0)).select("row.*")
