@@ -35,31 +35,43 @@ from ._dist import connected_components, lookup_join, power_of_two, stash, text_
 from ._text import LOWER, U, chunks, deltas, doc_of, flat, mix, pack, unpack, windows, words
 
 ORDERS = 3
+#: By how much of a set the prefixes of the first filters are longer than they must be.
+EXTRA = 0.15
 BUCKET_BYTES = 64 << 20
 #: A shingle in more than this share of documents (and 32) counts as common.
 COMMON = 1 / 2000
 #: Members of a candidate group that one task compares.
-BLOCK = 6000
+BLOCK = 2000
 FLUSH = 3 << 20
 
 
 def sets(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of every document, sorted, with offsets."""
     h, wo = words(buf, offs, LOWER)
-    n = np.diff(wo)
     sh, so = windows(h, wo, k)
-    short = np.flatnonzero((n > 0) & (n < k))
-    own = []
-    for i in short.tolist():
-        own.append(windows(h[wo[i] : wo[i + 1]], np.array([0, n[i]]), int(n[i]), seed=100 + int(n[i]))[0])
-    d = np.concatenate([doc_of(so), short])
-    sh = np.concatenate([sh, *own])
-    order = np.lexsort((sh, d))
-    d, sh = d[order], sh[order]
-    if len(sh):
-        keep = np.concatenate([[True], (d[1:] != d[:-1]) | (sh[1:] != sh[:-1])])
-        d, sh = d[keep], sh[keep]
-    return sh, np.searchsorted(d, np.arange(len(offs)))
+    parts, n = [], np.diff(wo).tolist()
+    at = so.tolist()
+    for i, m in enumerate(n):
+        if m >= k:
+            x = sh[at[i] : at[i + 1]]
+            x.sort()
+            parts.append(x)
+        elif m:
+            parts.append(windows(h[wo[i] : wo[i + 1]], np.array([0, m]), m, seed=100 + m)[0])
+    if not parts:
+        return np.zeros(0, U), np.zeros(len(offs), np.int64)
+    flat_ = np.concatenate(parts)
+    has = np.flatnonzero(np.array(n))
+    first = np.zeros(len(flat_), bool)
+    sizes = np.array([len(x) for x in parts])
+    first[np.cumsum(sizes) - sizes] = True
+    keep = first.copy()
+    keep[1:] |= flat_[1:] != flat_[:-1]
+    upto = np.concatenate([[0], np.cumsum(keep)])
+    count = np.zeros(len(n), np.int64)
+    ends = np.cumsum(sizes)
+    count[has] = upto[ends] - upto[ends - sizes]
+    return flat_[keep], np.concatenate([[0], np.cumsum(count)])
 
 
 def each_set(batches, k: int):
@@ -76,51 +88,57 @@ def prefix_size(n: np.ndarray, pct: int) -> np.ndarray:
     return n - (pct * n + 99) // 100 + 1
 
 
-def set_digests(docs: DataFrame, k: int) -> DataFrame:
-    """``(doc_id, n, d1, d2)``: set size and two order-free digests."""
+def survey(docs: DataFrame, k: int, share: float) -> DataFrame:
+    """One pass: set sizes and digests of all documents, and counts of shingles that may be common.
 
-    def run(batches):
-        for did, sh, so in each_set(batches, k):
-            a = np.concatenate([np.zeros(1, U), np.cumsum(mix(sh, 21))])
-            c = np.concatenate([np.zeros(1, U), np.cumsum(mix(sh, 22))])
-            yield pa.record_batch({"doc_id": did, "n": np.diff(so).astype(np.int64), "d1": (a[so[1:]] - a[so[:-1]]).view(np.int64), "d2": (c[so[1:]] - c[so[:-1]]).view(np.int64)})
-
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, d1 bigint, d2 bigint")
-
-
-def common_shingles(docs: DataFrame, k: int, n_docs: int, share: float = COMMON) -> np.ndarray:
-    """Shingles in more than about ``share`` of the documents, counted over all of them.
-
-    A flush of many documents reports a shingle only above half that share of
-    its own documents, so every shingle above the share is reported by some
-    flush and its reported count is at least half of it.  At most
-    ``2 * shingles per document / share`` come back, whatever the corpus.
+    Rows with a ``doc_id`` are ``(doc_id, n, d1, d2)``.  Rows without are
+    ``(d1: shingle, n: count)``: a flush of many documents reports a shingle
+    only above half of ``share`` of its own documents, so every shingle above
+    the share in the corpus is reported, with at least half its count.
     """
 
     def run(batches):
-        held, size, n = [], 0, 0
+        held, size, docs_held = [], 0, 0
 
         def flush():
-            v, c = np.unique(np.concatenate(held), return_counts=True)
-            keep = c > max(1, n * share / 2)
-            return pa.record_batch({"h": v[keep].view(np.int64), "c": c[keep].astype(np.int64)})
+            v = np.concatenate(held)
+            v.sort()
+            at = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+            c = np.diff(np.concatenate([at, [len(v)]]))
+            keep = c > max(1, docs_held * share / 2)
+            v, c = v[at[keep]].view(np.int64), c[keep].astype(np.int64)
+            return pa.record_batch({"doc_id": pa.nulls(len(v), pa.int64()), "n": c, "d1": v, "d2": np.zeros(len(v), np.int64)})
 
-        for did, sh, _ in each_set(batches, k):
+        for did, sh, so in each_set(batches, k):
+            a = np.concatenate([np.zeros(1, U), np.cumsum(mix(sh, 21))])
+            c = np.concatenate([np.zeros(1, U), np.cumsum(mix(sh, 22))])
+            yield pa.record_batch({"doc_id": did, "n": np.diff(so).astype(np.int64), "d1": (a[so[1:]] - a[so[:-1]]).view(np.int64), "d2": (c[so[1:]] - c[so[:-1]]).view(np.int64)})
             held.append(sh)
             size += len(sh)
-            n += len(did)
+            docs_held += len(did)
             if size >= FLUSH:
                 yield flush()
-                held, size, n = [], 0, 0
+                held, size, docs_held = [], 0, 0
         if size:
             yield flush()
 
-    got = docs.mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") > max(32, n_docs * share / 2))
-    return np.sort(np.array([r["h"] for r in got.select("h").collect()], np.int64).view(U))
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, d1 bigint, d2 bigint")
+
+
+def common_shingles(surveyed: DataFrame, n_docs: int, share: float) -> np.ndarray:
+    """Shingles in more than about ``share`` of all documents.
 
+    At most ``2 * shingles per document / share`` come back, whatever the corpus.
+    """
+    got = surveyed.where(F.col("doc_id").isNull()).groupBy("d1").agg(F.sum("n").alias("c")).where(F.col("c") > max(32, n_docs * share / 2))
+    return np.sort(np.array([r["d1"] for r in got.select("d1").collect()], np.int64).view(U))
+
+
+def prefixes(docs: DataFrame, k: int, pct: int, common: np.ndarray, buckets: int, orders: list[int], extra: float = 0.0) -> DataFrame:
+    """``(part, bucket, blob)``: packed (shingle, document) of the prefixes under each order.
 
-def prefixes(docs: DataFrame, k: int, pct: int, common: np.ndarray, buckets: int, orders: int) -> DataFrame:
-    """``(part, bucket, blob)``: packed (shingle, document) of the prefixes under each order."""
+    With ``extra`` a prefix is longer by that share of the set.
+    """
     shift = U(64 - (buckets.bit_length() - 1))
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(common)
@@ -139,16 +157,16 @@ def prefixes(docs: DataFrame, k: int, pct: int, common: np.ndarray, buckets: int
 
     def run(batches):
         heavy = shared.value
-        held, size = [[] for _ in range(orders)], 0
+        held, size = {o: [] for o in orders}, 0
         for did, sh, so in each_set(batches, k):
             n = np.diff(so)
-            p = np.where(n > 0, prefix_size(n, pct), 0)
+            p = np.where(n > 0, np.minimum(n, prefix_size(n, pct) - 1 + shared_least(n, extra)), 0)
             late = np.zeros(len(sh), U)
             if len(heavy) and len(sh):
                 i = np.minimum(np.searchsorted(heavy, sh), len(heavy) - 1)
                 late = (heavy[i] == sh).astype(U) << U(63)
             own = np.repeat(did, p)
-            for o in range(orders):
+            for o in orders:
                 key = (mix(sh, 31 + o) >> U(1)) | late
                 picked = []
                 for a, z, m in zip(so[:-1].tolist(), so[1:].tolist(), p.tolist()):
@@ -158,25 +176,54 @@ def prefixes(docs: DataFrame, k: int, pct: int, common: np.ndarray, buckets: int
                     held[o].append((own, sh[np.concatenate(picked)]))
             size += int(p.sum())
             if size >= FLUSH:
-                yield from (flush(x, o) for o, x in enumerate(held) if x)
-                held, size = [[] for _ in range(orders)], 0
-        yield from (flush(x, o) for o, x in enumerate(held) if x)
+                yield from (flush(x, o) for o, x in held.items() if x)
+                held, size = {o: [] for o in orders}, 0
+        yield from (flush(x, o) for o, x in held.items() if x)
 
     return docs.mapInArrow(run, "part int, bucket int, blob binary")
 
 
+def shared_least(n: np.ndarray, extra: float) -> np.ndarray:
+    """Prefix shingles that a set of size ``n`` and its partner have in common, if both prefixes are so much longer."""
+    return np.maximum(1, np.floor(n * extra)).astype(np.int64)
+
+
+def supported(blobs: DataFrame, sizes: DataFrame, pct: int, extra: float) -> DataFrame:
+    """``doc_id`` of documents with enough prefix shingles in other prefixes to have a partner.
+
+    Two linked sets share the first ``shared_least`` of their common shingles
+    in both longer prefixes; the partner is at least ``pct`` percent as large.
+    """
+
+    def run(key, table):
+        h, d = _lists(table)
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        size = np.diff(np.concatenate([first, [len(h)]]))
+        ids, c = np.unique(d[np.repeat(size > 1, size)], return_counts=True)
+        return pa.table({"doc_id": ids, "c": c.astype(np.int64)})
+
+    got = blobs.groupBy("part", "bucket").applyInArrow(run, "doc_id bigint, c bigint").groupBy("doc_id").agg(F.sum("c").alias("c"))
+    need = F.greatest(F.lit(1), F.floor(F.floor(F.col("n") * (pct / 100)) * extra))
+    return got.join(sizes.groupBy("doc_id").agg(F.min("n").alias("n")), "doc_id").where(F.col("c") >= need).select("doc_id")
+
+
+def _lists(table) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles and documents of packed prefixes, sorted by shingle."""
+    hs, ids = [], []
+    for blob in table.column("blob"):
+        u, h, inv = unpack(blob.as_py())
+        hs.append(np.cumsum(h))
+        ids.append(np.cumsum(u)[inv])
+    h, d = np.concatenate(hs), np.concatenate(ids)
+    order = np.argsort(h)
+    return h[order], d[order]
+
+
 def prefix_edges(blobs: DataFrame) -> DataFrame:
     """``(part, a, b)``: documents that share a prefix shingle, each with the least of its list."""
 
     def run(key, table):
-        hs, ids = [], []
-        for blob in table.column("blob"):
-            u, h, inv = unpack(blob.as_py())
-            hs.append(np.cumsum(h))
-            ids.append(np.cumsum(u)[inv])
-        h, d = np.concatenate(hs), np.concatenate(ids)
-        order = np.argsort(h)
-        h, d = h[order], d[order]
+        h, d = _lists(table)
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         root = np.repeat(np.minimum.reduceat(d, first), np.diff(np.concatenate([first, [len(h)]])))
         far = d != root
@@ -244,7 +291,7 @@ def verify(docs: DataFrame, units: DataFrame, k: int, pct: int) -> DataFrame:
                 sh, so = sets(buf, offs[i : j + 1], k)
                 rows, ids, blobs = [], [], []
                 for r in range(i, j):
-                    blob = pack(deltas(sh[so[r - i] : so[r - i + 1]]))
+                    blob = pack(deltas(sh[so[r - i] : so[r - i + 1]] >> U(12)))
                     for u in at[r]:
                         rows.append(u)
                         ids.append(did[r])
@@ -271,10 +318,17 @@ def join_components(docs: DataFrame, k: int = 4, pct: int = 85, doc_id: str = "d
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     live = docs.where(F.col("doc_id").isNotNull())
     n_docs, size = text_bytes(live)
-    every = stash(set_digests(live, k), "sets")
-    common = common_shingles(live, k, n_docs, share)
+    surveyed = stash(survey(live, k, share), "survey")
+    every = surveyed.where(F.col("doc_id").isNotNull())
+    common = common_shingles(surveyed, n_docs, share)
     buckets = power_of_two(size / BUCKET_BYTES, 8)
-    near = connected_components(prefix_edges(prefixes(live, k, pct, common, buckets, orders)), "prefix")
+    # two orders with longer prefixes first: each passes on only the documents that still can have a partner
+    some = live
+    for o in range(2):
+        ids = stash(supported(prefixes(some, k, pct, common, buckets, [o], EXTRA), every.select("doc_id", "n"), pct, EXTRA), "supported")
+        some = lookup_join(live, ids, ["doc_id"], "left_semi", row_bytes=16)
+    live = some
+    near = connected_components(prefix_edges(prefixes(live, k, pct, common, buckets, list(range(orders)))), "prefix")
     # one member per set; the least document stands for its copies
     classes = every.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
