@@ -1,0 +1 @@
+"""siteseer: CRISPR off-target analytics on Spark DataFrames."""
