@@ -23,6 +23,16 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Rows of one Arrow batch: whole texts travel, so batches are kept small.
+BATCH_ROWS = 1500
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Bounds the memory of tasks that hand whole texts to Python; returns ``df``."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._dist import stash
+from ._dist import small_batches
 
 MODULI = ((1 << 31) - 1, (1 << 31) - 19)
 BASES = (911382323, 972663749)
@@ -153,7 +153,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             codes = [_codes(t or "") for t in b.column(1).to_pylist()]
             yield pa.record_batch({"doc_id": b.column(0), "n_chars": np.array([len(c) for c in codes], np.int64), "fingerprint": _hex(_group(codes))})
 
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, n_chars bigint, fingerprint string")
+    return small_batches(docs).select(doc_id, text).mapInArrow(run, f"doc_id {kind}, n_chars bigint, fingerprint string")
 
 
 def compare_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows_per_range: int = 4000) -> DataFrame:
@@ -164,7 +164,7 @@ def compare_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     cut into ranges; texts move once, and each range also gets a copy of the
     first document of the range after it.
     """
-    src = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    src = small_batches(docs).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ids = src.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i"))
     n = ids.count()
     ranges = min(MAX_RANGES, max(1, -(-n // rows_per_range)))

@@ -31,18 +31,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._dist import connected_components, lookup_join, power_of_two, stash, text_bytes
+from ._dist import connected_components, lookup_join, power_of_two, small_batches, stash, text_bytes
 from ._text import LOWER, U, chunks, deltas, doc_of, flat, mix, pack, unpack, windows, words
 
 ORDERS = 3
 #: By how much of a set the prefixes of the first filters are longer than they must be.
 EXTRA = 0.15
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 24 << 20
 #: A shingle in more than this share of documents (and 32) counts as common.
 COMMON = 1 / 2000
 #: Members of a candidate group that one task compares.
 BLOCK = 2000
-FLUSH = 3 << 20
+FLUSH = 1 << 20
 
 
 def sets(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -315,7 +315,7 @@ def verify(docs: DataFrame, units: DataFrame, k: int, pct: int) -> DataFrame:
 
 def join_components(docs: DataFrame, k: int = 4, pct: int = 85, doc_id: str = "doc_id", text: str = "text", orders: int = ORDERS, block: int = BLOCK, share: float = COMMON) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, one row per row of ``docs``."""
-    docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    docs = small_batches(docs).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     live = docs.where(F.col("doc_id").isNotNull())
     n_docs, size = text_bytes(live)
     surveyed = stash(survey(live, k, share), "survey")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._dist import power_of_two, stash
+from ._dist import power_of_two, small_batches, stash
 from ._text import flat
 
 CAPACITY = 2048
@@ -103,7 +103,7 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
             out = {"doc_id": b.column(0).take(pa.array(row, pa.int64())), "piece": pa.array(start // capacity, pa.int32()), "start": start, "length": np.array(length, np.int64), "ids_crc32": np.array(crc, np.int64)}
             yield pa.record_batch(out | ({"ids": pa.array(blob, pa.binary())} if with_ids else {}))
 
-    return docs.select(doc_id, text).mapInArrow(cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
+    return small_batches(docs).select(doc_id, text).mapInArrow(cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
 
 
 class Stock:

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._dist import small_batches
 from ._text import U, mix, powers
 
 MARK = "▁"
@@ -204,7 +205,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
             ids = m.encode_batch([t or "" for t in b.column(1).to_pylist()])
             yield pa.record_batch({"doc_id": b.column(0), "text": b.column(1), "ids": pa.array(ids, pa.binary())})
 
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, text string, ids binary")
+    return small_batches(docs).select(doc_id, text).mapInArrow(run, f"doc_id {kind}, text string, ids binary")
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:

@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._dist import lookup_join, power_of_two, stash, text_bytes
+from ._dist import lookup_join, power_of_two, small_batches, stash, text_bytes
 from ._text import U, chunks, deltas, flat, mix, pack, powers, unpack, windows, words
 
 #: Bytes of text whose windows meet in one bucket.
 BUCKET_BYTES = 24 << 20
 #: Windows buffered by a task before they are sent.
-FLUSH = 3 << 20
+FLUSH = 1 << 20
 #: Span requests that travel with one copy of a text.
 REQUESTS = 5000
 
@@ -180,7 +180,7 @@ def span_hashes(docs: DataFrame, spans: DataFrame, k: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, k: int) -> DataFrame:
     """``(doc_id, spans)``: verified word spans to remove, sorted, per document that has any."""
-    _, size = text_bytes(docs)
+    _, size = text_bytes(small_batches(docs))
     buckets = power_of_two(size / BUCKET_BYTES, 16)
     live = docs.where(F.col("doc_id").isNotNull())
     found = stash(paths(repeated(edges(live, k, buckets), buckets)), "paths")

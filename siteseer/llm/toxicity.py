@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._dist import small_batches, stash
+
 #: Labelled rows used for fitting, at most.
 MAX_ROWS = 20_000
 #: Words and stems kept, at most; those with the strongest evidence first.
@@ -172,8 +174,6 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> Classifier:
-    from ._dist import stash
-
     rows = stash(training_rows(docs, labels, max_rows), "toxfit")
     names, n = lexicon(rows, max_features)
     names.sort()
@@ -210,7 +210,7 @@ def score(docs: DataFrame, clf: Classifier, doc_id: str = "doc_id", text: str =
         for b in batches:
             yield pa.record_batch({"doc_id": b.column(0), "score": np.array([clf.score(t or "") for t in b.column(1).to_pylist()], float)})
 
-    s = docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, score double")
+    s = small_batches(docs).select(doc_id, text).mapInArrow(run, f"doc_id {kind}, score double")
     return s.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -223,4 +223,4 @@ def reject(docs: DataFrame, clf: Classifier) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([clf.score(t or "") < 0.5 for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, fields)
+    return small_batches(docs).mapInArrow(run, fields)
