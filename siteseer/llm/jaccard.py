@@ -1,19 +1,27 @@
 """N-gram Jaccard join by multiple-global-order prefix filtering.
 
-A document's set is its distinct shingles of ``k`` words.  For a threshold of
-``pct`` percent, two linked sets share a shingle among the first
-``n - ceil(pct * n / 100) + 1`` of each, under *any* one order of all
-shingles.  Several orders are used at once: each is a hash order in which
-shingles common in the corpus come last (their counts are taken over all
-documents).  Under each order, documents that share a prefix shingle are
-chained to the least document of the shingle's list, which takes a link per
-entry and never all pairs; the components of that graph hold every linked
-pair.  The filters are intersected: candidates must lie in one component under
-every order.  Sets then travel once to their candidate group, where overlaps
-are counted exactly and pairs that are connected already are skipped.  Groups
-beyond ``BLOCK`` members are dealt out in blocks, and members outside the
-largest component meet every block in a second step, so no group is held whole
-and no link is lost.
+A document's set is its distinct shingles of ``k`` words, and an order is a
+hash order of all shingles.  Two steps find every link:
+
+1. Documents that share the first shingle of their prefixes under three orders
+   of a band meet the least document of that list, and go on if they share the
+   first shingle under most orders.  Verified links give first components.
+2. What may be missing lies between components.  For a threshold of ``pct``
+   percent, linked sets share a shingle among the first
+   ``n - ceil(pct * n / 100) + 1`` of each, under *any* order, and ``e`` of them
+   if the prefixes are ``e - 1`` longer.  A document stays only if, order after
+   order, enough of its longer prefix occurs in prefixes of other components.
+   Those left are chained under all orders at once to the least document of
+   each prefix shingle's list; the filters are intersected, as candidates must
+   lie in one component under every order; and they are verified too.
+
+Lists are never expanded into pairs.  Sets travel once to their candidate
+group, where overlaps are counted exactly (on 52 bits of each shingle's hash)
+and pairs that are connected already are skipped.  Groups beyond ``BLOCK``
+members are dealt out in blocks, and members outside the largest component
+meet every block in a second step, so no group is held whole and no link is
+lost.  Shingles common in the corpus come last in every order of step 2; they
+are counted over all documents.
 
 Equal sets count as one member until the end.
 
@@ -34,6 +42,8 @@ from pyspark.sql import functions as F
 from ._dist import connected_components, lookup_join, power_of_two, small_batches, stash, text_bytes
 from ._text import LOWER, U, chunks, deltas, doc_of, flat, mix, pack, unpack, windows, words
 
+#: First filter: bands of orders, and orders in all under which first shingles must agree.
+BANDS, ROWS, AGREE = 5, 3, 9
 ORDERS = 3
 #: By how much of a set the prefixes of the first filters are longer than they must be.
 EXTRA = 0.15
@@ -74,24 +84,45 @@ def sets(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return flat_[keep], np.concatenate([[0], np.cumsum(count)])
 
 
-def each_set(batches, k: int):
-    """Chunks of documents as (ids, shingles, offsets)."""
+def each_set(batches, k: int, with_component: bool = False):
+    """Chunks of documents as (ids, [components,] shingles, offsets)."""
     for b in batches:
         buf, offs = flat(b.column(1))
-        did = b.column(0).to_numpy()
+        lead = [b.column(0).to_numpy(), *([b.column(2).to_numpy()] if with_component else [])]
         for i, j in chunks(offs):
-            sh, so = sets(buf, offs[i : j + 1], k)
-            yield did[i:j], sh, so
+            yield *[x[i:j] for x in lead], *sets(buf, offs[i : j + 1], k)
 
 
 def prefix_size(n: np.ndarray, pct: int) -> np.ndarray:
     return n - (pct * n + 99) // 100 + 1
 
 
+def signatures(sh: np.ndarray, so: np.ndarray) -> pa.Array:
+    """The first shingle of each set under every order of the bands, 31 bits of it."""
+    n = len(so) - 1
+    out = np.zeros((n, BANDS * ROWS), np.int32)
+    has = np.flatnonzero(np.diff(so))
+    if len(has):
+        for o in range(BANDS * ROWS):
+            least = np.minimum.reduceat(mix(sh, 61 + o), so[has])
+            out[has, o] = (least >> U(33)).astype(np.int32)
+    return pa.ListArray.from_arrays(np.arange(0, out.size + 1, BANDS * ROWS, dtype=np.int32), pa.array(out.reshape(-1)))
+
+
+def band_edges(classes: DataFrame) -> DataFrame:
+    """``(part, a, b)`` between class representatives that share a band and agree under most orders."""
+    keys = F.array(*[F.xxhash64(F.lit(b), *[F.get("sig", F.lit(b * ROWS + r)) for r in range(ROWS)]) for b in range(BANDS)])
+    rows = classes.select("rep", "sig", F.explode(keys).alias("key"))
+    heads = rows.groupBy("key").agg(F.min(F.struct("rep", "sig")).alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "head")
+    same = F.size(F.filter(F.zip_with("sig", F.col("head.sig"), lambda x, y: x == y), lambda x: x))
+    j = rows.join(heads, "key").where((F.col("rep") != F.col("head.rep")) & (same >= AGREE))
+    return j.select(F.lit(0).alias("part"), F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct()
+
+
 def survey(docs: DataFrame, k: int, share: float) -> DataFrame:
     """One pass: set sizes and digests of all documents, and counts of shingles that may be common.
 
-    Rows with a ``doc_id`` are ``(doc_id, n, d1, d2)``.  Rows without are
+    Rows with a ``doc_id`` are ``(doc_id, sig, n, d1, d2)``.  Rows without are
     ``(d1: shingle, n: count)``: a flush of many documents reports a shingle
     only above half of ``share`` of its own documents, so every shingle above
     the share in the corpus is reported, with at least half its count.
@@ -107,12 +138,12 @@ def survey(docs: DataFrame, k: int, share: float) -> DataFrame:
             c = np.diff(np.concatenate([at, [len(v)]]))
             keep = c > max(1, docs_held * share / 2)
             v, c = v[at[keep]].view(np.int64), c[keep].astype(np.int64)
-            return pa.record_batch({"doc_id": pa.nulls(len(v), pa.int64()), "n": c, "d1": v, "d2": np.zeros(len(v), np.int64)})
+            return pa.record_batch({"doc_id": pa.nulls(len(v), pa.int64()), "sig": pa.nulls(len(v), pa.list_(pa.int32())), "n": c, "d1": v, "d2": np.zeros(len(v), np.int64)})
 
         for did, sh, so in each_set(batches, k):
             a = np.concatenate([np.zeros(1, U), np.cumsum(mix(sh, 21))])
             c = np.concatenate([np.zeros(1, U), np.cumsum(mix(sh, 22))])
-            yield pa.record_batch({"doc_id": did, "n": np.diff(so).astype(np.int64), "d1": (a[so[1:]] - a[so[:-1]]).view(np.int64), "d2": (c[so[1:]] - c[so[:-1]]).view(np.int64)})
+            yield pa.record_batch({"doc_id": did, "sig": signatures(sh, so), "n": np.diff(so).astype(np.int64), "d1": (a[so[1:]] - a[so[:-1]]).view(np.int64), "d2": (c[so[1:]] - c[so[:-1]]).view(np.int64)})
             held.append(sh)
             size += len(sh)
             docs_held += len(did)
@@ -122,7 +153,7 @@ def survey(docs: DataFrame, k: int, share: float) -> DataFrame:
         if size:
             yield flush()
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, d1 bigint, d2 bigint")
+    return docs.mapInArrow(run, "doc_id bigint, sig array<int>, n bigint, d1 bigint, d2 bigint")
 
 
 def common_shingles(surveyed: DataFrame, n_docs: int, share: float) -> np.ndarray:
@@ -144,28 +175,28 @@ def prefixes(docs: DataFrame, k: int, pct: int, common: np.ndarray, buckets: int
     shared = spark.sparkContext.broadcast(common)
 
     def flush(held, o):
-        d, h = (np.concatenate(x) for x in zip(*held))
+        d, c, h = (np.concatenate(x) for x in zip(*held))
         order = np.argsort(h)
-        d, h = d[order], h[order]
+        d, c, h = d[order], c[order], h[order]
         at = np.searchsorted(h >> shift, np.arange(buckets + 1, dtype=U))
         rows = [i for i in range(buckets) if at[i] < at[i + 1]]
         blobs = []
         for i in rows:
-            ids, inv = np.unique(d[at[i] : at[i + 1]], return_inverse=True)
-            blobs.append(pack(deltas(ids), deltas(h[at[i] : at[i + 1]]), inv.astype(np.uint32)))
+            ids, one, inv = np.unique(d[at[i] : at[i + 1]], return_index=True, return_inverse=True)
+            blobs.append(pack(deltas(ids), deltas(c[at[i] : at[i + 1]][one]), deltas(h[at[i] : at[i + 1]]), inv.astype(np.uint32)))
         return pa.record_batch({"part": pa.array([o] * len(rows), pa.int32()), "bucket": pa.array(rows, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     def run(batches):
         heavy = shared.value
         held, size = {o: [] for o in orders}, 0
-        for did, sh, so in each_set(batches, k):
+        for did, comp, sh, so in each_set(batches, k, with_component=True):
             n = np.diff(so)
             p = np.where(n > 0, np.minimum(n, prefix_size(n, pct) - 1 + shared_least(n, extra)), 0)
             late = np.zeros(len(sh), U)
             if len(heavy) and len(sh):
                 i = np.minimum(np.searchsorted(heavy, sh), len(heavy) - 1)
                 late = (heavy[i] == sh).astype(U) << U(63)
-            own = np.repeat(did, p)
+            own, owns = np.repeat(did, p), np.repeat(comp, p)
             for o in orders:
                 key = (mix(sh, 31 + o) >> U(1)) | late
                 picked = []
@@ -173,7 +204,7 @@ def prefixes(docs: DataFrame, k: int, pct: int, common: np.ndarray, buckets: int
                     if m:
                         picked.append(a + (np.argpartition(key[a:z], m - 1)[:m] if m < z - a else np.arange(z - a)))
                 if picked:
-                    held[o].append((own, sh[np.concatenate(picked)]))
+                    held[o].append((own, owns, sh[np.concatenate(picked)]))
             size += int(p.sum())
             if size >= FLUSH:
                 yield from (flush(x, o) for o, x in held.items() if x)
@@ -196,10 +227,8 @@ def supported(blobs: DataFrame, sizes: DataFrame, pct: int, extra: float) -> Dat
     """
 
     def run(key, table):
-        h, d = _lists(table)
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        size = np.diff(np.concatenate([first, [len(h)]]))
-        ids, c = np.unique(d[np.repeat(size > 1, size)], return_counts=True)
+        h, d, _, size, mixed = _lists(table)
+        ids, c = np.unique(d[np.repeat(mixed, size)], return_counts=True)
         return pa.table({"doc_id": ids, "c": c.astype(np.int64)})
 
     got = blobs.groupBy("part", "bucket").applyInArrow(run, "doc_id bigint, c bigint").groupBy("doc_id").agg(F.sum("c").alias("c"))
@@ -207,26 +236,30 @@ def supported(blobs: DataFrame, sizes: DataFrame, pct: int, extra: float) -> Dat
     return got.join(sizes.groupBy("doc_id").agg(F.min("n").alias("n")), "doc_id").where(F.col("c") >= need).select("doc_id")
 
 
-def _lists(table) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles and documents of packed prefixes, sorted by shingle."""
-    hs, ids = [], []
+def _lists(table) -> tuple[np.ndarray, ...]:
+    """Packed prefixes by shingle: shingles, documents, starts and sizes of lists, and which of them span components."""
+    hs, ids, comps = [], [], []
     for blob in table.column("blob"):
-        u, h, inv = unpack(blob.as_py())
+        u, c, h, inv = unpack(blob.as_py())
         hs.append(np.cumsum(h))
         ids.append(np.cumsum(u)[inv])
-    h, d = np.concatenate(hs), np.concatenate(ids)
+        comps.append(np.cumsum(c)[inv])
+    h, d, c = np.concatenate(hs), np.concatenate(ids), np.concatenate(comps)
     order = np.argsort(h)
-    return h[order], d[order]
+    h, d, c = h[order], d[order], c[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    size = np.diff(np.concatenate([first, [len(h)]]))
+    mixed = np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first)
+    return h, d, first, size, mixed
 
 
 def prefix_edges(blobs: DataFrame) -> DataFrame:
-    """``(part, a, b)``: documents that share a prefix shingle, each with the least of its list."""
+    """``(part, a, b)``: documents that share a prefix shingle, each with the least of its list; lists of one component add nothing."""
 
     def run(key, table):
-        h, d = _lists(table)
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        root = np.repeat(np.minimum.reduceat(d, first), np.diff(np.concatenate([first, [len(h)]])))
-        far = d != root
+        _, d, first, size, mixed = _lists(table)
+        root = np.repeat(np.minimum.reduceat(d, first), size)
+        far = (d != root) & np.repeat(mixed, size)
         pairs = np.unique(np.stack([root[far], d[far]], 1), axis=0) if far.any() else np.zeros((0, 2), np.int64)
         return pa.table({"part": pa.array([key[0].as_py()] * len(pairs), pa.int32()), "a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -319,38 +352,51 @@ def join_components(docs: DataFrame, k: int = 4, pct: int = 85, doc_id: str = "d
     live = docs.where(F.col("doc_id").isNotNull())
     n_docs, size = text_bytes(live)
     surveyed = stash(survey(live, k, share), "survey")
-    every = surveyed.where(F.col("doc_id").isNotNull())
+    every = surveyed.where(F.col("doc_id").isNotNull()).select("doc_id", "n", "d1", "d2")
+    # one member per set; the least document stands for its copies
+    classes = surveyed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "sig")).alias("s"))
+    classes = stash(classes.select("n", "d1", "d2", F.col("s.doc_id").alias("rep"), F.col("s.sig").alias("sig")), "classes")
+    near = connected_components(band_edges(classes), "bands")
+    links = stash(_verified(live, near.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), k, pct, block), "links")
+    first = stash(connected_components(links, "first"), "first")
+    # step 2 looks between components: copies take no part, other members carry theirs
+    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
+    copies = every.where("n > 0").select("doc_id").distinct().join(reps, "doc_id", "left_anti").select("doc_id", F.lit(None).cast("bigint").alias("comp"))
+    moved = first.where("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
+    marks = stash(copies.unionByName(moved).withColumn("marked", F.lit(True)), "marks")
+    some = lookup_join(live, marks, ["doc_id"], "left", row_bytes=40).where(F.col("marked").isNull() | F.col("comp").isNotNull())
+    some = some.select("doc_id", "text", F.coalesce("comp", "doc_id").alias("comp"))
     common = common_shingles(surveyed, n_docs, share)
     buckets = power_of_two(size / BUCKET_BYTES, 8)
-    # two orders with longer prefixes first: each passes on only the documents that still can have a partner
-    some = live
+    rest = some
     for o in range(2):
-        ids = stash(supported(prefixes(some, k, pct, common, buckets, [o], EXTRA), every.select("doc_id", "n"), pct, EXTRA), "supported")
-        some = lookup_join(live, ids, ["doc_id"], "left_semi", row_bytes=16)
-    live = some
-    near = connected_components(prefix_edges(prefixes(live, k, pct, common, buckets, list(range(orders)))), "prefix")
-    # one member per set; the least document stands for its copies
-    classes = every.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    keyed = near.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("part", "component"))).alias("key")).where(F.size("key") == orders)
-    cand = keyed.join(reps, F.col("node") == F.col("doc_id"), "left_semi").select(F.col("node").alias("doc_id"), F.xxhash64("key").alias("cluster"))
-    sizes = cand.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        ids = stash(supported(prefixes(rest, k, pct, common, buckets, [o], EXTRA), every.select("doc_id", "n"), pct, EXTRA), "supported")
+        rest = lookup_join(some, ids, ["doc_id"], "left_semi", row_bytes=16)
+    if ids.limit(1).count():
+        chained = connected_components(prefix_edges(prefixes(rest, k, pct, common, buckets, list(range(orders)))), "prefix")
+        keyed = chained.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("part", "component"))).alias("key")).where(F.size("key") == orders)
+        links = links.unionByName(stash(_verified(live, keyed.select(F.col("node").alias("doc_id"), F.xxhash64("key").alias("cluster")), k, pct, block), "links"))
+        first = connected_components(links, "links")
+    comp = first.select(F.col("node").alias("rep"), "component")
+    named = classes.join(comp, "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
+    lone = every.join(named, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return lone.unionByName(docs.where(F.col("doc_id").isNull()).select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id")))
+
+
+def _verified(live: DataFrame, members: DataFrame, k: int, pct: int, block: int) -> DataFrame:
+    """``(part, a, b)``: the exact links inside candidate groups, ``members`` being ``(doc_id, cluster)``."""
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("head")).where("m > 1")
     blocks = F.ceil(F.col("m") / block)
-    cand = stash(cand.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks)), "candidates")
+    cand = stash(members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks)), "candidates")
     # the least member of a group of several blocks visits all of them: nearly always it ties their cores
-    heads = cand.groupBy("cluster").agg(F.min("doc_id").alias("head"))
-    every_block = F.transform(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("m") / block) - 1), lambda i: F.xxhash64("cluster", i))
+    every_block = F.transform(F.sequence(F.lit(0).cast("bigint"), blocks - 1), lambda i: F.xxhash64("cluster", i))
     mine = F.array(F.xxhash64("cluster", F.col("block").cast("bigint")))
-    first = cand.join(heads, "cluster").select("doc_id", F.when(F.col("doc_id") == F.col("head"), every_block).otherwise(mine).alias("units"))
-    links = stash(verify(live, stash(first, "units"), k, pct), "links")
-    large = cand.where("m > %d" % block)
+    units = cand.select("doc_id", F.when(F.col("doc_id") == F.col("head"), every_block).otherwise(mine).alias("units"))
+    links = stash(verify(live, stash(units, "units"), k, pct), "links")
+    large = cand.where(F.col("m") > block)
     if large.limit(1).count():
         links = links.unionByName(_across_blocks(live, large, links, k, pct, block))
-    comp = connected_components(links.select("part", "a", "b"), "links").select(F.col("node").alias("rep"), "component")
-    named = classes.join(comp, "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
-    # rows of one document with different texts tie their classes together
-    lone = every.join(named, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    return lone.unionByName(docs.where(F.col("doc_id").isNull()).select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id")))
+    return links
 
 
 def _across_blocks(docs: DataFrame, large: DataFrame, links: DataFrame, k: int, pct: int, block: int) -> DataFrame:
