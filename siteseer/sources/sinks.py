@@ -22,7 +22,7 @@ OUTPUT_MODES = ("targets", "profile", "both")
 
 
 def score_text(c: Column) -> Column:
-    return F.coalesce(F.format_string("%.2f", c), F.lit("NA"))
+    return F.when(c.isNotNull(), F.format_string("%.2f", c)).otherwise(F.lit("NA"))
 
 
 def scored_layout(hits: DataFrame) -> DataFrame:
