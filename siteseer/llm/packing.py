@@ -16,6 +16,8 @@ packed one by one; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections import defaultdict
 
@@ -29,15 +31,28 @@ from ._text import flat
 
 CAPACITY = 2048
 END_ID = 0
-#: Entries of a worker's cache of chunks between white space; it is emptied when full.
-CACHE = 400_000
+#: Entries of each of a worker's caches; one that is full is emptied.
+CACHE = 600_000
+#: Runs for which splitting by hand is the tokenizer's own: visible ASCII and precomposed Latin letters.
+SIMPLE = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+# The tokenizer's own split pattern, over lower-case text.
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+
+
+def byte_letters() -> list[str]:
+    """The visible character that stands for each byte in a byte-level vocabulary."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
 
 
 class Chunks(dict):
     """Ids of a run of characters without white space, as little-endian bytes.
 
-    The tokenizer drops white space and never joins across it, so the ids of a
-    text are those of its runs in order.
+    The tokenizer drops white space and never joins across it, nor across the
+    borders of its split pattern, so the ids of a text are those of its parts
+    in order.  Runs and parts are cached; a run with other characters, or with
+    what may be a special token, goes to the tokenizer as it is.
     """
 
     def __init__(self, path: str):
@@ -47,24 +62,31 @@ class Chunks(dict):
         self.tok = Tokenizer.from_file(path)
         self.tok.no_padding()
         self.tok.no_truncation()
+        self.model = self.tok.model
+        self.letters = byte_letters()
+        self.parts: dict[str, bytes] = {}
 
-    def add(self, chunks) -> None:
-        new = [c for c in chunks if c not in self]
-        if len(self) + len(new) > CACHE:
+    def __missing__(self, chunk: bytes) -> bytes:
+        if len(self) >= CACHE:
             self.clear()
-            new = list(chunks)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for c, e in zip(part, self.tok.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)):
-                self[c] = np.array(e.ids, "<u4").tobytes()
+        s = chunk.decode()
+        if "<|" in s or not SIMPLE.fullmatch(s):
+            out = np.array(self.tok.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+        else:
+            get = self.parts.get
+            out = b"".join([get(p) or self.part(p) for p in PARTS.findall(s.lower())])
+        self[chunk] = out
+        return out
+
+    def part(self, p: str) -> bytes:
+        if len(self.parts) >= CACHE:
+            self.parts.clear()
+        shown = p if p.isascii() else "".join([self.letters[b] for b in p.encode()])
+        out = self.parts[p] = struct.pack(f"<{len(t := self.model.tokenize(shown))}I", *[x.id for x in t])
+        return out
 
     def ids(self, raw: bytes) -> bytes:
-        parts = raw.split()
-        try:
-            return b"".join(map(self.__getitem__, parts))
-        except KeyError:
-            self.add(set(parts))
-            return b"".join(map(self.__getitem__, parts))
+        return b"".join(map(self.__getitem__, raw.split()))
 
 
 _caches: dict[str, Chunks] = {}
