@@ -48,6 +48,8 @@ ORDERS = 3
 #: By how much of a set the prefixes of the first filters are longer than they must be.
 EXTRA = 0.15
 BUCKET_BYTES = 24 << 20
+#: Prefix shingles whose lists become links in one bucket.
+EDGE_BUCKET = 1 << 20
 #: A shingle in more than this share of documents (and 32) counts as common.
 COMMON = 1 / 2000
 #: Members of a candidate group that one task compares.
@@ -372,7 +374,10 @@ def join_components(docs: DataFrame, k: int = 4, pct: int = 85, doc_id: str = "d
     for o in range(2):
         ids = stash(supported(prefixes(rest, k, pct, common, buckets, [o], EXTRA), every.select("doc_id", "n"), pct, EXTRA), "supported")
         rest = lookup_join(some, ids, ["doc_id"], "left_semi", row_bytes=16)
-    if ids.limit(1).count():
+    tokens = every.join(ids, "doc_id", "left_semi").agg(F.sum("n").alias("n")).first()["n"]
+    if tokens:
+        # what is left is little: few buckets, so that a link is found in few of them
+        buckets = power_of_two(tokens * (100 - pct) / 100 / EDGE_BUCKET, 2)
         chained = connected_components(prefix_edges(prefixes(rest, k, pct, common, buckets, list(range(orders)))), "prefix")
         keyed = chained.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("part", "component"))).alias("key")).where(F.size("key") == orders)
         links = links.unionByName(stash(_verified(live, keyed.select(F.col("node").alias("doc_id"), F.xxhash64("key").alias("cluster")), k, pct, block), "links"))
