@@ -221,7 +221,7 @@ def shared_least(n: np.ndarray, extra: float) -> np.ndarray:
     return np.maximum(1, np.floor(n * extra)).astype(np.int64)
 
 
-def supported(blobs: DataFrame, sizes: DataFrame, pct: int, extra: float) -> DataFrame:
+def supported(blobs: DataFrame, sizes: DataFrame, pct: int, extra: float, groups: int) -> DataFrame:
     """``doc_id`` of documents with enough prefix shingles in other prefixes to have a partner.
 
     Two linked sets share the first ``shared_least`` of their common shingles
@@ -229,11 +229,23 @@ def supported(blobs: DataFrame, sizes: DataFrame, pct: int, extra: float) -> Dat
     """
 
     def run(key, table):
-        h, d, _, size, mixed = _lists(table)
+        _, d, _, size, mixed = _lists(table)
         ids, c = np.unique(d[np.repeat(mixed, size)], return_counts=True)
+        g = (mix(ids.view(U), 5) % U(groups)).astype(np.int32)
+        order = np.argsort(g, kind="stable")  # ids stay sorted in a group
+        ids, c, at = ids[order], c[order].astype(np.uint32), np.searchsorted(g[order], np.arange(groups + 1))
+        full = [i for i in range(groups) if at[i] < at[i + 1]]
+        blobs = [pack(deltas(ids[at[i] : at[i + 1]]), c[at[i] : at[i + 1]]) for i in full]
+        return pa.table({"grp": pa.array(full, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
+    def add(table):
+        parts = [unpack(x.as_py()) for x in table.column("blob")]
+        ids, at = np.unique(np.concatenate([np.cumsum(x[0]) for x in parts]), return_inverse=True)
+        c = np.bincount(at, np.concatenate([x[1] for x in parts]))
         return pa.table({"doc_id": ids, "c": c.astype(np.int64)})
 
-    got = blobs.groupBy("part", "bucket").applyInArrow(run, "doc_id bigint, c bigint").groupBy("doc_id").agg(F.sum("c").alias("c"))
+    # counts of many documents travel packed, a blob per bucket and group of documents
+    got = blobs.groupBy("part", "bucket").applyInArrow(run, "grp int, blob binary").groupBy("grp").applyInArrow(add, "doc_id bigint, c bigint")
     need = F.greatest(F.lit(1), F.floor(F.floor(F.col("n") * (pct / 100)) * extra))
     return got.join(sizes.groupBy("doc_id").agg(F.min("n").alias("n")), "doc_id").where(F.col("c") >= need).select("doc_id")
 
@@ -372,7 +384,7 @@ def join_components(docs: DataFrame, k: int = 4, pct: int = 85, doc_id: str = "d
     buckets = power_of_two(size / BUCKET_BYTES, 8)
     rest = some
     for o in range(2):
-        ids = stash(supported(prefixes(rest, k, pct, common, buckets, [o], EXTRA), every.select("doc_id", "n"), pct, EXTRA), "supported")
+        ids = stash(supported(prefixes(rest, k, pct, common, buckets, [o], EXTRA), every.select("doc_id", "n"), pct, EXTRA, buckets), "supported")
         rest = lookup_join(some, ids, ["doc_id"], "left_semi", row_bytes=16)
     tokens = every.join(ids, "doc_id", "left_semi").agg(F.sum("n").alias("n")).first()["n"]
     if tokens:

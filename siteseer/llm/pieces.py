@@ -32,6 +32,8 @@ from ._text import U, mix, powers
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 CACHE = 300_000
+#: Pairs of pieces whose compatibility is kept.
+PAIRS = 4_000_000
 #: Ids of characters outside the vocabulary inside the lattice: this plus the code point.
 OTHER = 1 << 21
 START = (1 << 21) - 1
@@ -93,6 +95,8 @@ class Model:
             at = np.minimum(np.searchsorted(self.pairs, new), len(self.pairs) - 1)
             new = new[self.pairs[at] != new]
         if len(new):
+            if len(self.pairs) > PAIRS:
+                self.pairs, self.fine, new = np.zeros(0, np.int64), np.zeros(0, bool), np.unique(code)
             fine = []
             for c in new.tolist():
                 a, b = self._name(c >> 22), self._name(c & (1 << 22) - 1)
