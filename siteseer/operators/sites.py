@@ -27,7 +27,12 @@ def pam_starts(contigs: DataFrame, pam: Pam, tile: int = TILE) -> DataFrame:
 
 
 def extract_sites(contigs: DataFrame, pam: Pam, bmax: int = 0, tile: int = TILE, planes: bool = True) -> DataFrame:
-    """Candidate sites, one row per strand.
+    """Candidate sites of whole sequences, one row per strand; see ``sites_of_tiles``."""
+    return sites_of_tiles(tiles(contigs, pam.total + bmax - 1, tile), pam, bmax, tile, planes)
+
+
+def sites_of_tiles(t: DataFrame, pam: Pam, bmax: int = 0, tile: int = TILE, planes: bool = True) -> DataFrame:
+    """Candidate sites, one row per strand, of tiles that overlap by a window less one.
 
     ``(contig, strand, window0, body, pam[, pa, pc, pg, pt])``: ``window0`` is
     the 0-based start of the window on the forward strand, ``body`` the guide
@@ -36,7 +41,6 @@ def extract_sites(contigs: DataFrame, pam: Pam, bmax: int = 0, tile: int = TILE,
     contig are no sites.
     """
     size = pam.total + bmax
-    t = tiles(contigs, size - 1, tile)
     rev = reverse_complement_text(pam.motif)
     end = size - pam.size
     at_fwd, at_rev = (0, end) if pam.upstream else (end, 0)

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from ..operators import annotate as A
 from ..operators import ordering, report, scoring, variants
 from ..operators.search import search
-from ..operators.sites import extract_sites, with_planes, write_index
+from ..operators.sites import sites_of_tiles, with_planes, write_index
 from ..sources import sinks, tracks
-from ..sources.genome import assemble, contig_check, read_fasta, tiles
+from ..sources.genome import assemble, contig_check, read_fasta, read_fasta_tiles, tiles
 from ..sources.inputs import Budget, Pam, read_guides, read_pam
 
 META = "siteseer-index.json"
@@ -52,10 +52,10 @@ def index_genome(spark: SparkSession, genome: str, pam: Pam, outdir: str, bmax:
     """Write the site table; the PAM and ``bmax`` are kept beside it."""
     if bmax < 0:
         raise ValueError("bmax cannot be negative")
-    contigs = read_fasta(spark, genome)
-    if twice := contig_check(contigs).limit(1).collect():
+    cut = read_fasta_tiles(spark, genome, pam.total + bmax - 1)
+    if twice := contig_check(cut.where("tile_start = 0")).limit(1).collect():
         raise ValueError(f"contig {twice[0]['contig']} occurs more than once")
-    write_index(extract_sites(contigs, pam, bmax, planes=False), f"{outdir}/sites")
+    write_index(sites_of_tiles(cut, pam, bmax, planes=False), f"{outdir}/sites")
     meta = {"motif": pam.motif, "guide_size": pam.guide_size, "upstream": pam.upstream, "bmax": bmax}
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{outdir}/{META}")
     return outdir

@@ -27,8 +27,30 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("file", ok.alias("header"), "sequence").select("file", contig_name(F.element_at(F.split("header", "\\s+"), 1)).alias("contig"), "header", "sequence")
 
 
-def read_fasta_stream_tiles(spark: SparkSession, path: str, overlap: int, tile: int = TILE) -> DataFrame:
-    return tiles(read_fasta(spark, path), overlap, tile)
+def read_fasta_tiles(spark: SparkSession, path: str, overlap: int, tile: int = TILE) -> DataFrame:
+    """``(contig, tile_start, seq)`` straight from the lines of FASTA files.
+
+    Files are read in splits, so a chromosome is never one row: each line
+    learns its offset from the lengths of the lines before it in its split and
+    of the splits before, and gives its pieces to the tiles they lie in.
+    """
+    v = F.upper(F.trim("value"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.trim("value").alias("raw"), v.alias("v")).where("v <> ''")
+    first = lines.groupBy("file").agg(F.min_by("raw", F.struct("block", "id")).alias("head"))
+    name = F.element_at(F.split(F.trim(F.substring("head", 2, 1 << 30)), "\\s+"), 1)
+    bad = F.when(~F.startswith("head", F.lit(">")), F.lit("no header in ")).when(name == "", F.lit("an empty header in "))
+    names = first.select("file", F.when(bad.isNotNull(), F.raise_error(F.concat(bad, F.col("file")))).otherwise(contig_name(name)).alias("contig"))
+    seq = lines.where(~F.startswith("v", F.lit(">"))).withColumn("n", F.char_length("v").cast("bigint"))
+    within = Window.partitionBy("file", "block").orderBy("id")
+    sums = seq.groupBy("file", "block").agg(F.sum("n").alias("m"))
+    base = sums.withColumn("base", F.sum("m").over(Window.partitionBy("file").orderBy("block")) - F.col("m")).drop("m")
+    seq = seq.withColumn("off", F.sum("n").over(within) - F.col("n")).join(base, ["file", "block"]).withColumn("pos", F.col("base") + F.col("off"))
+    k = F.sequence(F.greatest(F.floor((F.col("pos") - overlap) / tile), F.lit(0)), F.floor((F.col("pos") + F.col("n") - 1) / tile))
+    p = seq.select("file", "pos", "n", "v", F.explode(k).alias("k")).withColumn("tile_start", F.col("k") * tile)
+    lo, hi = F.greatest("pos", "tile_start"), F.least(F.col("pos") + F.col("n"), F.col("tile_start") + (tile + overlap))
+    piece = F.struct(lo.alias("at"), F.substring("v", (lo - F.col("pos") + 1).cast("int"), (hi - lo).cast("int")).alias("s"))
+    t = p.groupBy("file", "tile_start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["s"]), "").alias("seq"))
+    return t.join(names, "file").select("contig", "tile_start", "seq")
 
 
 def tiles(contigs: DataFrame, overlap: int, tile: int = TILE, contig: str = "contig", sequence: str = "sequence") -> DataFrame:
@@ -55,6 +77,5 @@ def text_genome(documents: DataFrame) -> DataFrame:
 
 def assemble(tiles_: DataFrame, tile: int = TILE) -> DataFrame:
     """Whole sequences from tiles; for the FASTA sink, where a contig is one record."""
-    w = Window.partitionBy("contig")
-    core = tiles_.withColumn("seq", F.substring("seq", 1, tile)).withColumn("n", F.count(F.lit(1)).over(w))
+    core = tiles_.withColumn("seq", F.substring("seq", 1, tile))
     return core.groupBy("contig").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tile_start", "seq"))), lambda x: x["seq"]), "").alias("sequence"))

@@ -4,7 +4,7 @@ import pytest
 
 from siteseer.functions.iupac import code_of, nibble, reverse_complement_text
 from siteseer.sources import tracks
-from siteseer.sources.genome import assemble, read_fasta, tiles
+from siteseer.sources.genome import assemble, read_fasta, read_fasta_tiles, tiles
 from siteseer.sources.inputs import Pam, check_guides
 
 
@@ -44,6 +44,22 @@ def test_fasta(spark, tmp_path):
             read_fasta(spark, str(tmp_path / f"bad{i}.fa")).collect()
 
 
+@pytest.mark.parametrize("tile,overlap,width", [(10, 7, 4), (7, 20, 13), (64, 0, 60)])
+def test_tiles_from_lines(spark, tmp_path, tile, overlap, width):
+    import random
+
+    rnd = random.Random(tile)
+    for c in "ab":
+        s = "".join(rnd.choices("acgtN", k=500))
+        (tmp_path / f"{c}.fa").write_text(f">{c} x\n\n" + "\n".join(s[i : i + width] for i in range(0, 500, width)) + "\n>later\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        got = sorted(map(tuple, read_fasta_tiles(spark, str(tmp_path / "*.fa"), overlap, tile).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted(map(tuple, tiles(read_fasta(spark, str(tmp_path / "*.fa")), overlap, tile).collect()))
+
+
 def test_tiles_round_trip(spark):
     df = spark.createDataFrame([("a", "ACGT" * 33), ("b", "A"), ("c", "")], "contig string, sequence string")
     t = tiles(df, 7, 10)
