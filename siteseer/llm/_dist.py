@@ -24,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Rows of one Arrow batch: whole texts travel, so batches are kept small.
-BATCH_ROWS = 1500
+BATCH_ROWS = 1000
 
 
 def small_batches(df: DataFrame) -> DataFrame:

@@ -8,6 +8,9 @@ and mixed, so a chunk of many documents costs a handful of array passes.
 
 from __future__ import annotations
 
+import ctypes
+import sys
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -44,6 +47,13 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def release() -> None:
+    """Hands memory that is free in this worker back to the machine; workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def flat(col) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._dist import connected_components, lookup_join, power_of_two, small_batches, stash, text_bytes
-from ._text import LOWER, U, chunks, deltas, doc_of, flat, mix, pack, unpack, windows, words
+from ._text import LOWER, U, chunks, deltas, doc_of, flat, mix, pack, release, unpack, windows, words
 
 #: First filter: bands of orders, and orders in all under which first shingles must agree.
 BANDS, ROWS, AGREE = 5, 3, 9
@@ -154,6 +154,8 @@ def survey(docs: DataFrame, k: int, share: float) -> DataFrame:
                 held, size, docs_held = [], 0, 0
         if size:
             yield flush()
+        held = []
+        release()
 
     return docs.mapInArrow(run, "doc_id bigint, sig array<int>, n bigint, d1 bigint, d2 bigint")
 
@@ -212,6 +214,7 @@ def prefixes(docs: DataFrame, k: int, pct: int, common: np.ndarray, buckets: int
                 yield from (flush(x, o) for o, x in held.items() if x)
                 held, size = {o: [] for o in orders}, 0
         yield from (flush(x, o) for o, x in held.items() if x)
+        release()
 
     return docs.mapInArrow(run, "part int, bucket int, blob binary")
 
@@ -352,6 +355,8 @@ def verify(docs: DataFrame, units: DataFrame, k: int, pct: int) -> DataFrame:
         if len(keep) < 2:
             return pa.table({"part": pa.array([], pa.int32()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         a, b = link_group(ids[keep], [members[i] for i in keep], pct)
+        del members
+        release()
         far = a != b
         return pa.table({"part": pa.array([0] * int(far.sum()), pa.int32()), "a": a[far], "b": b[far]})
 

@@ -32,7 +32,7 @@ from ._text import flat
 CAPACITY = 2048
 END_ID = 0
 #: Entries of each of a worker's caches; one that is full is emptied.
-CACHE = 600_000
+CACHE = 300_000
 #: Runs for which splitting by hand is the tokenizer's own: visible ASCII and precomposed Latin letters.
 SIMPLE = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 # The tokenizer's own split pattern, over lower-case text.

@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._dist import lookup_join, power_of_two, small_batches, stash, text_bytes
-from ._text import U, chunks, deltas, flat, mix, pack, powers, unpack, windows, words
+from ._text import U, chunks, deltas, flat, mix, pack, powers, release, unpack, windows, words
 
 #: Bytes of text whose windows meet in one bucket.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 12 << 20
 #: Windows buffered by a task before they are sent.
 FLUSH = 1 << 20
 #: Span requests that travel with one copy of a text.
@@ -77,6 +77,7 @@ def edges(docs: DataFrame, k: int, buckets: int) -> DataFrame:
                     ids, counts, hs, held = [], [], [], 0
         if held:
             yield flush(ids, counts, hs)
+        release()
 
     return docs.mapInArrow(run, "bucket int, blob binary")
 
@@ -85,6 +86,11 @@ def repeated(edge_blobs: DataFrame, groups: int) -> DataFrame:
     """``(grp, blob)``: packed (document, place, source document, place) of repeated windows."""
 
     def run(table):
+        out = find(table)
+        release()
+        return out
+
+    def find(table):
         hs, ids, pos = [], [], []
         for blob in table.column("blob"):
             did, n, h, at = unpack(blob.as_py())
@@ -93,8 +99,12 @@ def repeated(edge_blobs: DataFrame, groups: int) -> DataFrame:
             hs.append(np.cumsum(h))
             ids.append(did[d])
             pos.append((at - starts[d]).astype(np.int32))
-        h, did, p = np.concatenate(hs), np.concatenate(ids), np.concatenate(pos)
-        del hs, ids, pos
+        h = np.concatenate(hs)
+        del hs
+        did = np.concatenate(ids)
+        del ids
+        p = np.concatenate(pos)
+        del pos
         order = np.argsort(h, kind="stable")
         h = h[order]
         new = np.concatenate([[True], h[1:] != h[:-1]])
