@@ -93,6 +93,21 @@ def search_offtargets(spark: SparkSession, index: str, guides_path: str, budget:
     return out
 
 
+def merge_results(spark: SparkSession, shards: list[str], out: str, sort: str = "edits", layout: str = "scored") -> int:
+    """Merge hit tables into one sorted table; returns its rows.  A malformed row raises an error, an unreadable score is ``NA``."""
+    rows = None
+    for path in shards:
+        h = tracks.strict_hits(tracks.read_hits(spark, path))
+        if "cfd_score" not in h.columns:
+            h = h.withColumn("cfd_score", F.lit(None).cast("double"))
+        h = h.select(*tracks.HIT_COLUMNS)
+        rows = h if rows is None else rows.unionByName(h)
+    ordered = ordering.by_edit_distance(rows) if sort == "edits" else ordering.by_coordinates(rows)
+    shape = {"scored": sinks.scored_layout, "plain": sinks.plain_layout, "legacy": sinks.legacy_layout}[layout]
+    sinks.write_tsv(shape(ordered), out, single_file=True)
+    return rows.count()
+
+
 def annotate_results(spark: SparkSession, targets: str, beds: list[str], outdir: str, names: list[str] | None = None, minus_pos: str = "rightmost") -> str:
     hits = tracks.read_hits(spark, targets).withColumn("row_id", F.monotonically_increasing_id())
     names = A.track_names(len(beds), names)
@@ -150,4 +165,4 @@ def draw(spark: SparkSession, tables: dict[str, str], outdir: str) -> list[str]:
     return made
 
 
-__all__ = ["add_variants", "annotate_results", "draw", "generate_report", "index_genome", "load_index", "read_pam", "search_offtargets"]
+__all__ = ["add_variants", "annotate_results", "draw", "generate_report", "index_genome", "load_index", "merge_results", "read_pam", "search_offtargets"]

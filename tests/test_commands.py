@@ -1,7 +1,9 @@
 import gzip
 from pathlib import Path
 
-from siteseer.plans import cli
+import pytest
+
+from siteseer.plans import api, cli
 
 GENOME = "ACGTTGCAAG" + "ACGTTGCAAGTCACGATGCATGG" + "TTTTTTTTTT" + "AAGTTGCAAGTCACGATGCAAGG" + "TTTTTTTTTTTTTTTTTTTT"
 
@@ -33,6 +35,12 @@ def test_five_commands(spark, tmp_path):
     assert lines[2].split("\t")[4] == "AaGTTGCAAGTCACGATGCAAGG" and lines[2].endswith("NA")
     assert (d / "out/guides.profile.xls").read_text().count("\n") == 2
     (d / "hits.tsv").write_text("\n".join(lines) + "\n")
+    (d / "more.tsv").write_text(lines[0].rsplit("\t", 1)[0] + "\nchr1\t5\t+\tA\tA\t0\tX\t0\t0\n")
+    assert api.merge_results(spark, [str(d / "hits.tsv"), str(d / "more.tsv")], str(d / "merged")) == 3
+    assert [x.split("\t")[1] for x in text_of(d / "merged").splitlines()] == ["pos", "5", "11", "44"]
+    (d / "bad.tsv").write_text(lines[0] + "\nchr1\tx\t+\tA\tA\t0\tX\t0\t0\tNA\n")
+    with pytest.raises(Exception):
+        api.merge_results(spark, [str(d / "bad.tsv")], str(d / "merged2"))
     ok("annotate-results", "--targets", d / "hits.tsv", "--annotations", d / "genes.bed", "--annotation-names", "gene", "--outdir", d / "ann")
     rows = text_of(d / "ann/hits.annotated.tsv").splitlines()
     assert [r.split("\t")[-1] for r in rows] == ["gene", "exon", "NA"]
