@@ -61,23 +61,29 @@ class Classifier:
     features: dict[str, int]
     weights: np.ndarray  # one per feature, then: any, two or more, share of words, intercept
 
-    def hits(self, text: str) -> tuple[list[int], int]:
-        low = text.lower()
-        ws = set(WORDS.findall(low))
-        get, out = self.features.get, []
+    def hits(self, text: str) -> tuple[list[int], int, int]:
+        """Features that a text has, how many of its distinct words have one, and its distinct words."""
+        ws = set(WORDS.findall(text.lower()))
+        get, out, found = self.features.get, set(), 0
         for w in ws:
-            for key in (f"w:{w}", *(f"s:{w[:n]}" for n in STEMS if len(w) > n)):
-                i = get(key)
-                if i is not None:
-                    out.append(i)
-        return out, len(ws)
+            before = found
+            i = get("w:" + w)
+            if i is not None:
+                out.add(i)
+                found = before + 1
+            for n in STEMS:
+                if len(w) > n:
+                    i = get("s:" + w[:n])
+                    if i is not None:
+                        out.add(i)
+                        found = before + 1
+        return sorted(out), found, len(ws)
 
     def score(self, text: str) -> float:
-        h, n = self.hits(text)
+        h, k, n = self.hits(text)
         x = self.weights[-1]
         if h:
-            k = len(set(h))
-            x += self.weights[list(set(h))].sum() + self.weights[-4] + self.weights[-3] * (k > 1) + self.weights[-2] * min(1.0, 10 * k / max(n, 10))
+            x += self.weights[h].sum() + self.weights[-4] + self.weights[-3] * (k > 1) + self.weights[-2] * min(1.0, 10 * k / max(n, 10))
         return float(1 / (1 + math.exp(-max(-30.0, min(30.0, x)))))
 
 
@@ -146,20 +152,16 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 25) -> tuple[
     return post, np.stack([p0, p1]), corr
 
 
-def _design(hits: list[list[int]], n_words: np.ndarray, k: int) -> np.ndarray:
+def _design(hits: list[list[int]], found: np.ndarray, n_words: np.ndarray, k: int) -> np.ndarray:
     x = np.zeros((len(hits), k + 4))
-    x[:, -1] = 1
     for i, h in enumerate(hits):
-        own = list(set(h))
-        if own:
-            x[i, own] = 1
-            x[i, -4] = 1
-            x[i, -3] = len(own) > 1
-            x[i, -2] = min(1.0, 10 * len(own) / max(int(n_words[i]), 10))
+        x[i, h] = 1
+    x[:, -4], x[:, -3], x[:, -1] = found > 0, found > 1, 1
+    x[:, -2] = np.minimum(1.0, 10 * found / np.maximum(n_words, 10))
     return x
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 30) -> np.ndarray:
     """Newton steps on soft labels; the intercept is not shrunk."""
     w = np.zeros(x.shape[1])
     shrink = np.full(len(w), ridge)
@@ -185,18 +187,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_featur
     def run(batches):
         for b in batches:
             got = [blank.hits(t or "") for t in b.column(2).to_pylist()]
-            yield pa.record_batch({"toxic": b.column(1), "hits": pa.array([h for h, _ in got], pa.list_(pa.int32())), "n": pa.array([k for _, k in got], pa.int64())})
+            yield pa.record_batch({"toxic": b.column(1), "hits": pa.array([g[0] for g in got], pa.list_(pa.int32())), "k": pa.array([g[1] for g in got], pa.int64()), "n": pa.array([g[2] for g in got], pa.int64())})
 
     # max_rows rows of a few numbers each
-    got = rows.select("doc_id", "toxic", "text").mapInArrow(run, "toxic int, hits array<int>, n bigint").collect()
-    hits, gold, size = [list(r["hits"]) for r in got], np.array([r["toxic"] for r in got]), np.array([r["n"] for r in got])
-    x = _design(hits, size, len(index))
+    got = rows.select("doc_id", "toxic", "text").mapInArrow(run, "toxic int, hits array<int>, k bigint, n bigint").collect()
+    hits, gold = [list(r["hits"]) for r in got], np.array([r["toxic"] for r in got])
+    found, size = np.array([r["k"] for r in got]), np.array([r["n"] for r in got])
+    x = _design(hits, found, size, len(index))
     groups: dict[str, list[int]] = {}
     for f, i in index.items():
         groups.setdefault(f[2:6], []).append(i)
     big = sorted(groups.values(), key=lambda g: -x[:, g].sum())[:MAX_VOTERS]
     voters = [np.where(x[:, g].any(1), 1, -1) for g in big]
-    found = x[:, :-4].sum(1)
     voters += [np.where(found == 0, 0, -1), np.where(found > 1, 1, -1), np.where(x[:, -2] > 0.1, 1, -1), np.where((found == 0) & (size > 100), 0, -1)]
     post, _, _ = label_model(np.column_stack(voters), gold)
     return Classifier(index, logistic(x, post))
