@@ -76,5 +76,6 @@ def cfd_model():
     """A small explicit penalty table: the published values are an input, not part of the engine."""
     from ..operators.scoring import CfdModel
 
-    pairs = {f"r{g}:d{t},{i}": round(0.3 + 0.05 * i - 0.1 * (g == "G"), 2) for g in "ACGU" for t in "ACGT" for i in range(1, 13)}
+    # four decimals keep products away from ties of the two-decimal rounding
+    pairs = {f"r{g}:d{t},{i}": round(0.3017 + 0.0511 * i - 0.0973 * (g == "G"), 4) for g in "ACGU" for t in "ACGT" for i in range(1, 13)}
     return CfdModel(pairs, {"GG": 0.9, "AG": 0.2})

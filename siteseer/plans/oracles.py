@@ -112,7 +112,7 @@ def cfd(kw: dict) -> str:
 c AS (SELECT *, substr(translate(upper(g), 'T', 'U'), i, 1) AS x, substr(translate(upper(t), 'T', 'U'), i, 1) AS y FROM (
   SELECT *, unnest(range(1, length(g) + 1)) AS i FROM (SELECT row_number() OVER () AS id, *, substr(grna, 1, length(grna) - 3) AS g, substr(spacer, 1, length(spacer) - 3) AS t FROM hits))),
 f AS (SELECT id, product(CASE WHEN x = y THEN 1 WHEN x = '-' OR y = '-' THEN (CASE WHEN i = 1 THEN 0 ELSE 1 END)
-    WHEN i <= 12 AND x IN ('A', 'C', 'G', 'U') THEN round(0.3 + 0.05 * i - CASE WHEN x = 'G' THEN 0.1 ELSE 0 END, 2) ELSE 1 END) AS p,
+    WHEN i <= 12 AND x IN ('A', 'C', 'G', 'U') THEN round(0.3017 + 0.0511 * i - CASE WHEN x = 'G' THEN 0.0973 ELSE 0 END, 4) ELSE 1 END) AS p,
   any_value(spacer) AS sp, {', '.join(f'any_value({k}) AS {k}' for k in ('chrom', 'pos', 'strand', 'grna', 'spacer', 'guide_id'))} FROM c GROUP BY id)
 SELECT chrom, pos, strand, grna, spacer, guide_id, round(p * CASE upper(right(sp, 2)) WHEN 'GG' THEN 0.9 WHEN 'AG' THEN 0.2 ELSE 1 END, 2) AS cfd_score FROM f"""
 
