@@ -31,7 +31,7 @@ from ._text import U, mix, powers
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-CACHE = 300_000
+CACHE = 500_000
 #: Pairs of pieces whose compatibility is kept.
 PAIRS = 4_000_000
 #: Ids of characters outside the vocabulary inside the lattice: this plus the code point.
@@ -50,6 +50,7 @@ class Model:
         self.text = [sp.id_to_piece(i) for i in range(n)]
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_of = {p: b for b, p in enumerate(self.bytes)}
+        self.odd = np.array([sp.is_byte(i) or sp.is_control(i) for i in range(n)])
         skip = lambda i: sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)
         self.silent = {i for i in range(n) if sp.is_control(i)}
         self.rank = {self.text[i]: (-sp.get_score(i), i) for i in range(n) if not skip(i)}
@@ -59,7 +60,10 @@ class Model:
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], ids[order]
         self.pairs, self.fine = np.zeros(0, np.int64), np.zeros(0, bool)
+        # two characters that no piece holds side by side: no merge crosses there
+        self.touching = {s[i : i + 2] for s in self.rank for i in range(len(s) - 1)}
         self.cache: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     @staticmethod
     def _prefix(codes: np.ndarray) -> np.ndarray:
@@ -101,9 +105,8 @@ class Model:
             for c in new.tolist():
                 a, b = self._name(c >> 22), self._name(c & (1 << 22) - 1)
                 fine.append(self.merge(a + b) == ([a, b] if a else [b]))
-            pairs = np.concatenate([self.pairs, new])
-            order = np.argsort(pairs)
-            self.pairs, self.fine = pairs[order], np.concatenate([self.fine, fine])[order]
+            at = np.searchsorted(self.pairs, new)
+            self.pairs, self.fine = np.insert(self.pairs, at, new), np.insert(self.fine, at, fine)
         return self.fine[np.searchsorted(self.pairs, code)]
 
     def viterbi(self, ws: list[str]) -> np.ndarray:
@@ -135,21 +138,44 @@ class Model:
         return out
 
     def add(self, ws) -> None:
-        """Segment words that are not cached."""
+        """Segment words that are not cached, part by part."""
         if len(self.cache) + len(ws) > CACHE:
-            self.cache.clear()
+            self.cache.clear()  # emptied before, so that all of ``ws`` is put back
+        if len(self.parts) > CACHE:
+            self.parts.clear()
+        cut = {w: self._parts(w) for w in ws}
         by: dict[int, list[str]] = {}
-        for w in ws:
-            if w.startswith(MARK + MARK):
-                self.cache[w] = self._bytes([self.rank[p][1] if p in self.rank else OTHER + ord(p) for p in self.merge(w)])
-            else:
-                by.setdefault(len(w), []).append(w)
+        for x in {x for xs in cut.values() for x in xs}:
+            if x not in self.parts:
+                if x.startswith(MARK + MARK):
+                    self.parts[x] = self._bytes([self.rank[p][1] if p in self.rank else OTHER + ord(p) for p in self.merge(x)])
+                else:
+                    by.setdefault(len(x), []).append(x)
         for size, group in by.items():
             step = max(1, (1 << 18) // size)
             for i in range(0, len(group), step):
                 part = group[i : i + step]
-                for w, row in zip(part, self.viterbi(part)):
-                    self.cache[w] = self._bytes(row[row >= 0].tolist())
+                rows = self.viterbi(part)
+                ids, ends = rows[rows >= 0], np.cumsum((rows >= 0).sum(1)).tolist()
+                plain, at = (ids < OTHER).all(), 0
+                raw = ids.astype("<u4").tobytes() if plain else b""
+                for x, end in zip(part, ends):
+                    self.parts[x] = raw[4 * at : 4 * end] if plain else self._bytes(ids[at:end].tolist())
+                    at = end
+        for w, xs in cut.items():
+            self.cache[w] = b"".join([self.parts[x] for x in xs])
+
+    def _parts(self, w: str) -> list[str]:
+        """A word, cut where no piece can reach across; plain words are left whole."""
+        if w.lstrip(MARK).isalpha():
+            return [w]
+        out, at = [], 0
+        for i in range(1, len(w)):
+            if w[i - 1 : i + 1] not in self.touching:
+                out.append(w[at:i])
+                at = i
+        out.append(w[at:])
+        return out
 
     def _bytes(self, ids: list[int]) -> bytes:
         out = []
@@ -164,17 +190,20 @@ class Model:
         out, got = [], self.cache
         for i in range(0, len(texts), 500):
             split = [self.split(t) for t in texts[i : i + 500]]
-            new = {w for ws in split for w in ws if w not in got}
+            asked = set().union(*split)
+            new = asked - got.keys()
             if new:
-                if len(got) + len(new) > CACHE:  # the cache is emptied: all words of the batch are needed
-                    new = {w for ws in split for w in ws}
-                self.add(new)
-            out += [b"".join([got[w] for w in ws]) for ws in split]
+                # a full cache is emptied, and then all words of the batch are needed
+                self.add(asked if len(got) + len(new) > CACHE else new)
+            out += [b"".join(map(got.__getitem__, ws)) for ws in split]
         return out
 
-    def decode(self, ids) -> str:
+    def decode(self, ids: np.ndarray) -> str:
+        if not self.odd[ids].any():
+            s = "".join(map(self.text.__getitem__, ids.tolist())).replace(MARK, " ")
+            return s[1:] if s.startswith(" ") else s
         parts, run = [], bytearray()
-        for i in ids:
+        for i in ids.tolist():
             b = self.byte_of.get(i)
             if b is not None:
                 run.append(b)
@@ -221,7 +250,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
         m = model(path)
         for b in batches:
             blobs = b.column(b.schema.get_field_index(ids)).to_pylist()
-            texts = [m.decode(np.frombuffer(x or b"", "<u4").tolist()) for x in blobs]
+            texts = [m.decode(np.frombuffer(x or b"", "<u4")) for x in blobs]
             yield pa.record_batch({c: b.column(i) for i, c in enumerate(cols)} | {"decoded": pa.array(texts, pa.string())})
 
     return encoded.mapInArrow(run, fields + ", decoded string")
