@@ -26,14 +26,14 @@ _BASE = U(0x9E3779B97F4A7C15)
 _INV = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = U(0xD6E8FEB86659FD93)
 #: Bytes of text worked on at once; a longer text is a chunk of its own.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 _tables: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the base and of its inverse, kept for the next call."""
     if not _tables or len(_tables[0]) < n:
-        m = max(n, CHUNK + (1 << 18))
+        m = max(n, CHUNK + (1 << 17))
         up, down = np.full(m, _BASE, U), np.full(m, _INV, U)
         up[0] = down[0] = 1
         _tables[:] = [np.cumprod(up), np.cumprod(down)]

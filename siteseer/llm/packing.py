@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._dist import power_of_two, small_batches, stash
-from ._text import flat
+from ._text import flat, release
 
 CAPACITY = 2048
 END_ID = 0
@@ -85,6 +85,10 @@ class Chunks(dict):
         out = self.parts[p] = struct.pack(f"<{len(t := self.model.tokenize(shown))}I", *[x.id for x in t])
         return out
 
+    def forget(self) -> None:
+        self.clear()
+        self.parts.clear()
+
     def ids(self, raw: bytes) -> bytes:
         return b"".join(map(self.__getitem__, raw.split()))
 
@@ -124,6 +128,9 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
             start = np.array(start, np.int64)
             out = {"doc_id": b.column(0).take(pa.array(row, pa.int64())), "piece": pa.array(start // capacity, pa.int32()), "start": start, "length": np.array(length, np.int64), "ids_crc32": np.array(crc, np.int64)}
             yield pa.record_batch(out | ({"ids": pa.array(blob, pa.binary())} if with_ids else {}))
+        # workers live on between stages: their memory is for what comes next
+        enc.forget()
+        release()
 
     return small_batches(docs).select(doc_id, text).mapInArrow(cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
 

@@ -32,9 +32,9 @@ from ._dist import lookup_join, power_of_two, small_batches, stash, text_bytes
 from ._text import U, chunks, deltas, flat, mix, pack, powers, release, unpack, windows, words
 
 #: Bytes of text whose windows meet in one bucket.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 6 << 20
 #: Windows buffered by a task before they are sent.
-FLUSH = 1 << 20
+FLUSH = 3 << 19
 #: Span requests that travel with one copy of a text.
 REQUESTS = 5000
 
@@ -247,6 +247,7 @@ def edit_documents(docs: DataFrame, k: int = 13) -> DataFrame:
             texts = [t if not s else _kept(t.encode(), s)[2].decode() for t, s in zip(b.column(at).to_pylist(), spans_of)]
             cols = {f.name: b.column(b.schema.get_field_index(f.name)) for f in schema.fields} | {"text": pa.array(texts, pa.string())}
             yield pa.record_batch(cols)
+        release()
 
     out = lookup_join(docs, spans, ["doc_id"], how="left", row_bytes=256).select(*docs.columns, "spans").mapInArrow(run, schema)
     return out.withColumn("n_chars", F.char_length("text").cast("bigint")) if "n_chars" in docs.columns else out

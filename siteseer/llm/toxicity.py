@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._dist import small_batches, stash
+from ._text import release
 
 #: Labelled rows used for fitting, at most.
 MAX_ROWS = 20_000
@@ -224,5 +225,6 @@ def reject(docs: DataFrame, clf: Classifier) -> DataFrame:
     def run(batches):
         for b in batches:
             yield b.filter(pa.array([clf.score(t or "") < 0.5 for t in b.column(at).to_pylist()], pa.bool_()))
+        release()
 
     return small_batches(docs).mapInArrow(run, fields)
