@@ -88,7 +88,7 @@ def contig_names(spark, d):
     return I.table(spark, d, "documents").where("lang IS NOT NULL").select("lang", contig_name(F.col("lang")).alias("contig")).distinct()
 
 
-@query(f"WITH {O.GUIDES.replace('genome', 'genome')} SELECT guide_id, guide, {O.rc('guide')} AS reverse_complement FROM guides".replace("WITH ", f"WITH {O.GENOME}, "))
+@query(f"WITH {O.GENOME}, {O.GUIDES} SELECT guide_id, guide, {O.rc('guide')} AS reverse_complement FROM guides")
 def guide_table(spark, d):
     return guides_frame(spark, I.guides(spark, d))
 
