@@ -26,10 +26,11 @@ are counted over all documents.
 Equal sets count as one member until the end.
 
 Defined cases: null, empty and blank texts have an empty set and no link; a
-text with fewer than ``k`` words has its whole sequence as one shingle;
-of repeated rows with one ``doc_id`` each takes the component of its own set; a
-null ``doc_id`` takes no part and is its own (null) component; an empty
-table gives no rows; other columns are ignored.
+text with fewer than ``k`` words has its whole sequence as one shingle; rows
+with one ``doc_id`` are one document to ``join_components``, so that their
+links meet there, and each has a row of its own, and are documents of their
+own to ``keep_one``; a null ``doc_id`` takes no part and is its own (null)
+component; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._dist import connected_components, lookup_join, power_of_two, small_batches, stash, text_bytes
+from ._dist import bucket_count, connected_components, discard, lookup_join, power_of_two, small_batches, stash, text_bytes
 from ._text import LOWER, U, chunks, deltas, doc_of, flat, mix, pack, release, unpack, windows, words
 
 #: First filter: bands of orders, and orders in all under which first shingles must agree.
@@ -360,7 +361,7 @@ def verify(docs: DataFrame, units: DataFrame, k: int, pct: int) -> DataFrame:
         far = a != b
         return pa.table({"part": pa.array([0] * int(far.sum()), pa.int32()), "a": a[far], "b": b[far]})
 
-    joined = lookup_join(docs, units, ["doc_id"], row_bytes=48).select("doc_id", "text", "units")
+    joined = lookup_join(docs, units, ["doc_id"], row_bytes=F.lit(48) + 8 * F.size("units")).select("doc_id", "text", "units")
     sent = joined.mapInArrow(ship, "unit bigint, doc_id bigint, s binary")
     return sent.groupBy("unit").applyInArrow(run, "part int, a bigint, b bigint")
 
@@ -386,7 +387,7 @@ def join_components(docs: DataFrame, k: int = 4, pct: int = 85, doc_id: str = "d
     some = lookup_join(live, marks, ["doc_id"], "left", row_bytes=40).where(F.col("marked").isNull() | F.col("comp").isNotNull())
     some = some.select("doc_id", "text", F.coalesce("comp", "doc_id").alias("comp"))
     common = common_shingles(surveyed, n_docs, share)
-    buckets = power_of_two(size / BUCKET_BYTES, 8)
+    buckets = bucket_count(size, BUCKET_BYTES, 8)
     rest = some
     for o in range(2):
         ids = stash(supported(prefixes(rest, k, pct, common, buckets, [o], EXTRA), every.select("doc_id", "n"), pct, EXTRA, buckets), "supported")
@@ -438,10 +439,21 @@ def _across_blocks(docs: DataFrame, large: DataFrame, links: DataFrame, k: int,
 
 
 def keep_one(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
-    """The documents that are the least of their component, with all their columns.
+    """One row of each component, with all its columns; rows without a shingle stay.
 
-    Documents without a shingle stay.
+    Rows are judged, not ids: two rows of one ``doc_id`` are two documents.
+    The row of the least ``doc_id`` stays (a null one counts as the largest),
+    of several the one of the least hash of its text, and one of equal rows.
     """
-    comp = stash(join_components(docs, k, pct), "components")
-    gone = stash(comp.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    return lookup_join(docs, gone, ["doc_id"], how="left_anti", row_bytes=16)
+    row = "__siteseer_row"
+    numbered = stash(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    comp = stash(join_components(numbered, k, pct, doc_id=row).where("n_shingles > 0").select(F.col("doc_id").alias(row), "component_id"), "components")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.col(row).alias("row"))
+    # a row alone in its component stays: only the others meet
+    many = comp.groupBy("component_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("component_id")
+    named = stash(comp.join(many, "component_id", "left_semi").join(numbered.select(row, place.alias("o")), row), "named")
+    # written, so that a component of very many rows is a skewed key of a plain join
+    first = stash(named.groupBy("component_id").agg(F.min("o").alias("first")), "first")
+    gone = stash(named.join(first, "component_id").where(F.col("o.row") != F.col("first.row")).select(row), "gone")
+    discard(comp, named, first)
+    return lookup_join(numbered, gone, [row], how="left_anti", row_bytes=16).drop(row)
