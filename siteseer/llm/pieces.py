@@ -9,9 +9,11 @@ substrings that end there are hashed from prefix arrays, the hashes probe the
 sorted piece keys, and the vectorised maximum over the candidates is stored as
 a backpointer.  Compatibility of a pair is found once by merging and kept.
 
-Words are cached, so each distinct word of a worker is segmented once.  Words
-with more than one leading space mark, whose pieces tie in score, are merged
-directly.  Characters outside the vocabulary become their UTF-8 bytes.
+Words are cached, so each distinct word of a worker is segmented once; a full
+cache is emptied.  Runs of space marks, whose pieces tie in score, and words
+beyond ``LONG`` characters, whose lattice would hold a row of substrings a
+character, are merged directly, which costs little more than their length.
+Characters outside the vocabulary become their UTF-8 bytes.
 
 Defined cases: null and empty texts have no ids and decode to an empty text;
 repeated rows are encoded one by one; an empty table gives no rows; other
@@ -20,6 +22,7 @@ columns are ignored.  A text's own U+2581 decodes to a space, as in the model.
 
 from __future__ import annotations
 
+import heapq
 import re
 
 import numpy as np
@@ -27,13 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._dist import small_batches
-from ._text import U, mix, powers
+from ._text import U, mix, powers, release
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-CACHE = 500_000
+#: Words, and parts of words, that a worker keeps.
+CACHE = 250_000
 #: Pairs of pieces whose compatibility is kept.
-PAIRS = 4_000_000
+PAIRS = 2_000_000
+#: Words beyond so many characters are merged without a lattice.
+LONG = 4096
 #: Ids of characters outside the vocabulary inside the lattice: this plus the code point.
 OTHER = 1 << 21
 START = (1 << 21) - 1
@@ -59,6 +65,10 @@ class Model:
         keys = np.concatenate([self._keys(self.text[i]) for i in ids.tolist()])
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], ids[order]
+        # the code points of every piece by place, so that a hash that hits is compared with the piece itself
+        self.codes = np.full((n, self.longest), -1, np.int32)
+        for i in ids.tolist():
+            self.codes[i, : len(self.text[i])] = [ord(c) for c in self.text[i]]
         self.pairs, self.fine = np.zeros(0, np.int64), np.zeros(0, bool)
         # two characters that no piece holds side by side: no merge crosses there
         self.touching = {s[i : i + 2] for s in self.rank for i in range(len(s) - 1)}
@@ -76,18 +86,36 @@ class Model:
         return mix(acc[:, -1] + np.array([len(s)], U) * U(0xA24BAED4963EE407))
 
     def merge(self, s: str) -> list[str]:
-        """The segmentation by merges: best score first, leftmost among equals."""
-        parts = list(s)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = self.rank.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r[0] < best):
-                    best, at = r[0], i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        """The segmentation by merges: best score first, leftmost among equals.
+
+        Parts form a linked list, and possible merges a heap, so a word costs
+        little more than its length, however long it is.
+        """
+        parts: list[str | None] = list(s)
+        after, before = list(range(1, len(s) + 1)), list(range(-1, len(s) - 1))
+        rank, heap = self.rank, []
+        for i in range(len(s) - 1):
+            if (r := rank.get(s[i : i + 2])) is not None:
+                heap.append((r[0], i, s[i : i + 2]))
+        heapq.heapify(heap)
+        while heap:
+            _, i, whole = heapq.heappop(heap)
+            j = after[i]
+            left = parts[i]
+            # an entry is stale when either side has changed since
+            if left is None or j >= len(parts) or len(left) + len(parts[j]) != len(whole) or not whole.startswith(left):
+                continue
+            parts[i], parts[j], after[i] = whole, None, after[j]
+            if after[i] < len(parts):
+                before[after[i]] = i
+                new = whole + parts[after[i]]
+                if (r := rank.get(new)) is not None:
+                    heapq.heappush(heap, (r[0], i, new))
+            if before[i] >= 0:
+                new = parts[before[i]] + whole
+                if (r := rank.get(new)) is not None:
+                    heapq.heappush(heap, (r[0], before[i], new))
+        return [p for p in parts if p is not None]
 
     def _name(self, i: int) -> str:
         return "" if i == START else chr(i - OTHER) if i >= OTHER else self.text[i]
@@ -121,6 +149,11 @@ class Model:
             h = mix((acc[:, j : j + 1] - acc[:, j - lens]) * down[j - lens] + lens.astype(U) * U(0xA24BAED4963EE407))
             at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
             cand = np.where(self.keys[at] == h, self.ids[at], -1)
+            r, c = np.nonzero(cand >= 0)
+            for x in range(m):  # the hit's own characters, from its last one back
+                in_piece = lens[c] > x
+                there = self.codes[cand[r, c], np.maximum(lens[c] - 1 - x, 0)] == codes[r, j - 1 - x]
+                cand[r[in_piece & ~there], c[in_piece & ~there]] = -1
             cand[:, 0] = np.where(cand[:, 0] < 0, OTHER + codes[:, j - 1], cand[:, 0])
             r, c = np.nonzero(cand >= 0)
             ok = self.compatible(last[r, j - lens[c]], cand[r, c])
@@ -147,7 +180,7 @@ class Model:
         by: dict[int, list[str]] = {}
         for x in {x for xs in cut.values() for x in xs}:
             if x not in self.parts:
-                if x.startswith(MARK + MARK):
+                if x.startswith(MARK + MARK) or len(x) > LONG:
                     self.parts[x] = self._bytes([self.rank[p][1] if p in self.rank else OTHER + ord(p) for p in self.merge(x)])
                 else:
                     by.setdefault(len(x), []).append(x)
@@ -183,6 +216,11 @@ class Model:
             out += [self.bytes[b] for b in chr(i - OTHER).encode()] if i >= OTHER else [i]
         return np.array(out, "<u4").tobytes()
 
+    def forget(self) -> None:
+        """Empties the caches of words; workers live on between stages."""
+        self.cache.clear()
+        self.parts.clear()
+
     def split(self, text: str) -> list[str]:
         return WORD.findall(MARK + text.replace(" ", MARK)) if text else []
 
@@ -237,6 +275,8 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
         for b in batches:
             ids = m.encode_batch([t or "" for t in b.column(1).to_pylist()])
             yield pa.record_batch({"doc_id": b.column(0), "text": b.column(1), "ids": pa.array(ids, pa.binary())})
+        m.forget()
+        release()
 
     return small_batches(docs).select(doc_id, text).mapInArrow(run, f"doc_id {kind}, text string, ids binary")
 
