@@ -10,7 +10,9 @@ can only come from the template, and undoing it is exact.
 
 ``loss`` has an entry per text in order: ``skip`` code points from the end of
 the text before (control strings and the role), ``take`` code points of the
-escaped text, and ``on``, true where the role is trained on.
+escaped text, and ``on``, true where the role is trained on.  Reading checks
+every entry against the places where the string has its texts, so a mask that
+does not point at them raises an error.
 
 Defined cases: a null role or text is empty; equal turn numbers are ordered
 by role and text, null turns come first; repeated rows are repeated turns; a
@@ -46,19 +48,29 @@ def format_chats(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
         F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"),
     )
     s = s.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    opens = lambda x, i: F.coalesce(F.get("ts", i - 1)["role"] != x["role"], F.lit(True))
-    lead = lambda x, i: F.when((i == 0) | opens(x, i), F.concat(F.when(i == 0, F.lit("")).otherwise(F.lit(END)), F.lit(TURN), escape(x["role"]), F.lit(TEXT))).otherwise(F.lit(JOINT))
-    s = s.select("conv_id", F.transform("ts", lambda x, i: F.struct(lead(x, i).alias("lead"), escape(x["text"]).alias("body"), x["role"].isin(*loss_roles).alias("on"))).alias("ps"))
-    whole = F.concat(F.array_join(F.transform("ps", lambda p: F.concat(p["lead"], p["body"])), ""), F.lit(END))
-    loss = F.transform("ps", lambda p: F.struct(F.char_length(p["lead"]).cast("long").alias("skip"), F.char_length(p["body"]).cast("long").alias("take"), p["on"].alias("on")))
-    return s.select("conv_id", whole.alias("formatted"), loss.alias("loss"))
+    # adjacent turns of one role become one merged turn with an array of texts
+    n = F.size("ts")
+    opens = lambda i: (i == 0) | (F.get("ts", i)["role"] != F.get("ts", i - 1)["role"])
+    s = s.select("conv_id", "ts", F.filter(F.sequence(F.lit(0), n - 1), opens).alias("at"))
+    end = lambda k: F.coalesce(F.get("at", k + 1), n)
+    texts = lambda i, k: F.transform(F.slice("ts", i + 1, end(k) - i), lambda x: escape(x["text"]))
+    s = s.select("conv_id", F.transform("at", lambda i, k: F.struct(F.get("ts", i)["role"].alias("role"), texts(i, k).alias("bodies"))).alias("ms"))
+    block = lambda m: F.concat(F.lit(TURN), escape(m["role"]), F.lit(TEXT), F.array_join(m["bodies"], JOINT), F.lit(END))
+    first = lambda m, k: F.when(k == 0, F.lit(0)).otherwise(F.lit(len(END))) + len(TURN) + F.char_length(escape(m["role"])) + len(TEXT)
+    mask = lambda m, k: F.transform(m["bodies"], lambda b, i: F.struct(F.when(i == 0, first(m, k)).otherwise(F.lit(len(JOINT))).cast("long").alias("skip"), F.char_length(b).cast("long").alias("take"), m["role"].isin(*loss_roles).alias("on")))
+    return s.select("conv_id", F.array_join(F.transform("ms", block), "").alias("formatted"), F.flatten(F.transform("ms", mask)).alias("loss"))
 
 
 def read_chats(formatted: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(conv_id, turns, loss_texts)`` and the columns in ``keep``, read back from formatted strings and masks."""
     blocks = F.slice(F.split("formatted", _literal(TURN)), 2, 1 << 30)
     s = formatted.select("conv_id", *keep, "loss", F.transform(blocks, lambda b: F.split(F.substring(b, F.lit(1), F.char_length(b) - len(END)), _literal(TEXT))).alias("bs"))
-    one = lambda b: F.transform(F.split(F.get(b, F.lit(1)), _literal(JOINT)), lambda t: F.struct(unescape(F.get(b, F.lit(0))).alias("role"), t.alias("body")))
+    # what stands before each text: the end of the block before, its own block's head, or a joint
+    head = lambda b, k: F.when(k == 0, F.lit(0)).otherwise(F.lit(len(END))) + len(TURN) + F.char_length(F.get(b, F.lit(0))) + len(TEXT)
+    one = lambda b, k: F.transform(F.split(F.get(b, F.lit(1)), _literal(JOINT)), lambda t, i: F.struct(unescape(F.get(b, F.lit(0))).alias("role"), t.alias("body"), F.when(i == 0, head(b, k)).otherwise(F.lit(len(JOINT))).alias("skip")))
     s = s.select("conv_id", *keep, "loss", F.flatten(F.transform("bs", one)).alias("ts"))
-    picked = F.transform(F.filter(F.transform("ts", lambda t, i: F.struct(t["body"].alias("body"), F.get("loss", i).alias("m"))), lambda x: x["m"]["on"]), lambda x: unescape(F.substring(x["body"], F.lit(1), x["m"]["take"].cast("int"))))
-    return s.select("conv_id", *keep, F.transform("ts", lambda t: F.struct(t["role"].alias("role"), unescape(t["body"]).alias("text"))).alias("turns"), picked.alias("loss_texts"))
+    wrong = F.exists(F.zip_with("ts", "loss", lambda t, m: ~F.coalesce((t["skip"] == m["skip"]) & (F.char_length(t["body"]) == m["take"]), F.lit(False))), lambda x: x)
+    checked = F.when(wrong, F.raise_error(F.lit("a loss mask that does not point at the texts"))).otherwise(F.col("ts"))
+    s = s.select("conv_id", *keep, "loss", checked.alias("ts"))
+    on = F.filter("ts", lambda t, i: F.get("loss", i)["on"])
+    return s.select("conv_id", *keep, F.transform("ts", lambda t: F.struct(t["role"].alias("role"), unescape(t["body"]).alias("text"))).alias("turns"), F.transform(on, lambda t: unescape(t["body"])).alias("loss_texts"))
