@@ -6,6 +6,11 @@ built over the complete key universe of the corpus, it ends with no mistakes,
 and membership of any key of that universe is exact without a join.  All of it
 is SQL functions: bits are set with ``bit_or`` and tested inside one projection.
 
+Filters travel with the plan, so one cascade holds at most ``MAX_BITS``.  Keys
+are dealt into parts by hash, as many as the lists need, and each part has its
+own cascade.  Rows are written once by part, and every part is judged by its
+cascade alone; with one part nothing needs to be written.
+
 Defined cases: a null url or one without ``://`` has an empty host and path,
 fits no rule and is allowed; repeated rows are judged one by one; an empty
 table or list gives an empty cascade that lists nothing; other columns are
@@ -15,14 +20,16 @@ ignored.
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ._dist import stash
+from ._dist import discard, shared_dir, stash
 
-#: The filters are sent with the plan only up to this many bits in all; a larger list is joined.
+#: Bits that one cascade may take; a list that needs more is dealt into more parts.
 MAX_BITS = 1 << 24
 HASHES = 4
 BITS_PER_KEY = 8
@@ -107,7 +114,7 @@ def build_cascade(keys: DataFrame, max_bits: int = MAX_BITS) -> list[Level] | No
         if n == 0:
             return levels
         spent += max(64, 2 * BITS_PER_KEY * n)
-        if spent > max_bits:
+        if spent > max_bits and n > 1:
             return None
         i = len(levels)
         levels.append(_level(own, i, n))
@@ -115,6 +122,25 @@ def build_cascade(keys: DataFrame, max_bits: int = MAX_BITS) -> list[Level] | No
         side = not side
 
 
+def part_of(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("part"), key), F.lit(parts)).cast("int")
+
+
+def build_parts(keys: DataFrame, max_bits: int = MAX_BITS) -> list[list[Level]]:
+    """A cascade per part of the keys; parts double until each cascade is small enough."""
+    parts = 1
+    while True:
+        out = []
+        for i in range(parts):
+            levels = build_cascade(keys.where(part_of(F.col("key"), parts) == i), max_bits)
+            if levels is None:
+                break
+            out.append(levels)
+        else:
+            return out
+        parts *= 2
+
+
 def contains(key: Column, levels: list[Level]) -> Column:
     """Whether a key of the universe is listed."""
     if not levels:
@@ -130,12 +156,28 @@ def filter_urls(pages: DataFrame, rules: list[Rule], listed: DataFrame, page_id:
     host, path = host_path(F.col(url))
     p = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     keys = universe(p.select(F.col("host").alias("key")), listed)
-    levels = build_cascade(keys, max_bits)
-    if levels is None:  # too large to send along: an equi-join with the listed keys
-        own = keys.where("listed").select(F.col("key").alias("host"), F.lit(True).alias("is_listed"))
-        p = p.join(own, "host", "left").withColumn("is_listed", F.coalesce("is_listed", F.lit(False)))
+    cascades = build_parts(keys, max_bits)
+    discard(keys)
+    if len(cascades) == 1:
+        p = p.withColumn("is_listed", contains(F.col("host"), cascades[0]))
     else:
-        p = p.withColumn("is_listed", contains(F.col("host"), levels))
+        p = _judge_parts(p, cascades)
     p = p.withColumn("hit", match_rule(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("hit.verdict"), F.when(F.col("is_listed"), F.lit("block")).otherwise(F.lit("allow")))
     return p.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"), F.col("is_listed").alias("listed"))
+
+
+def _judge_parts(p: DataFrame, cascades: list[list[Level]]) -> DataFrame:
+    """Adds ``is_listed`` part by part, each in a job that carries one cascade only."""
+    spark, n = p.sparkSession, len(cascades)
+    where = f"{shared_dir(spark)}/siteseer-urlparts-{uuid.uuid4().hex}"
+    # no exchange: a task writes a file for each part it has rows of, so a hot host stays spread
+    p.withColumn("part", part_of(F.col("host"), n)).write.partitionBy("part").parquet(where)
+    rows = spark.read.schema(StructType([*p.schema.fields, StructField("part", IntegerType())])).parquet(where)
+    out = None
+    for i, levels in enumerate(cascades):
+        own = stash(rows.where(F.col("part") == i).drop("part").withColumn("is_listed", contains(F.col("host"), levels)), "urlpart")
+        out = own if out is None else out.unionByName(own)
+    rows._siteseer_path = where
+    discard(rows)
+    return out
