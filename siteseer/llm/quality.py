@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ._dist import words_column
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclaims")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclaims", "n_letters", "n_bullets", "n_ellipses")
 
 #: Rule name -> failure condition over the measures; the position is the bit.
 RULES: dict[str, str] = {
@@ -30,14 +30,22 @@ RULES: dict[str, str] = {
     "exclaims": "100 * n_exclaims > 30 * n_words",
     "duplicate_lines": "100 * n_dup_lines > 50 * n_lines",
     "word_length": "word_chars > 20 * n_words OR word_chars < 2 * n_words",
+    "letters": "100 * n_letters < 50 * word_chars",
+    "bullets": "100 * n_bullets > 90 * n_lines",
+    "ellipses": "100 * n_ellipses > 30 * n_lines",
 }
 
 #: Policy version -> the rules that reject a document.
 POLICIES: dict[str, tuple[str, ...]] = {
     "base": ("few_words", "repeated_words"),
-    "v1": tuple(RULES),
+    "v1": ("few_words", "repeated_words", "symbols", "exclaims", "duplicate_lines", "word_length"),
+    "v2": tuple(RULES),
 }
 
+#: Lines that begin with a bullet, and lines that end in an ellipsis.
+BULLET = "^[\\x20\\x09-\\x0D]*[-*\u2022\u2023\u25e6]"
+ELLIPSIS = "([.][.][.]|\u2026)[\\x20\\x09-\\x0D]*$"
+
 #: Bits of a packed window key that hold its place; longer texts compare all windows exactly.
 PLACE_BITS = 20
 
@@ -61,17 +69,20 @@ def ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: b
         F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + F.char_length(x)).alias("word_chars"),
         (F.char_length("t") - F.char_length(bare)).cast("long").alias("n_symbols"),
         (F.char_length("t") - F.char_length(F.replace(F.col("t"), F.lit("!"), F.lit("")))).cast("long").alias("n_exclaims"),
+        F.char_length(F.regexp_replace("t", "\\P{L}+", "")).cast("long").alias("n_letters"),
+        F.size(F.filter("ls", lambda x: x.rlike(BULLET))).cast("long").alias("n_bullets"),
+        F.size(F.filter("ls", lambda x: x.rlike(ELLIPSIS))).cast("long").alias("n_ellipses"),
         F.size("ls").cast("long").alias("n_lines"),
         (F.size("ls") - F.size(F.array_distinct("ls"))).cast("long").alias("n_dup_lines"),
         _window_keys(F.col("w")).alias("keys"),
     )
-    rest = ["n_words", "word_chars", "n_symbols", "n_exclaims", "n_lines", "n_dup_lines"]
+    rest = [m for m in MEASURES if m != "n_repeat_words"]
     s = s.select("doc_id", *names, "w", *rest, F.sort_array("keys").alias("keys"))
     s = s.select("doc_id", *names, "w", *rest, _candidates().alias("cand"))
     s = s.select("doc_id", *names, *rest, F.sort_array(F.transform("cand", lambda p: F.struct(_window("w", p).alias("s"), p.alias("p")))).alias("cand"))
     s = s.select("doc_id", *names, *rest, _covered().alias("n_repeat_words"))
     failed = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.expr(c), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(RULES.values())])
-    # the row number keeps the optimizer from pushing a filter on the bits, and a copy of every measure, below the ledger
+    # a fence: the row number keeps the optimizer from pushing a filter on the bits, and a copy of every measure, below the ledger
     return s.select("doc_id", *MEASURES, F.when(F.monotonically_increasing_id() >= 0, failed.cast("long")).alias("failed"), *names)
 
 
@@ -101,14 +112,17 @@ def _covered() -> Column:
     return F.size(F.array_distinct(F.flatten(places))).cast("long")
 
 
-def judge(led: DataFrame, policy: str = "v1") -> DataFrame:
-    """Adds ``base_failed`` and ``kept`` under a policy, from the bits alone."""
-    bits = F.col("failed")
-    base = bits.bitwiseAND(F.lit(mask_of(POLICIES["base"]))) != 0
-    return led.withColumn("base_failed", base).withColumn("kept", ~base & (bits.bitwiseAND(F.lit(mask_of(POLICIES[policy]))) == 0))
+def passes(policy: str) -> Column:
+    """Whether a ledger row passes a policy, from its bits alone; ``base`` rules are part of every policy."""
+    return F.col("failed").bitwiseAND(F.lit(mask_of(POLICIES["base"]) | mask_of(POLICIES[policy]))) == 0
+
+
+def judge(led: DataFrame, policy: str = "v2") -> DataFrame:
+    """Adds ``base_failed`` and ``kept`` under a policy."""
+    return led.withColumn("base_failed", ~passes("base")).withColumn("kept", passes(policy))
 
 
-def ablation(led: DataFrame, policy: str = "v1") -> DataFrame:
+def ablation(led: DataFrame, policy: str = "v2") -> DataFrame:
     """Per rule of a policy: documents it fails, and those that only it fails."""
     want = mask_of(POLICIES[policy])
     bits = F.col("failed").bitwiseAND(F.lit(want))
@@ -121,6 +135,6 @@ def ablation(led: DataFrame, policy: str = "v1") -> DataFrame:
     return wide.select(F.inline(rows))
 
 
-def reject(docs: DataFrame, policy: str = "v1") -> DataFrame:
+def reject(docs: DataFrame, policy: str = "v2") -> DataFrame:
     """The documents a policy keeps, with all their columns."""
     return judge(ledger(docs, carry=True), policy).where("kept").select("row.*")

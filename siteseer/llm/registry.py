@@ -154,13 +154,13 @@ FROM d LEFT JOIN m USING (doc_id) LEFT JOIN j USING (doc_id)
 
 
 def op10_quality(spark: SparkSession, d: str) -> DataFrame:
-    led = quality.judge(quality.ledger(_docs(spark, d)), "v1")
-    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+    led = quality.judge(quality.ledger(_docs(spark, d)), "v2").withColumn("kept_v1", quality.passes("v1"))
+    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_v1", "failed")
 
 
 def _op10_sql() -> str:
     bits = " + ".join(f"CASE WHEN {c} THEN {1 << i} ELSE 0 END" for i, c in enumerate(quality.RULES.values()))
-    base = quality.mask_of(quality.POLICIES["base"])
+    base, v1 = (quality.mask_of(quality.POLICIES[p]) for p in ("base", "v1"))
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
 x AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
@@ -171,10 +171,13 @@ m AS (
   SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda y: length(y))), 0) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(length(regexp_replace(t, '[^!]', '', 'g')) AS BIGINT) AS n_exclaims,
+    CAST(length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) AS BIGINT) AS n_letters,
+    CAST(len(list_filter(ls, lambda y: regexp_matches(y, '{quality.BULLET}'))) AS BIGINT) AS n_bullets,
+    CAST(len(list_filter(ls, lambda y: regexp_matches(y, '{quality.ELLIPSIS}'))) AS BIGINT) AS n_ellipses,
     CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
   FROM d JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
 f AS (SELECT *, CAST({bits} AS BIGINT) AS failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & {base} <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & {base} <> 0 AS base_failed, failed = 0 AS kept, failed & {v1} = 0 AS kept_v1, failed FROM f
 """
 
 
