@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._dist import power_of_two, small_batches, stash
+from ._dist import discard, lookup_join, power_of_two, small_batches, stash
 from ._text import flat, release
 
 CAPACITY = 2048
@@ -221,29 +221,30 @@ def places(patterns) -> dict[str, np.ndarray]:
 def pack_pieces(cut: DataFrame, capacity: int = CAPACITY, per_salt: int = 1 << 20) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to a (written) table of pieces."""
     n = cut.count()
-    salts = power_of_two(n / per_salt, 16, 4096)
+    salts = power_of_two(n / per_salt, 16)
     rows = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    # capacity * salts sums at most, whatever the corpus
-    by = rows.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("c")).collect()
-    grid = np.zeros((capacity + 1, salts), np.int64)
-    for r in by:
-        grid[r["length"], r["salt"]] = r["c"]
-    before = np.cumsum(grid, 1) - grid
-    at = places(plan(grid.sum(1), capacity))
+    sums = stash(rows.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("c")), "lengths")
+    # the driver sees the histogram alone: at most ``capacity`` rows, whatever the corpus
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in sums.groupBy("length").agg(F.sum("c").alias("c")).collect():
+        counts[r["length"]] = r["c"]
+    before = stash(sums.select("length", "salt", F.expr("sum(c) over (partition by length order by salt) - c").alias("before")), "ranks")
+    discard(sums)
+    at = places(plan(counts, capacity))
     key = at["length"] << 44 | at["rank"] if len(at["length"]) else np.zeros(0, np.int64)
     rows = rows.withColumn("rn", F.expr("row_number() over (partition by length, salt order by doc_id, piece, start)"))
+    rows = lookup_join(rows, before, ["length", "salt"], row_bytes=40).withColumn("place", F.col("before") + F.col("rn") - 1)
     cols = [c for c in cut.columns]
 
     def put(batches):
         for b in batches:
-            length, salt, rn = (b.column(b.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("length", "salt", "rn"))
-            rank = before[length, salt] + rn - 1
+            length, rank = (b.column(b.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("length", "place"))
             i = np.searchsorted(key, length << 44 | rank, "right") - 1
             out = {c: b.column(b.schema.get_field_index(c)) for c in cols}
             yield pa.record_batch(out | {"sequence_id": at["sequence"][i] + rank - at["rank"][i], "offset": at["offset"][i]})
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
-    return rows.select(*cols, "salt", "rn").mapInArrow(put, fields + ", sequence_id bigint, offset bigint")
+    return rows.select(*cols, "place").mapInArrow(put, fields + ", sequence_id bigint, offset bigint")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._dist import stash
+from ._dist import lookup_join, stash
 
 #: Borders and unplaced groups may be off by this share of a shard.
 TOLERANCE = 0.002
@@ -104,7 +104,7 @@ def shard(docs: DataFrame, n_shards: int = 16, doc_id: str = "doc_id", text: str
     placed = F.when(F.lit(False), F.lit(0))
     if home:
         table = rows.sparkSession.createDataFrame([(k, s) for k, s in home.items()], "key bigint, home int")
-        rows = rows.join(F.broadcast(table), "key", "left")
+        rows = rows.join(F.broadcast(table), "key", "left")  # at most n_shards / tolerance rows
         placed = F.col("home")
     else:
         rows = rows.withColumn("home", F.lit(None).cast("int"))
@@ -133,7 +133,7 @@ def _slots(rows: DataFrame, n_shards: int, n: int, per_part: int = 1 << 20) -> D
     parts = max(16, -(-n // (n_shards * per_part)))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "key"), F.lit(parts)).cast("int"))
     sums = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("c"))  # n_shards * parts rows
-    before = sums.select("shard", "part", F.expr("sum(c) over (partition by shard order by part) - c").alias("base"))
+    before = stash(sums.select("shard", "part", F.expr("sum(c) over (partition by shard order by part) - c").alias("base")), "slots")
     rows = rows.withColumn("rn", F.expr("row_number() over (partition by shard, part order by key, doc_id)"))
-    rows = rows.join(F.broadcast(before), ["shard", "part"], "left")
+    rows = lookup_join(rows, before, ["shard", "part"], "left", row_bytes=40)
     return rows.withColumn("slot", (F.coalesce("base", F.lit(0)) + F.col("rn") - 1).cast("long"))
