@@ -1,22 +1,30 @@
 """Toxicity by weak supervision.
 
 Labelled rows show which words and word stems occur far more often in toxic
-texts than chance allows; those that share a stem form a lexicon voter, and
-patterns over a text are further voters.  A generative label model (two
-classes, each voter with its own accuracies per class) is fitted by
-expectation-maximisation; voters that still agree given the class are
-correlated and share their weight.  The label itself is one more, noisy voter.
-A logistic regression on word, stem and density features is then trained on
-the posteriors and scores every whole text.
+texts than chance allows; those that share a stem form a lexicon voter.
+Patterns over the text (masked and stretched words, shouting, runs of marks,
+words set beside each other with a lexicon word) are voters of their own, and
+so is the density of lexicon words.  A voter votes toxic, clean or abstains.
+
+A generative label model (two classes, each voter with its own probabilities
+of the three votes in each class) is fitted by expectation-maximisation, and
+estimates the accuracies of all voters, the label's own among them, which is
+one more, noisy voter that starts at ``LABEL_TRUST``.  What voters share
+beyond the class is measured as residual correlation, and every round lowers
+the weight of correlated voters, so that a group of them counts about once.
+A logistic regression on word, stem, pattern and density features is trained
+on the posteriors and scores every whole text.
 
 Only ``max_rows`` labelled rows are used for fitting, those with the least
-hash of their id; rows that are held out never take part.  Scoring reads every
-text in full.
+hash of their id; rows that are held out never take part.  Every word or stem
+with significant evidence is a feature, and every stem a voter; their number
+is bounded by the sample alone.  Scoring reads every text in full.
 
 Defined cases: a null or empty text has no feature and gets the score of the
 intercept; of several labels of one id the largest counts; ids without a text
-or label do not take part in the fit; without usable labels every score is 0;
-an empty table gives no rows; other columns are ignored.
+or label do not take part in the fit; without usable labels nothing is known,
+and every score is the least one, below one in a million; repeated rows are
+scored one by one; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,17 +38,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._dist import small_batches, stash
+from ._dist import discard, small_batches, stash
 from ._text import release
 
 #: Labelled rows used for fitting, at most.
 MAX_ROWS = 20_000
-#: Words and stems kept, at most; those with the strongest evidence first.
-MAX_FEATURES = 400
-MAX_VOTERS = 40
 STEMS = (4, 5)
+#: How far the label is trusted at first, and how far at most.
 LABEL_TRUST = 0.9
+MOST_TRUST = 0.98
 WORDS = re.compile(r"[^\W\d_]+")
+#: Patterns over a whole text, each a voter and a feature; the fit finds out what they are worth.
+PATTERNS = {
+    "masked": re.compile(r"[^\W\d_][*@#$%]+[^\W\d_]"),
+    "stretched": re.compile(r"([^\W\d_])\1{3}"),
+    "marks": re.compile(r"[!?]{2}"),
+    "shouting": re.compile(r"\b[A-Z]{4,}\b"),
+}
+#: Features after the lexicon's: patterns, a pair of lexicon words side by side, any, two or more, share of words, intercept.
+EXTRA = len(PATTERNS) + 5
 
 
 def held_out(doc_id):
@@ -57,34 +73,43 @@ def text_features(text: str) -> set[str]:
     return out
 
 
+@dataclass(frozen=True)
+class Found:
+    """What a text shows: its features, patterns, side-by-side lexicon words, distinct words with a feature, distinct words."""
+
+    features: list[int]
+    patterns: list[int]
+    beside: bool
+    hits: int
+    words: int
+
+
 @dataclass(frozen=True)
 class Classifier:
     features: dict[str, int]
-    weights: np.ndarray  # one per feature, then: any, two or more, share of words, intercept
-
-    def hits(self, text: str) -> tuple[list[int], int, int]:
-        """Features that a text has, how many of its distinct words have one, and its distinct words."""
-        ws = set(WORDS.findall(text.lower()))
-        get, out, found = self.features.get, set(), 0
-        for w in ws:
-            before = found
-            i = get("w:" + w)
-            if i is not None:
-                out.add(i)
-                found = before + 1
-            for n in STEMS:
-                if len(w) > n:
-                    i = get("s:" + w[:n])
-                    if i is not None:
-                        out.add(i)
-                        found = before + 1
-        return sorted(out), found, len(ws)
+    weights: np.ndarray  # one per feature, then EXTRA more
+
+    def look(self, text: str) -> Found:
+        ws = WORDS.findall(text.lower())
+        get, of, out = self.features.get, {}, set()
+        for w in set(ws):
+            own = [get("w:" + w)] + [get("s:" + w[:n]) for n in STEMS if len(w) > n]
+            own = [i for i in own if i is not None]
+            if own:
+                of[w] = own
+                out.update(own)
+        beside = False
+        if len(of) > 0:
+            beside = any(a in of and b in of for a, b in zip(ws, ws[1:]))
+        patterns = [i for i, p in enumerate(PATTERNS.values()) if p.search(text)]
+        return Found(sorted(out), patterns, beside, len(of), len(set(ws)))
 
     def score(self, text: str) -> float:
-        h, k, n = self.hits(text)
-        x = self.weights[-1]
-        if h:
-            x += self.weights[h].sum() + self.weights[-4] + self.weights[-3] * (k > 1) + self.weights[-2] * min(1.0, 10 * k / max(n, 10))
+        f, k = self.look(text), len(self.features)
+        x = self.weights[-1] + self.weights[k : k + len(PATTERNS)][f.patterns].sum()
+        if f.features:
+            extra = self.weights[k + len(PATTERNS) :]
+            x += self.weights[f.features].sum() + extra[0] * f.beside + extra[1] + extra[2] * (f.hits > 1) + extra[3] * min(1.0, 10 * f.hits / max(f.words, 10))
         return float(1 / (1 + math.exp(-max(-30.0, min(30.0, x)))))
 
 
@@ -95,7 +120,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
 
 
-def lexicon(rows: DataFrame, max_features: int = MAX_FEATURES) -> tuple[list[str], int]:
+def lexicon(rows: DataFrame) -> tuple[list[str], int]:
     """Words and stems with significantly many toxic texts, and the number of texts."""
 
     def run(batches):
@@ -118,19 +143,21 @@ def lexicon(rows: DataFrame, max_features: int = MAX_FEATURES) -> tuple[list[str
     rest = F.when(F.col("t") < F.col("n"), (F.col("n") - F.col("t")) * F.log((1 - share) / (1 - rate))).otherwise(F.lit(0.0))
     c = c.where((share > rate) & (F.col("t") > 2)).withColumn("e", F.col("t") * F.log(share / rate) + rest)
     c = c.where((F.col("e") > math.log(50_000)) & (share > 0.5))
-    return [r["f"] for r in c.orderBy(F.col("e").desc(), "f").limit(max_features).select("f").collect()], n
+    # of at most ``max_rows`` texts, and only those with evidence
+    return sorted(r["f"] for r in c.select("f").collect()), n
 
 
 def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posteriors, accuracies and correlations of voters.
 
     ``votes`` holds 1 (toxic), 0 (clean) and -1 (abstains); ``gold`` is one
-    more voter.
+    more voter, whose accuracy is estimated like the others' and kept between
+    a half and ``MOST_TRUST``.
     """
     v = np.column_stack([votes, gold])
     n, m = v.shape
     on = np.stack([v == c for c in (-1, 0, 1)]).astype(float)  # kind, row, voter
-    trust = np.log(LABEL_TRUST / (1 - LABEL_TRUST))
+    right = LABEL_TRUST
     post = np.where(gold == 1, LABEL_TRUST, 1 - LABEL_TRUST)
     weight = np.ones(m)
     for _ in range(rounds):
@@ -144,21 +171,22 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 25) -> tuple[
         weight = 1 / (1 + np.clip(corr, 0, 1).sum(1))
         llr = np.log(p1) - np.log(p0)
         prior = np.log((post.mean() + 1e-6) / (1 - post.mean() + 1e-6))
+        trust = np.log(right / (1 - right))
         odds = prior + sum((on[k] * (llr[k] * weight)[None, :])[:, :-1].sum(1) for k in range(3)) + np.where(gold == 1, trust, -trust)
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        if np.abs(new - post).max() < 1e-4:
-            post = new
+        moved, post = np.abs(new - post).max(), new
+        right = float(np.clip(np.where(gold == 1, post, 1 - post).mean(), 0.5, MOST_TRUST))
+        if moved < 1e-4:
             break
-        post = new
     return post, np.stack([p0, p1]), corr
 
 
-def _design(hits: list[list[int]], found: np.ndarray, n_words: np.ndarray, k: int) -> np.ndarray:
-    x = np.zeros((len(hits), k + 4))
-    for i, h in enumerate(hits):
-        x[i, h] = 1
-    x[:, -4], x[:, -3], x[:, -1] = found > 0, found > 1, 1
-    x[:, -2] = np.minimum(1.0, 10 * found / np.maximum(n_words, 10))
+def _design(found: list[Found], k: int) -> np.ndarray:
+    x = np.zeros((len(found), k + EXTRA))
+    for i, f in enumerate(found):
+        x[i, f.features] = 1
+        x[i, [k + p for p in f.patterns]] = 1
+        x[i, -5:] = f.beside, f.hits > 0, f.hits > 1, min(1.0, 10 * f.hits / max(f.words, 10)), 1
     return x
 
 
@@ -176,35 +204,43 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 30)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Classifier:
     rows = stash(training_rows(docs, labels, max_rows), "toxfit")
-    names, n = lexicon(rows, max_features)
-    names.sort()
+    names, n = lexicon(rows)
     index = {f: i for i, f in enumerate(names)}
-    blank = Classifier(index, np.zeros(len(index) + 4))
     if not names:
-        return Classifier({}, np.array([0.0, 0.0, 0.0, -30.0]))
+        return Classifier({}, np.array([0.0] * (EXTRA - 1) + [-30.0]))
+    blank = Classifier(index, np.zeros(len(index) + EXTRA))
 
     def run(batches):
         for b in batches:
-            got = [blank.hits(t or "") for t in b.column(2).to_pylist()]
-            yield pa.record_batch({"toxic": b.column(1), "hits": pa.array([g[0] for g in got], pa.list_(pa.int32())), "k": pa.array([g[1] for g in got], pa.int64()), "n": pa.array([g[2] for g in got], pa.int64())})
+            got = [blank.look(t or "") for t in b.column(2).to_pylist()]
+            yield pa.record_batch({
+                "toxic": b.column(1), "features": pa.array([f.features for f in got], pa.list_(pa.int32())), "patterns": pa.array([f.patterns for f in got], pa.list_(pa.int32())),
+                "beside": pa.array([f.beside for f in got]), "hits": pa.array([f.hits for f in got], pa.int64()), "words": pa.array([f.words for f in got], pa.int64()),
+            })
 
     # max_rows rows of a few numbers each
-    got = rows.select("doc_id", "toxic", "text").mapInArrow(run, "toxic int, hits array<int>, k bigint, n bigint").collect()
-    hits, gold = [list(r["hits"]) for r in got], np.array([r["toxic"] for r in got])
-    found, size = np.array([r["k"] for r in got]), np.array([r["n"] for r in got])
-    x = _design(hits, found, size, len(index))
-    groups: dict[str, list[int]] = {}
-    for f, i in index.items():
-        groups.setdefault(f[2:6], []).append(i)
-    big = sorted(groups.values(), key=lambda g: -x[:, g].sum())[:MAX_VOTERS]
-    voters = [np.where(x[:, g].any(1), 1, -1) for g in big]
-    voters += [np.where(found == 0, 0, -1), np.where(found > 1, 1, -1), np.where(x[:, -2] > 0.1, 1, -1), np.where((found == 0) & (size > 100), 0, -1)]
-    post, _, _ = label_model(np.column_stack(voters), gold)
+    got = rows.select("doc_id", "toxic", "text").mapInArrow(run, "toxic int, features array<int>, patterns array<int>, beside boolean, hits bigint, words bigint").collect()
+    discard(rows)
+    found, gold = [Found(list(r["features"]), list(r["patterns"]), r["beside"], r["hits"], r["words"]) for r in got], np.array([r["toxic"] for r in got])
+    x = _design(found, len(index))
+    post, _, _ = label_model(np.column_stack(voters(x, index, np.array([f.words for f in found]))), gold)
     return Classifier(index, logistic(x, post))
 
 
+def voters(x: np.ndarray, index: dict[str, int], words: np.ndarray) -> list[np.ndarray]:
+    """Votes of the lexicon's stems, of the patterns, and of the density of lexicon words, from the design of the sample."""
+    stems: dict[str, list[int]] = {}
+    for f, i in index.items():
+        stems.setdefault(f[2 : 2 + STEMS[0]], []).append(i)
+    out = [np.where(x[:, g].any(1), 1, -1) for g in stems.values()]
+    out += [np.where(x[:, len(index) + p] > 0, 1, -1) for p in range(len(PATTERNS))]
+    beside, some, several, share = x[:, -5] > 0, x[:, -4] > 0, x[:, -3] > 0, x[:, -2]
+    out += [np.where(beside, 1, -1), np.where(several, 1, -1), np.where(share > 0.1, 1, -1)]
+    return out + [np.where(~some, 0, -1), np.where(~some & (words > 100), 0, -1)]
+
+
 def score(docs: DataFrame, clf: Classifier, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row."""
     kind = docs.schema[doc_id].dataType.simpleString()
