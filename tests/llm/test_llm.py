@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -42,9 +43,6 @@ def awkward(seed=0):
     return texts
 
 
-EMPTY = []
-
-
 # words and packing of columns
 
 
@@ -298,6 +296,78 @@ def test_prefix_hashes():
         assert p.equal(i, j, k)
 
 
+def naive_hash(codes):
+    out = 0
+    for p, b in zip(fingerprint.MODULI, fingerprint.BASES):
+        out = out << 31 | sum((c + 1) * pow(b, i, p) for i, c in enumerate(codes)) % p
+    return out
+
+
+def mix64(x):
+    m = (1 << 64) - 1
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+    return x ^ x >> 31
+
+
+def naive_sketch(text):
+    """Slot -> (least hash, its first place), by plain loops."""
+    codes, out = [ord(c) for c in text], {}
+    spans = [codes[i : i + 16] for i in range(len(codes) - 15)] if len(codes) >= 16 else [codes] * bool(codes)
+    for i, s in enumerate(spans):
+        h = mix64(naive_hash(s))
+        slot, h = h >> 58, h & (1 << 58) - 1
+        if slot not in out or h < out[slot][0]:
+            out[slot] = (h, i)
+    return out
+
+
+def naive_hex(sk):
+    return "".join(f"{mix64(sk[s][0]) % 65535 + 1 if s in sk else 0:04x}" for s in range(64))
+
+
+def naive_likeness(a, b):
+    """Code points of both texts in common runs around agreeing slots."""
+    if not a and not b:
+        return 1.0
+    x, y = naive_sketch(a), naive_sketch(b)
+    in_a, in_b = set(), set()
+    for s in x.keys() & y.keys():
+        (h, i), (g, j) = x[s], y[s]
+        if h != g:
+            continue
+        n = min(16, len(a))
+        while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+            n += 1
+        while i and j and a[i - 1] == b[j - 1]:
+            i, j, n = i - 1, j - 1, n + 1
+        in_a |= set(range(i, i + n))
+        in_b |= set(range(j, j + n))
+    return (len(in_a) + len(in_b)) / (len(a) + len(b))
+
+
+def test_fingerprints_equal_plain_loops(spark):
+    rnd = random.Random(12)
+    texts = [t[:260] if t else t for t in awkward(9)[:30]] + ["a" * 40, "a" * 55, "x" * 15, "xyxyxyxyxyxyxyxyxyxyxyxyxy", "\U0001F600" * 20]
+    base = "".join(rnd.choices("abcde fgh", k=200))
+    texts += [base, base[:90] + "Q" + base[90:], base[50:150], "zz" + base, base]
+    rows = {r["doc_id"]: r for r in fingerprint.compare_with_edits(frame(spark, texts), rows_per_range=6).collect()}
+    for i, t in enumerate(texts):
+        t, nxt = t or "", texts[(i + 1) % len(texts)] or ""
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        assert rows[i]["fingerprint"] == naive_hex(naive_sketch(t)) and rows[i]["edited_fingerprint"] == naive_hex(naive_sketch(edited))
+        assert rows[i]["near_edited"] == pytest.approx(naive_likeness(t, edited)) and rows[i]["near_next"] == pytest.approx(naive_likeness(t, nxt))
+    assert rows[len(texts) - 5]["near_next"] > 0.9
+
+
+def test_ranges_of_ids(spark):
+    cuts = sorted(random.Random(1).sample(range(-500, 500), 77))
+    df = spark.range(-600, 600).select("id", fingerprint.range_of(F.col("id"), cuts).alias("r"))
+    assert all(r["r"] == sum(c <= r["id"] for c in cuts) for r in df.collect())
+    ids = spark.range(1000).select(F.col("id").alias("i"))
+    assert fingerprint.range_cuts(ids, 1000, 1) == [] and len(fingerprint.range_cuts(ids, 1000, 8)) == 7
+
+
 def test_fingerprints(spark):
     texts = awkward(8)
     docs = frame(spark, texts).withColumn("doc_id", F.col("doc_id") * 3 - 50)
@@ -362,6 +432,27 @@ def test_keep_one(spark):
     assert {r["doc_id"] for r in out.collect()} == want and out.columns[0] == "doc_id"
 
 
+def test_keep_one_judges_rows(spark):
+    a, b, c = ("%s " % x * 3 + " ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (7, c), (9, b), (9, b), (9, b), (None, c), (None, "only here " * 9), (3, None), (3, None), (4, "")]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, component_id int").repartition(3)
+    kept = sorted((r["doc_id"] is None, r["doc_id"] or 0, (r["text"] or "")[:3]) for r in jaccard.keep_one(df).collect())
+    assert kept == [(False, 1, "a a"), (False, 3, ""), (False, 3, ""), (False, 4, ""), (False, 5, "b b"), (False, 7, "c c"), (True, 0, "onl")]
+    equal = spark.createDataFrame([(2, a)] * 5, "doc_id long, text string")
+    assert jaccard.keep_one(equal).count() == 1 and jaccard.keep_one(equal.where("false")).count() == 0
+
+
+def test_hubs_do_not_meet(spark, monkeypatch):
+    """A hub's edges get its minimum by broadcast: same components with any threshold."""
+    edges = spark.createDataFrame([(0, 1000, i) for i in range(200)] + [(0, i, i + 500) for i in range(50)] + [(1, 7, 9)], "part int, a long, b long")
+    want = None
+    for rows in (10**9, 3, 64):
+        monkeypatch.setattr(_dist, "HOT_ROWS", rows)
+        got = sorted(tuple(r) for r in _dist.connected_components(edges).collect())
+        assert want in (None, got)
+        want = got
+
+
 # 8 urls
 
 
@@ -377,12 +468,25 @@ def test_cascade_is_exact(spark):
     assert urlfilter.build_cascade(keys, 64) is None and urlfilter.build_cascade(keys.where("false")) == []
 
 
+def test_large_lists_are_dealt_into_cascades(spark):
+    """A list beyond one cascade's bits, in many parts of several levels: still exact, and without a join."""
+    pages = spark.createDataFrame([(i, f"http://h{i % 700}.net/x") for i in range(1500)] + [(-1, None)], "page_id long, url string")
+    listed = spark.createDataFrame([(f"h{i}.net",) for i in range(0, 700, 3)] + [("elsewhere.org",)], "key string")
+    out = urlfilter.filter_urls(pages, [], listed, max_bits=1200)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["page_id"]: r["verdict"] for r in out.collect()}
+    assert len(got) == 1501 and all(v == ("block" if i >= 0 and i % 700 % 3 == 0 else "allow") for i, v in got.items())
+    keys = urlfilter.universe(spark.createDataFrame([(f"h{i}.net",) for i in range(700)], "key string"), listed)
+    parts = urlfilter.build_parts(keys, 1200)
+    assert len(parts) >= 4 and max(len(p) for p in parts) > 1
+
+
 def test_url_rules(spark):
     rules = [urlfilter.Rule("allow", "org", "/"), urlfilter.Rule("block", "example.org", "/es/"), urlfilter.Rule("block", "example.org", "/en/1")]
     urls = [(0, "HTTP://A.Example.ORG/es/x?q#f"), (1, "x://example.org/en/12"), (2, "x://badexample.org/es/"), (3, None), (4, "no scheme"), (5, "x://spam.net?a/b"), (6, "x://ok.net#z"), (7, "x://org"), (8, ""), (9, "x://spam.net/a://b/c")]
     df = spark.createDataFrame(urls, "page_id long, url string")
     listed = spark.createDataFrame([("spam.net",)], "key string")
-    for most in (urlfilter.MAX_BITS, 1):  # by cascade and by join
+    for most in (urlfilter.MAX_BITS, 1):  # by one cascade and by several
         got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.filter_urls(df, rules, listed, max_bits=most).collect()}
         assert got[0] == ("a.example.org", "/es/x", "example.org/es/", "block") and got[1][2:] == ("example.org/en/1", "block")
         assert got[2][2:] == ("org/", "allow") and got[3] == got[4] == got[8] == ("", "", None, "allow")
@@ -429,8 +533,11 @@ def test_repeats_with_odd_ids(spark):
 # 10 quality
 
 
-def test_quality_equals_brute_force(spark):
-    texts = awkward(4) + ["a b c " * 30, "x | y # z\nx | y # z\n \nx | y # z", "!!! " * 60, " ".join(f"q{i % 17}" for i in range(90)), "a\n" * 70]
+@pytest.mark.parametrize("bits", [quality.PLACE_BITS, 5])
+def test_quality_equals_brute_force(spark, monkeypatch, bits):
+    """With few bits for places, texts of 32 windows and more compare all windows."""
+    monkeypatch.setattr(quality, "PLACE_BITS", bits)
+    texts = ["- a b\n* c\n \u2022 d", "a...\nb\u2026 \nc", "12 34 ab", "\u00e9\u65e5x 1"] + awkward(4) + ["a b c " * 30, "x | y # z\nx | y # z\n \nx | y # z", "!!! " * 60, " ".join(f"q{i % 17}" for i in range(90)), "a\n" * 70]
     rows = {r["doc_id"]: r for r in quality.judge(quality.ledger(frame(spark, texts))).collect()}
     for i, t in enumerate(texts):
         t = t or ""
@@ -441,6 +548,8 @@ def test_quality_equals_brute_force(spark):
         rep = len({x for p in at.values() if len(p) > 1 for j in p for x in (j, j + 1, j + 2)})
         lines = [x for x in t.split("\n") if WORD.search(x)]
         r = rows[i]
+        assert r["n_letters"] == sum(unicodedata.category(c)[0] == "L" for c in t)
+        assert (r["n_bullets"], r["n_ellipses"]) == (sum(x.strip(" \t\n\x0b\x0c\r")[0] in "-*\u2022" for x in lines), sum(x.rstrip(" \t\n\x0b\x0c\r").endswith(("...", "\u2026")) for x in lines))
         assert (r["n_words"], r["word_chars"], r["n_symbols"]) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t))
         assert (r["n_dup_lines"], r["n_repeat_words"]) == (len(lines) - len(set(lines)), rep)
         assert r["base_failed"] == (len(w) < 50 or 100 * rep > 50 * len(w))
