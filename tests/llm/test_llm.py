@@ -510,19 +510,57 @@ def brute_repeats(texts, k):
     return out
 
 
-@pytest.mark.parametrize("seed,k", [(1, 13), (2, 3), (3, 5)])
-def test_repeats_equal_brute_force(spark, monkeypatch, seed, k):
+@pytest.mark.parametrize("seed,k,bits,common", [(1, 13, 64, 10**9), (2, 3, 64, 0), (3, 5, 11, 10**9), (4, 4, 9, 0)])
+def test_repeats_equal_brute_force(spark, monkeypatch, seed, k, bits, common):
+    """``bits``: first hashes that collide are settled; ``common`` 0: windows that recur in a buffer take the second pass."""
     monkeypatch.setattr(repeats, "REQUESTS", 3)
+    monkeypatch.setattr(repeats, "HASH_BITS", bits)
+    monkeypatch.setattr(repeats, "COMMON_LEAST", common)
     texts = awkward(seed)
     docs = frame(spark, texts)
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in repeats.remove_repeats(docs, k).collect()}
     assert got == brute_repeats(texts, k)
+    if seed > 2:
+        return
     kept = {r["doc_id"]: r for r in repeats.edit_documents(docs, k).collect()}
     for i, t in enumerate(texts):
         assert kept[i]["text"] == (t if not got[i][1] else got[i][2]) and kept[i]["lang"] == "en"
     assert repeats.remove_repeats(docs.where("false"), k).count() == 0
 
 
+def test_paths_do_not_branch(spark):
+    """The paths are those of a graph built by hand: repeated k-mers, nodes of k - 1 words, cut where degrees differ from one."""
+    k, rnd = 4, random.Random(8)
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(12)) for x in "abcd")
+    texts = [f"{a} {b}", f"{a} {c}", f"q {a} {b} z", f"{c} {d}", f"{d} {a} {c}", " ".join(rnd.choices("mn", k=40)), " ".join(rnd.choices("mn", k=40))]
+    first, docs_of = {}, defaultdict(set)
+    for i, t in enumerate(texts):
+        w = t.split()
+        for p in range(len(w) - k + 1):
+            first.setdefault(tuple(w[p : p + k]), (i, p))
+            docs_of[tuple(w[p : p + k])].add(i)
+    edges = {e: first[e] for e, ds in docs_of.items() if len(ds) > 1}
+    ins, outs = Counter(e[1:] for e in edges), Counter(e[:-1] for e in edges)
+    at = {s: e for e, s in edges.items()}
+    joined = lambda i, p: (i, p - 1) in at and (i, p) in at and ins[at[i, p][:-1]] == outs[at[i, p][:-1]] == 1
+    want = set()
+    for i, p in at:
+        if not joined(i, p):
+            n = 1
+            while joined(i, p + n):
+                n += 1
+            want.add((i, p, n))
+    assert {tuple(r) for r in repeats.repeated_paths(frame(spark, texts), k).collect()} == want and len(want) > 5
+
+
+def test_repeats_judge_rows_of_one_id(spark):
+    """Two texts under one id keep their own words where only the other one repeats."""
+    a, b = (" ".join(f"{x}{i}" for i in range(20)) for x in "ab")
+    df = spark.createDataFrame([(1, a), (5, a), (5, b), (7, "x " + b)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["kept_text"]) for r in repeats.remove_repeats(df).collect())
+    assert got == [(1, a), (5, ""), (5, b), (7, "x")]
+
+
 def test_repeats_with_odd_ids(spark):
     text = " ".join(f"t{i}" for i in range(20))
     df = spark.createDataFrame([(None, text), (5, text), (5, text), (7, text)], "doc_id long, text string")
