@@ -35,9 +35,11 @@ from ._text import U, mix, powers, release
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Words, and parts of words, that a worker keeps.
-CACHE = 250_000
+CACHE = 350_000
 #: Pairs of pieces whose compatibility is kept.
 PAIRS = 2_000_000
+#: Strings of up to so many characters are merged by scanning.
+SHORT = 40
 #: Words beyond so many characters are merged without a lattice.
 LONG = 4096
 #: Ids of characters outside the vocabulary inside the lattice: this plus the code point.
@@ -89,8 +91,11 @@ class Model:
         """The segmentation by merges: best score first, leftmost among equals.
 
         Parts form a linked list, and possible merges a heap, so a word costs
-        little more than its length, however long it is.
+        little more than its length, however long it is; a few characters are
+        scanned faster.
         """
+        if len(s) <= SHORT:
+            return self._scan(list(s))
         parts: list[str | None] = list(s)
         after, before = list(range(1, len(s) + 1)), list(range(-1, len(s) - 1))
         rank, heap = self.rank, []
@@ -117,6 +122,24 @@ class Model:
                     heapq.heappush(heap, (r[0], before[i], new))
         return [p for p in parts if p is not None]
 
+    def _scan(self, parts: list[str]) -> list[str]:
+        """Merges by looking over all neighbours for each."""
+        get = self.rank.get
+        ranks = [get(a + b) for a, b in zip(parts, parts[1:])]
+        while True:
+            best, at = None, -1
+            for i, r in enumerate(ranks):
+                if r is not None and (best is None or r[0] < best):
+                    best, at = r[0], i
+            if best is None:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get(parts[at - 1] + parts[at])
+            if at < len(ranks):
+                ranks[at] = get(parts[at] + parts[at + 1])
+
     def _name(self, i: int) -> str:
         return "" if i == START else chr(i - OTHER) if i >= OTHER else self.text[i]
 
@@ -149,11 +172,9 @@ class Model:
             h = mix((acc[:, j : j + 1] - acc[:, j - lens]) * down[j - lens] + lens.astype(U) * U(0xA24BAED4963EE407))
             at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
             cand = np.where(self.keys[at] == h, self.ids[at], -1)
-            r, c = np.nonzero(cand >= 0)
-            for x in range(m):  # the hit's own characters, from its last one back
-                in_piece = lens[c] > x
-                there = self.codes[cand[r, c], np.maximum(lens[c] - 1 - x, 0)] == codes[r, j - 1 - x]
-                cand[r[in_piece & ~there], c[in_piece & ~there]] = -1
+            for c in np.flatnonzero((cand >= 0).any(0)).tolist():  # a hit counts if the piece has these very characters
+                r = np.flatnonzero(cand[:, c] >= 0)
+                cand[r, c] = np.where((self.codes[cand[r, c], : c + 1] == codes[r, j - c - 1 : j]).all(1), cand[r, c], -1)
             cand[:, 0] = np.where(cand[:, 0] < 0, OTHER + codes[:, j - 1], cand[:, 0])
             r, c = np.nonzero(cand >= 0)
             ok = self.compatible(last[r, j - lens[c]], cand[r, c])
@@ -216,11 +237,6 @@ class Model:
             out += [self.bytes[b] for b in chr(i - OTHER).encode()] if i >= OTHER else [i]
         return np.array(out, "<u4").tobytes()
 
-    def forget(self) -> None:
-        """Empties the caches of words; workers live on between stages."""
-        self.cache.clear()
-        self.parts.clear()
-
     def split(self, text: str) -> list[str]:
         return WORD.findall(MARK + text.replace(" ", MARK)) if text else []
 
@@ -275,7 +291,6 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
         for b in batches:
             ids = m.encode_batch([t or "" for t in b.column(1).to_pylist()])
             yield pa.record_batch({"doc_id": b.column(0), "text": b.column(1), "ids": pa.array(ids, pa.binary())})
-        m.forget()
         release()
 
     return small_batches(docs).select(doc_id, text).mapInArrow(run, f"doc_id {kind}, text string, ids binary")
