@@ -49,15 +49,14 @@ def matching(code: str) -> tuple[str, ...]:
     return tuple(c for c in CODES if MASK[c] & PAM_MASK[code])
 
 
-def matches_motif(window: Column, motif: str, at: int) -> Column:
-    """Whether the bases of a window from ``at`` (0-based) fit a motif, base by base."""
-    out = None
-    for j, code in enumerate(motif):
-        if code == "N":
-            continue
-        one = F.substring(window, at + j + 1, 1).isin(*matching(code))
-        out = one if out is None else out & one
-    return F.lit(True) if out is None else out
+#: What a genome may hold, besides the codes.
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ*-."
+
+
+def code_bits(text: Column, mask: int, width: int) -> Column:
+    """A bit per place, the first highest, set where the code there shares a base with ``mask``; places beyond the text are 0."""
+    digits = "".join("1" if MASK.get(c, 0) & mask else "0" for c in LETTERS)
+    return F.conv(F.rpad(F.translate(text, LETTERS, digits), width, "0"), 2, 10).cast("bigint")
 
 
 def plane(body: Column, base: str) -> Column:

@@ -35,15 +35,17 @@ def logo_counts(rows: DataFrame) -> DataFrame:
     return ev.groupBy("guide", "x.position", "x.symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
-def logo_matrix(rows: DataFrame) -> DataFrame:
-    """``(position, A, C, G, T, D, R)``: shares of the rows that deviate so; zeros included.
+def logo_matrix(rows: DataFrame, per_guide: bool = False) -> DataFrame:
+    """``([guide,] position, A, C, G, T, D, R)``: shares of the rows, or of a guide's rows, that deviate so; zeros included.
 
     Positions go up to the longest guide.
     """
-    size = rows.agg(F.count(F.lit(1)).alias("rows"), F.max(F.char_length(guide_key(F.col("grna")))).alias("len"))
-    grid = size.select("rows", F.explode(F.sequence(F.lit(1), "len")).alias("position"))
-    n = logo_counts(rows).groupBy("position").pivot("symbol", SYMBOLS).agg(F.sum("n"))
-    return grid.join(n, "position", "left").select("position", *[(F.coalesce(F.col(s), F.lit(0)) / F.col("rows")).alias(s) for s in SYMBOLS])
+    by = ["guide"] if per_guide else []
+    keyed = rows.withColumn("guide", guide_key(F.col("grna")))
+    size = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.max(F.char_length("guide")).alias("len"))
+    grid = size.select(*by, "rows", F.explode(F.sequence(F.lit(1), "len")).alias("position"))
+    n = logo_counts(rows).groupBy(*by, "position").pivot("symbol", SYMBOLS).agg(F.sum("n"))
+    return grid.join(n, [*by, "position"], "left").select(*by, "position", *[(F.coalesce(F.col(s), F.lit(0)) / F.col("rows")).alias(s) for s in SYMBOLS])
 
 
 def template(rows: DataFrame) -> str:
@@ -59,6 +61,15 @@ def strip_pam(matrix: DataFrame, pattern: str) -> DataFrame:
     return matrix.where(F.col("position").isin(*keep)).withColumn("position", renumber)
 
 
+def strip_pam_by_guide(matrix: DataFrame) -> DataFrame:
+    """As ``strip_pam`` for a matrix per guide, each by its own guide as template."""
+    base = lambda p: F.upper(F.substring("guide", p, F.lit(1)))
+    kept = F.filter(F.sequence(F.lit(1), F.char_length("guide")), lambda p: base(p) != "N")
+    kept = F.when(F.size(kept) > 0, kept).otherwise(F.sequence(F.lit(1), F.char_length("guide")))
+    place = F.array_position(kept, F.col("position")).cast("int")
+    return matrix.withColumn("position", place).where("position > 0")
+
+
 def radar_counts(rows: DataFrame, column: str, max_mm: int, per_guide: bool = False, share: float = SHARE) -> DataFrame:
     """``([guide,] ceiling, label, n, part)``: rows per label with at most so many mismatches.
 

@@ -20,8 +20,14 @@ class CfdModel:
 
 
 def read_model(spark: SparkSession, mismatch_csv: str, pam_csv: str, limit: int = 10_000) -> CfdModel:
-    """Two CSV tables of key and value."""
-    load = lambda p: {r["k"]: r["v"] for r in spark.read.csv(p, schema="k string, v double", quote='"').where("v IS NOT NULL").limit(limit).collect()}
+    """Two CSV tables of key and value; one of more than ``limit`` rows is no penalty table and raises an error."""
+
+    def load(path: str) -> dict[str, float]:
+        rows = spark.read.csv(path, schema="k string, v double", quote='"').where("v IS NOT NULL").limit(limit + 1).collect()
+        if len(rows) > limit:
+            raise ValueError(f"more than {limit} penalties in {path}")
+        return {r["k"]: r["v"] for r in rows}
+
     return CfdModel(load(mismatch_csv), load(pam_csv))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.inputs import Budget, Guide, Pam
-from .scripts import SEED_FROM, aligned_strings, edit_scripts, near_match, script_table, seeded_match
+from .scripts import aligned_strings, near_match
 
 KEY = ["chrom", "pos", "strand", "grna", "spacer"]
 
@@ -25,10 +25,7 @@ def leftmost(pam: Pam, bmax: int) -> Column:
 
 def search(sites: DataFrame, guides: list[Guide], pam: Pam, budget: Budget, bmax: int = 0) -> DataFrame:
     """Hits in the fixed column order, then ``guide_id`` and ``guide``; the score is null."""
-    table = script_table(sites.sparkSession, guides, pam, budget, bmax)
-    many = len(edit_scripts(pam.guide_size, pam.guide_size + bmax, budget.dna, budget.rna, budget.single)) >= SEED_FROM
-    found = seeded_match(sites, table, guides, pam, budget, bmax) if many else near_match(sites, table, budget.mismatches)
-    found = aligned_strings(found, pam)
+    found = aligned_strings(near_match(sites, guides, pam, budget, bmax), pam)
     return found.select(
         F.col("contig").alias("chrom"), leftmost(pam, bmax).alias("pos"), "strand", "grna", "spacer", "mismatches",
         bulge_type(F.col("bulge_dna"), F.col("bulge_rna")).alias("bulge_type"), "bulge_dna", "bulge_rna",

@@ -76,15 +76,14 @@ def snp_codes(alleles: DataFrame) -> DataFrame:
     return s.groupBy("contig", "pos").agg(F.min(F.upper("ref")).alias("ref"), mask.alias("mask")).select("contig", "pos", "ref", code_of(F.col("mask")).alias("code"))
 
 
-def apply_snps(tiles_: DataFrame, codes: DataFrame, tile: int = TILE, check: bool = True) -> DataFrame:
-    """Tiles with SNP codes written in, overlaps included.
+def apply_snps(tiles_: DataFrame, codes: DataFrame, tile: int = TILE, check: bool = True, overlap: int = 0) -> DataFrame:
+    """Tiles with SNP codes written in, the ``overlap`` bases beyond each tile included.
 
     Only tiles that hold a SNP are touched: a tile collects its SNPs as an
     array and is rebuilt between them.  With ``check`` a reference base that
     the genome does not hold raises an error.
     """
-    n = tiles_.select(F.max(F.char_length("seq")).alias("n")).first()["n"] or 0
-    extra = max(0, -(-(n - tile) // tile)) if n > tile else 0
+    extra = -(-overlap // tile)
     at = F.col("pos") - 1
     home = F.floor(at / tile).cast("long")
     spread = codes.select("contig", at.alias("p"), "ref", "code", F.explode(F.sequence(F.greatest(home - extra, F.lit(0)), home)).alias("k"))
@@ -110,22 +109,34 @@ def snp_dictionary(alleles: DataFrame) -> DataFrame:
     return s.groupBy(key.alias("key")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("allele", "alt", entry.alias("e")))), lambda x: x["e"]), "$").alias("value"))
 
 
-def indel_windows(alleles: DataFrame, contigs: DataFrame, flank: int = FLANK, need_carriers: bool = True) -> DataFrame:
-    """Reference and altered windows around indels that have carriers.
+def indel_windows(alleles: DataFrame, tiles_: DataFrame, flank: int = FLANK, need_carriers: bool = True, tile: int = TILE) -> DataFrame:
+    """Reference and altered windows around indels that have carriers, from the tiles they lie in.
 
-    Adds ``refseq`` and ``indelseq``; the reference bases are checked.
+    Adds ``refseq`` and ``indelseq``; the reference bases are checked.  An
+    indel asks for the tiles under its window, and their pieces are put
+    together again; a contig is never brought to an indel.
     """
     i = alleles.where("kind = 'indel'")
     if need_carriers:
         i = i.where("carriers <> ''")
-    j = i.join(contigs.select("contig", "sequence"), "contig")
+    cols = i.columns
+    # equal rows are one request, counted
+    i = i.groupBy(*cols).agg(F.count(F.lit(1)).alias("times"))
     at = F.col("pos") - 1
-    left = F.greatest(at - flank, F.lit(0))
-    lead = F.substring("sequence", (left + 1).cast("int"), (at - left).cast("int"))
-    rest = F.substring("sequence", (at + F.char_length("ref") + 1).cast("int"), F.lit(flank))
-    there = F.substring("sequence", (at + 1).cast("int"), F.char_length("ref"))
+    left, right = F.greatest(at - flank, F.lit(0)), at + F.char_length("ref") + flank
+    ask = i.select("*", left.alias("lo"), right.alias("hi")).withColumn("k", F.explode(F.sequence(F.floor(F.col("lo") / tile), F.floor((F.col("hi") - 1) / tile))))
+    ask = ask.withColumn("tile_start", F.col("k") * tile)
+    core = tiles_.select("contig", F.col("tile_start").cast("bigint").alias("tile_start"), F.substring("seq", 1, tile).alias("core"))
+    a, z = F.greatest("lo", "tile_start"), F.least("hi", F.col("tile_start") + tile)
+    part = F.substring("core", (a - F.col("tile_start") + 1).cast("int"), (z - a).cast("int"))
+    got = ask.join(core, ["contig", "tile_start"], "left").select(*cols, "times", "lo", F.struct("tile_start", part.alias("s")).alias("piece"))
+    around = F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda x: F.coalesce(x["s"], F.lit(""))), "")
+    j = got.groupBy(*cols, "times", "lo").agg(around.alias("around"))
+    before, n = (at - F.col("lo")).cast("int"), F.char_length("ref")
+    lead, there, rest = F.substring("around", F.lit(1), before), F.substring("around", before + 1, n), F.substring("around", before + n + 1, F.lit(flank))
     ref = F.when(there == F.upper("ref"), there).otherwise(F.raise_error(F.lit("a reference allele differs from the genome")))
-    return j.select(*i.columns, F.concat(lead, ref, rest).alias("refseq"), F.concat(lead, F.upper("alt"), rest).alias("indelseq"))
+    j = j.select(*cols, F.concat(lead, ref, rest).alias("refseq"), F.concat(lead, F.upper("alt"), rest).alias("indelseq"), F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("copy"))
+    return j.drop("copy")
 
 
 def indel_layout(windows: DataFrame) -> DataFrame:
@@ -151,3 +162,9 @@ def fake_contig(layout: DataFrame) -> DataFrame:
     """``(contig, sequence)``: altered windows joined by ``N``, in layout order."""
     seq = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "indelseq"))), lambda x: x["indelseq"]), "N")
     return layout.groupBy("contig").agg(seq.alias("sequence"))
+
+
+def fake_lines(layout: DataFrame) -> DataFrame:
+    """``(contig, place, line)``: the same contig as rows of lines, each window followed by ``N`` but the last."""
+    last = F.max("idx").over(Window.partitionBy("contig"))
+    return layout.select("contig", F.col("idx").cast("bigint").alias("place"), F.concat("indelseq", F.when(F.col("idx") == last, F.lit("")).otherwise(F.lit("N"))).alias("line"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,37 +12,48 @@ from pyspark.sql import functions as F
 from ..operators import annotate as A
 from ..operators import ordering, report, scoring, variants
 from ..operators.search import search
-from ..operators.sites import sites_of_tiles, with_planes, write_index
+from ..operators.sites import require_sites, sites_of_tiles, with_planes, write_index
 from ..sources import sinks, tracks
-from ..sources.genome import assemble, contig_check, read_fasta, read_fasta_tiles, tiles
+from ..sources.genome import TILE, contig_check, fasta_names, read_fasta_tiles
 from ..sources.inputs import Budget, Pam, read_guides, read_pam
 
 META = "siteseer-index.json"
 
 
+def genome_names(spark: SparkSession, genome: str) -> DataFrame:
+    """``(contig, header, stem)`` of a genome's files; a contig that occurs twice raises an error."""
+    names = fasta_names(spark, genome).cache()
+    if twice := contig_check(names).limit(1).collect():
+        raise ValueError(f"contig {twice[0]['contig']} occurs more than once")
+    stem = F.regexp_extract("file", "([^/]*?)([.][^./]*)?$", 1)
+    return names.select("contig", "header", stem.alias("stem"))
+
+
 def add_variants(spark: SparkSession, genome: str, vcfs: list[str], outdir: str, indels: bool = False, keep: bool = False, store_dictionary: bool = False) -> dict[str, str]:
-    """Merge variants into a genome; contigs without a VCF are copied."""
-    contigs = read_fasta(spark, genome)
-    alleles, names = None, []
+    """Merge variants into a genome, tile by tile; contigs without a VCF are copied."""
+    names = genome_names(spark, genome)
+    alleles, listed = None, []
     for path in vcfs:
         rows, samples = tracks.read_vcf(spark, path)
-        names.append(tracks.single_contig(rows))
+        listed.append(tracks.single_contig(rows))
         a = variants.split_alleles(variants.passing(rows, keep))
         a = variants.variant_id(variants.carriers(variants.allele_frequency(a), samples))
         alleles = a if alleles is None else alleles.unionByName(a)
-    out = {}
-    listed = spark.createDataFrame([(n,) for n in names], "contig string")
-    contigs = contigs.join(variants.pair_contigs(contigs, listed), "contig")
-    cut = tiles(contigs, 0)
+    # one row per contig: the pairs are judged before anything is written
+    variants.pair_contigs(names, spark.createDataFrame([(n,) for n in listed], "contig string")).write.format("noop").mode("overwrite").save()
+    cut = read_fasta_tiles(spark, genome, 0)
     enriched = variants.apply_snps(cut, variants.snp_codes(alleles)) if alleles is not None else cut
-    out["genome"] = f"{outdir}/variants_genome/SNPs_genome"
-    sinks.write_fasta(assemble(enriched), out["genome"])
+    out = {"genome": f"{outdir}/variants_genome/SNPs_genome"}
+    stems = {r["contig"]: r["stem"] for r in names.collect()}  # one per file
+    sinks.write_contig_files(sinks.tile_lines(enriched, TILE), names, out["genome"], {c: f"{s}.enriched.fa" for c, s in stems.items()})
     if indels and alleles is not None:
-        layout = variants.indel_layout(variants.indel_windows(alleles, contigs)).cache()
+        layout = variants.indel_layout(variants.indel_windows(alleles, cut)).cache()
         out["indels"] = f"{outdir}/variants_genome/INDELs_genome"
-        sinks.write_fasta(variants.fake_contig(layout).withColumn("contig", F.concat(F.lit("fake"), "contig")), out["indels"])
+        fake = names.select("contig", F.concat(F.lit("fake"), "contig").alias("header"))
+        sinks.write_contig_files(variants.fake_lines(layout), fake, out["indels"], {c: f"fake{c}.fa" for c in stems})
         out["log"] = f"{outdir}/indels_log"
         sinks.write_tsv(variants.indel_log(layout), out["log"])
+        layout.unpersist()
     if store_dictionary and alleles is not None:
         out["dictionary"] = f"{outdir}/snp_dictionary"
         variants.snp_dictionary(alleles).select(F.to_json(F.struct("key", "value")).alias("value")).write.text(out["dictionary"])
@@ -49,13 +61,14 @@ def add_variants(spark: SparkSession, genome: str, vcfs: list[str], outdir: str,
 
 
 def index_genome(spark: SparkSession, genome: str, pam: Pam, outdir: str, bmax: int = 0) -> str:
-    """Write the site table; the PAM and ``bmax`` are kept beside it."""
+    """Write the site table; the PAM and ``bmax`` are kept beside it.  A genome without any site raises an error."""
     if bmax < 0:
         raise ValueError("bmax cannot be negative")
+    genome_names(spark, genome)
     cut = read_fasta_tiles(spark, genome, pam.total + bmax - 1)
-    if twice := contig_check(cut.where("tile_start = 0")).limit(1).collect():
-        raise ValueError(f"contig {twice[0]['contig']} occurs more than once")
-    write_index(sites_of_tiles(cut, pam, bmax, planes=False), f"{outdir}/sites")
+    sites = sites_of_tiles(cut, pam, bmax, planes=False)
+    require_sites(sites, cut, pam)
+    write_index(sites, f"{outdir}/sites")
     meta = {"motif": pam.motif, "guide_size": pam.guide_size, "upstream": pam.upstream, "bmax": bmax}
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{outdir}/{META}")
     return outdir
@@ -68,10 +81,15 @@ def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, Pam, int]:
     return with_planes(spark.read.schema(schema).parquet(f"{path}/sites")), pam, meta["bmax"]
 
 
-def search_offtargets(spark: SparkSession, index: str, guides_path: str, budget: Budget, outdir: str, mode: str = "both", model: scoring.CfdModel | None = None, sort: str = "edits", layout: str = "scored") -> dict:
-    """Search an index; writes targets, profiles or both."""
+def search_offtargets(spark: SparkSession, index: str, guides_path: str, budget: Budget, outdir: str, mode: str = "both", model: scoring.CfdModel | None = None, sort: str = "edits", layout="scored", single_file: bool = False) -> dict:
+    """Search an index; writes targets, profiles or both.
+
+    ``layout`` is the name of a row formatter or a function from hits to the
+    columns to write; targets are sorted parts unless ``single_file``.
+    """
     if mode not in sinks.OUTPUT_MODES:
         raise ValueError(f"output mode is one of {sinks.OUTPUT_MODES}")
+    shape = sinks.layout_of(layout)
     sites, pam, bmax = load_index(spark, index)
     guides = read_guides(spark, guides_path, pam)
     hits = search(sites, guides, pam, budget, bmax)
@@ -81,19 +99,20 @@ def search_offtargets(spark: SparkSession, index: str, guides_path: str, budget:
     out: dict = {}
     try:
         if mode != "profile":
-            ordered = ordering.by_edit_distance(hits) if sort == "edits" else ordering.by_coordinates(hits)
-            shape = {"scored": sinks.scored_layout, "plain": sinks.plain_layout, "legacy": sinks.legacy_layout}[layout]
             out["targets"] = f"{outdir}/targets"
-            sinks.write_tsv(shape(ordered), out["targets"], single_file=True)
+            out["rows"] = sinks.write_tsv(shape(_sorted(hits, sort)), out["targets"], single_file)
         if mode != "targets":
-            Path(outdir).mkdir(parents=True, exist_ok=True)
             out["profiles"] = sinks.write_profiles(hits, guides, pam, budget, f"{outdir}/guides")
     finally:
         hits.unpersist()
     return out
 
 
-def merge_results(spark: SparkSession, shards: list[str], out: str, sort: str = "edits", layout: str = "scored") -> int:
+def _sorted(hits: DataFrame, sort: str) -> DataFrame:
+    return ordering.by_edit_distance(hits) if sort == "edits" else ordering.by_coordinates(hits)
+
+
+def merge_results(spark: SparkSession, shards: list[str], out: str, sort: str = "edits", layout="scored", single_file: bool = False) -> int:
     """Merge hit tables into one sorted table; returns its rows.  A malformed row raises an error, an unreadable score is ``NA``."""
     rows = None
     for path in shards:
@@ -102,13 +121,11 @@ def merge_results(spark: SparkSession, shards: list[str], out: str, sort: str =
             h = h.withColumn("cfd_score", F.lit(None).cast("double"))
         h = h.select(*tracks.HIT_COLUMNS)
         rows = h if rows is None else rows.unionByName(h)
-    ordered = ordering.by_edit_distance(rows) if sort == "edits" else ordering.by_coordinates(rows)
-    shape = {"scored": sinks.scored_layout, "plain": sinks.plain_layout, "legacy": sinks.legacy_layout}[layout]
-    sinks.write_tsv(shape(ordered), out, single_file=True)
-    return rows.count()
+    return sinks.write_tsv(sinks.layout_of(layout)(_sorted(rows, sort)), out, single_file)
 
 
-def annotate_results(spark: SparkSession, targets: str, beds: list[str], outdir: str, names: list[str] | None = None, minus_pos: str = "rightmost") -> str:
+def annotate_results(spark: SparkSession, targets: str, beds: list[str], outdir: str, names: list[str] | None = None, minus_pos: str = "rightmost", single_file: bool = False) -> str:
+    """Hits with a column of labels per BED file, in the order of the hits."""
     hits = tracks.read_hits(spark, targets).withColumn("row_id", F.monotonically_increasing_id())
     names = A.track_names(len(beds), names)
     rows = None
@@ -121,29 +138,45 @@ def annotate_results(spark: SparkSession, targets: str, beds: list[str], outdir:
     path = f"{outdir}/{Path(sinks.annotated_name(targets)).name}"
     if "cfd_score" in out.columns:
         out = out.withColumn("cfd_score", sinks.score_text(F.col("cfd_score")))
-    sinks.write_tsv(out, path, single_file=True)
+    sinks.write_tsv(out, path, single_file)
     return path
 
 
-def generate_report(spark: SparkSession, annotated: str, max_mm: int, outdir: str, guides: list[str] | None = None, prefix: str = "report") -> dict[str, str]:
-    """The report's tables as TSV: the logo matrix, and counts per feature over all rows and per guide."""
-    if max_mm < 0:
+def generate_report(spark: SparkSession, annotated: str, max_mm: int | None, outdir: str, guides: list[str] | None = None, prefix: str = "report") -> dict[str, str]:
+    """The report's tables as TSV: a logo matrix per guide and one of all rows, counts per feature over all rows and per guide.
+
+    ``guides`` picks the guides of the tables per guide, as given; the tables
+    of all rows keep all rows.  Without ``max_mm`` the largest number of
+    mismatches is the ceiling.
+    """
+    if max_mm is not None and max_mm < 0:
         raise ValueError("the mismatch ceiling cannot be negative")
     rows, extra = tracks.read_annotated(spark, annotated)
-    if guides:
-        rows = rows.where(report.guide_key(F.col("grna")).isin(*guides))
-    out = {"logo": f"{outdir}/{report.safe_name(prefix)}_logo"}
-    sinks.write_tsv(report.strip_pam(report.logo_matrix(rows), report.template(rows)).orderBy("position"), out["logo"], single_file=True)
+    if max_mm is None:
+        max_mm = rows.agg(F.max("mismatches").alias("m")).first()["m"] or 0
+    own = rows.where(report.guide_key(F.col("grna")).isin(*guides)) if guides else rows
+    if guides and not own.limit(1).count():
+        raise ValueError("no row has one of the guides")
+    stem, out = f"{outdir}/{report.safe_name(prefix)}", {}
+
+    def put(key: str, df: DataFrame, *order: str) -> None:
+        out[key] = f"{stem}_{key}"
+        sinks.write_tsv(df.orderBy(*order), out[key], single_file=True)  # a few rows per guide and feature
+
+    put("logo", report.strip_pam(report.logo_matrix(rows), report.template(rows)), "position")
+    put("logo_by_guide", report.strip_pam_by_guide(report.logo_matrix(own, per_guide=True)), "guide", "position")
     for c in extra:
-        for per in (False, True):
-            key = f"radar_{report.safe_name(c)}" + "_by_guide" * per
-            out[key] = f"{outdir}/{report.safe_name(prefix)}_{key}"
-            sinks.write_tsv(report.radar_counts(rows, c, max_mm, per), out[key], single_file=True)
+        put(f"radar_{report.safe_name(c)}", report.radar_counts(rows, c, max_mm), "ceiling", "label")
+        put(f"radar_{report.safe_name(c)}_by_guide", report.radar_counts(own, c, max_mm, per_guide=True), "guide", "ceiling", "label")
     return out
 
 
-def draw(spark: SparkSession, tables: dict[str, str], outdir: str) -> list[str]:
-    """Figures of the report's tables, where matplotlib is installed."""
+# Colours of the deviation symbols.
+COLOURS = {"A": "#109648", "C": "#255c99", "G": "#f7b32b", "T": "#d62839", "D": "#7d7d7d", "R": "#222222"}
+
+
+def draw(spark: SparkSession, tables: dict[str, str], outdir: str, dpi: int = 150) -> list[str]:
+    """Figures of the report's tables, where matplotlib is installed: a stacked logo per guide, a polar chart per feature column and ceiling."""
     try:
         import matplotlib
 
@@ -152,16 +185,33 @@ def draw(spark: SparkSession, tables: dict[str, str], outdir: str) -> list[str]:
     except ImportError as e:
         raise RuntimeError("figures need matplotlib") from e
     made = []
-    for name, path in tables.items():
-        t = spark.read.csv(path, sep="\t", header=True, inferSchema=True).toPandas()
-        fig, ax = plt.subplots()
-        if name == "logo":
-            t.set_index("position")[report.SYMBOLS].plot.bar(stacked=True, ax=ax)
-        else:
-            t.groupby("label")["n"].max().plot.bar(ax=ax)
+
+    def save(fig, name: str) -> None:
         made.append(f"{outdir}/{name}.png")
-        fig.savefig(made[-1])
+        fig.savefig(made[-1], dpi=dpi)
         plt.close(fig)
+
+    for key, path in tables.items():
+        t = spark.read.csv(path, sep="\t", header=True, inferSchema=True).toPandas()  # a few rows per guide
+        groups = t.groupby("guide") if "guide" in t else [("all", t)]
+        for guide, g in groups:
+            name = f"{Path(path).name}_{report.safe_name(str(guide))}"
+            if key.startswith("logo"):
+                fig, ax = plt.subplots(figsize=(max(6.0, 0.45 * len(g)), 3.0))
+                g.set_index("position")[report.SYMBOLS].plot.bar(stacked=True, ax=ax, color=COLOURS, title=f"Off-target profile - {guide}")
+                ax.set_xlabel("guide position")
+                ax.set_ylabel("deviation frequency")
+                save(fig, name)
+                continue
+            for ceiling, c in g.groupby("ceiling"):
+                fig, ax = plt.subplots(subplot_kw={"projection": "polar"})
+                at = [2 * math.pi * i / len(c) for i in range(len(c))]
+                part = c["part"].tolist()
+                ax.plot([*at, at[0]], [*part, part[0]])
+                ax.fill(at, part, alpha=0.25)
+                ax.set_xticks(at, c["label"].tolist())
+                ax.set_title(f"{guide}, up to {ceiling} mismatches")
+                save(fig, f"{name}_{ceiling}")
     return made
 
 

@@ -11,10 +11,12 @@ from ..functions.iupac import code_of, contig_name, reverse_complement, to_rna
 from ..operators import annotate as A
 from ..operators import ordering, profiles, report, scoring, variants
 from ..operators.search import deduplicate, same_site, with_derived
-from ..operators.sites import extract_sites, pam_starts
-from ..sources import sinks
-from ..sources.genome import assemble, contig_check, tiles
-from ..sources.inputs import Budget, Pam, guides_frame
+from ..operators.sites import extract_sites, pam_starts, write_index
+from ..sources import sinks, tracks
+from ..sources.genome import TILE, assemble, contig_check, read_fasta, read_fasta_tiles, tiles
+from ..sources.inputs import DOWNSTREAM_SYSTEMS, UPSTREAM_SYSTEMS, Budget, Pam, guides_frame
+from ..sources.scratch import scratch
+from . import api
 from . import inputs as I  # noqa: E741
 from . import oracles as O  # noqa: E741
 
@@ -414,7 +416,7 @@ def snp_iupac(spark, d):
 @query(f"WITH {O.CODES} SELECT g.contig, CASE WHEN code IS NULL THEN sequence ELSE substr(sequence, 1, CAST(pos - 1 AS INT)) || code || substr(sequence, CAST(pos + 1 AS INT)) END AS sequence FROM genome g LEFT JOIN codes USING (contig) WHERE sequence <> ''")
 def snp_apply(spark, d):
     cut = tiles(I.genome(spark, d), 22)
-    return assemble(variants.apply_snps(cut, variants.snp_codes(I.alleles(spark, d))))
+    return assemble(variants.apply_snps(cut, variants.snp_codes(I.alleles(spark, d)), overlap=22))
 
 
 @query(f"WITH {O.PASSED} SELECT contig || ',' || pos AS key, string_agg(carriers || ';' || ref || ',' || alt || ';' || vid || ';' || af, '$' ORDER BY allele) AS value FROM ok WHERE kind = 'snp' GROUP BY contig, pos")
@@ -422,24 +424,28 @@ def snp_dictionary(spark, d):
     return variants.snp_dictionary(I.alleles(spark, d))
 
 
+def _windows(spark, d) -> DataFrame:
+    return variants.indel_windows(I.alleles(spark, d), tiles(I.genome(spark, d), 0))
+
+
 @query(f"WITH {O.INDELS} SELECT contig, pos, ref, alt, refseq, indelseq FROM w")
 def indel_windows(spark, d):
-    return variants.indel_windows(I.alleles(spark, d), I.genome(spark, d)).select("contig", "pos", "ref", "alt", "refseq", "indelseq")
+    return _windows(spark, d).select("contig", "pos", "ref", "alt", "refseq", "indelseq")
 
 
 @query(f"WITH {O.INDELS} SELECT contig, pos, alt, idx, start, stop FROM layout")
 def indel_layout(spark, d):
-    return variants.indel_layout(variants.indel_windows(I.alleles(spark, d), I.genome(spark, d))).select("contig", "pos", "alt", "idx", "start", "stop")
+    return variants.indel_layout(_windows(spark, d)).select("contig", "pos", "alt", "idx", "start", "stop")
 
 
 @query(f"WITH {O.INDELS} SELECT contig || '_' || start || '-' || stop || '_' || idx AS CHR, carriers AS SAMPLES, id AS rsID, af AS AF, contig || '_' || pos || '_' || ref || '_' || alt AS indel, start || ',' || stop AS FAKEPOS, refseq FROM layout")
 def indel_log(spark, d):
-    return variants.indel_log(variants.indel_layout(variants.indel_windows(I.alleles(spark, d), I.genome(spark, d))))
+    return variants.indel_log(variants.indel_layout(_windows(spark, d)))
 
 
 @query(f"WITH {O.INDELS} SELECT contig, string_agg(indelseq, 'N' ORDER BY idx) AS sequence FROM layout GROUP BY contig")
 def fake_contigs(spark, d):
-    return variants.fake_contig(variants.indel_layout(variants.indel_windows(I.alleles(spark, d), I.genome(spark, d))))
+    return variants.fake_contig(variants.indel_layout(_windows(spark, d)))
 
 
 @query(f"SELECT CAST(m AS INT) AS mask, {O.CODE} AS code FROM (SELECT unnest(range(1, 16)) AS m)")
@@ -471,6 +477,11 @@ def logo_stripped(spark, d):
     return report.strip_pam(report.logo_matrix(rows), report.template(rows))
 
 
+@query(O.logo_by_guide(MIXED))
+def logo_by_guide(spark, d):
+    return report.strip_pam_by_guide(report.logo_matrix(_report(spark, d, MIXED), per_guide=True))
+
+
 @query(O.radar(MIXED, 2, False))
 def radar_counts(spark, d):
     return report.radar_counts(_report(spark, d, MIXED), "gene", 2)
@@ -479,3 +490,132 @@ def radar_counts(spark, d):
 @query(O.radar(MIXED, 2, True))
 def radar_by_guide(spark, d):
     return report.radar_counts(_report(spark, d, MIXED), "gene", 2, per_guide=True)
+
+
+# files: written, and read back
+
+
+@query(f"WITH {O.GENOME} SELECT contig, CAST(i AS BIGINT) AS tile_start, substr(sequence, i + 1, 534) AS seq FROM (SELECT contig, sequence, unnest(range(0, length(sequence), 512)) AS i FROM genome)")
+def fasta_files(spark, d):
+    g = I.genome(spark, d).where("sequence <> ''")
+    where = scratch(spark, "fasta")
+    sinks.write_contig_files(sinks.tile_lines(tiles(g, 0), TILE), g.select("contig", F.col("contig").alias("header")), where, {})
+    return read_fasta_tiles(spark, where, 22)
+
+
+@query(f"WITH {O.GENOME} SELECT contig, sequence FROM genome WHERE sequence <> ''")
+def fasta_lines(spark, d):
+    where = scratch(spark, "fasta")
+    g = I.genome(spark, d).where("sequence <> ''")
+    # a file per record: the reader takes one record of a file
+    sinks.write_contig_files(g.select("contig", F.lit(0).alias("place"), F.col("sequence").alias("line")), g.select("contig", F.col("contig").alias("header")), where, {})
+    return read_fasta(spark, where).select("contig", "sequence")
+
+
+VCF = ["contig", "pos", "id", "ref", "alt", "filter", "info"]
+
+
+@query(f"WITH {O.GENOME}, {O.VARIANTS} SELECT contig, pos, id, ref, alt, filter, 'DP=30;AF=' || af1 || ',' || af2 || ';MQ=60' AS info, len(gts) AS n FROM vcf")
+def vcf_scan(spark, d):
+    where = scratch(spark, "vcf")
+    v = I.variants(spark, d)
+    body = F.concat_ws("\t", "contig", F.col("pos").cast("string"), "id", "ref", "alt", F.lit("."), "filter", "info", F.lit("GT:DP"), F.array_join("genotypes", "\t"))
+    head = spark.createDataFrame([("##fileformat=VCFv4.2",), ("\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *I.SAMPLES]),)], "value string")
+    head.coalesce(1).unionByName(v.select(body.alias("value"))).write.text(where)
+    rows, samples = tracks.read_vcf(spark, where)
+    return rows.select(*VCF, F.size("genotypes").cast("bigint").alias("n")).where(F.lit(samples == I.SAMPLES))
+
+
+@query(f"WITH {O.BED} SELECT track, chrom, CAST(s0 AS BIGINT) AS start, CAST(e0 AS BIGINT) AS \"end\", label FROM bed")
+def bed_scan(spark, d):
+    out = None
+    for name in I.TRACKS:
+        where = scratch(spark, "bed")
+        rows = I.bed(spark, d).where(F.col("track") == name)
+        rows.select(F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.col("end").cast("string"), "label").alias("value")).write.text(where)
+        t = tracks.read_bed(spark, where, name).drop("ord")
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+@query(f"WITH {O.hits(**MIXED)} SELECT {O.HIT} FROM hits")
+def hits_scan(spark, d):
+    where = scratch(spark, "hits")
+    sinks.write_tsv(sinks.scored_layout(ordering.by_coordinates(found(spark, d, MIXED))), where)
+    return tracks.strict_hits(tracks.read_hits(spark, where)).select(*HIT)
+
+
+@query(f"WITH {O.hits(**RNA)} SELECT {O.HIT}, CAST(2 AS BIGINT) AS n FROM (SELECT DISTINCT {O.HIT} FROM hits)")
+def merged_hits(spark, d):
+    """Two shards, one of them without scores, merged into one sorted table and read back."""
+    h = found(spark, d, RNA).select(*HIT, F.lit(None).cast("double").alias("cfd_score")).distinct()
+    a, b, out = (scratch(spark, x) for x in ("shard", "shard", "merged"))
+    sinks.write_tsv(sinks.scored_layout(h), a)
+    sinks.write_tsv(sinks.plain_layout(h), b)
+    api.merge_results(spark, [a, b], out)
+    return tracks.read_hits(spark, out).groupBy(*HIT).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(O.annotate(MIXED, {n: f"track = '{n}'" for n in I.TRACKS}, leftmost=True).replace("pos, strand, spacer, guide_id", "pos, strand, spacer, mismatches"))
+def annotated_scan(spark, d):
+    where = scratch(spark, "annotated")
+    h = found(spark, d, MIXED).select(*HIT, F.lit("NA").alias("cfd_score"), F.monotonically_increasing_id().alias("row_id"))
+    sinks.write_tsv(A.annotate(h, I.bed(spark, d), I.TRACKS, "leftmost").drop("row_id"), where)
+    rows, extra = tracks.read_annotated(spark, where)
+    return rows.select("chrom", F.col("pos").cast("int").alias("pos"), "strand", "spacer", "mismatches", *extra)
+
+
+@query(_site_sql(bmax=1))
+def index_scan(spark, d):
+    where = scratch(spark, "index")
+    write_index(extract_sites(I.genome(spark, d), I.NGG, 1, planes=False), where)
+    return spark.read.schema("strand string, window0 bigint, body string, pam string, contig string").parquet(where).select("contig", "strand", "window0", "body", "pam")
+
+
+def _profile_file(spark, d, name: str) -> DataFrame:
+    """The lines of one of the five profile files of a search, as (line, fields)."""
+    where = scratch(spark, "profiles")
+    made = sinks.write_profiles(found(spark, d, MIXED), I.guides(spark, d), I.NGG, budget(MIXED), where)
+    path = next(p for p in made if p.endswith(f".{name}.xls"))
+    return spark.read.text(path).select(F.split("value", "\t").alias("f")).where("f[0] <> ''")
+
+
+def _positions(lines: DataFrame) -> DataFrame:
+    lines = lines.where("f[0] <> 'GUIDE'").select(F.regexp_replace(F.col("f")[0], "N", "").alias("guide"), F.posexplode(F.slice("f", 2, 20)).alias("pos", "cell"))
+    return lines.distinct()
+
+
+@query(O.profile_cells(MIXED, "CAST(pos_mm_count AS VARCHAR)"))
+def profile_file(spark, d):
+    return _positions(_profile_file(spark, d, "profile"))
+
+
+@query(O.profile_cells(MIXED, "CAST(pos_mm_complete AS VARCHAR)"))
+def profile_complete_file(spark, d):
+    return _positions(_profile_file(spark, d, "profile_complete"))
+
+
+@query(O.profile_cells(MIXED, "pos_mm_in_dna || '(' || pos_bulge_dna || ')'"))
+def profile_dna_file(spark, d):
+    return _positions(_profile_file(spark, d, "profile_dna"))
+
+
+@query(O.profile_cells(MIXED, "pos_mm_in_rna || '(' || pos_bulge_rna || ')'"))
+def profile_rna_file(spark, d):
+    return _positions(_profile_file(spark, d, "profile_rna"))
+
+
+@query(O.extended_file(MIXED))
+def profile_extended_file(spark, d):
+    """Of the extended profile, per kind of row the sum of its cells over all guides and levels."""
+    f = _profile_file(spark, d, "extended_profile").where("NOT startswith(f[0], '>')")
+    f = f.select(F.regexp_replace(F.col("f")[0], "^[0-9]+ ", "").alias("kind"), F.aggregate(F.slice("f", 2, 20), F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint")).alias("n"))
+    return f.groupBy("kind").agg(F.sum("n").alias("n"))
+
+
+@query(O.GATE)
+def cfd_gate(spark, d):
+    """The systems of all known motifs on both sides of the guide, and which are scored."""
+    motifs = sorted({m for side in (UPSTREAM_SYSTEMS, DOWNSTREAM_SYSTEMS) for ms in side.values() for m in ms} | {"NNNNGATT"})
+    pams = [Pam(m, 20, up) for m in motifs for up in (False, True)]
+    return spark.createDataFrame([(p.motif, p.upstream, p.cas_system, p.scored) for p in pams], "motif string, upstream boolean, cas_system string, scored boolean")

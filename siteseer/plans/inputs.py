@@ -17,6 +17,8 @@ NGG = Pam("NGG", 20)
 TTTV = Pam("TTTV", 20, upstream=True)
 SAMPLES = ["s1", "s2", "s3"]
 TRACKS = ["annotation1", "annotation2"]
+#: A guide set is a small input of a search: so many guides of either kind.
+ITEMS, CONTIGS = 2, 8
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -24,19 +26,24 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def genome(spark: SparkSession, d: str) -> DataFrame:
-    return text_genome(table(spark, d, "documents"))
+    """A contig per document; dealt out by document where the table has fewer splits than there are cores."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:  # a plain scan: its splits are known without running it
+        docs = docs.repartition(cores, "doc_id")
+    return text_genome(docs)
 
 
 def guide_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Two guides from the benchmark's letters, and the first forward NGG site of each of three contigs."""
-    a = table(spark, d, "benchmark").where("item_id < 2").select(F.col("item_id").cast("int").alias("guide_id"), F.substring(letters_to_bases(F.col("text")), 1, 20).alias("guide"))
+    """Guides from the first letters of the benchmark's first items, and from the first forward NGG site of the first contigs."""
+    a = table(spark, d, "benchmark").where(f"item_id < {ITEMS}").select(F.col("item_id").cast("int").alias("guide_id"), F.substring(letters_to_bases(F.col("text")), 1, 20).alias("guide"))
     site = F.regexp_extract("sequence", "([ACGT]{20})[ACGT]GG", 1)
-    b = text_genome(table(spark, d, "documents").where("doc_id < 3")).select((F.lit(100) + F.substring("contig", 4, 9).cast("int")).alias("guide_id"), site.alias("guide"))
+    b = text_genome(table(spark, d, "documents").where(f"doc_id < {CONTIGS}")).select((F.lit(100) + F.substring("contig", 4, 9).cast("int")).alias("guide_id"), site.alias("guide"))
     return a.unionByName(b.where("guide <> ''"))
 
 
 def guides(spark: SparkSession, d: str) -> list[Guide]:
-    """The guides as driver-side objects: five rows at most."""
+    """The guides as driver-side objects: ``ITEMS + CONTIGS`` rows at most."""
     return [Guide(r["guide_id"], r["guide"]) for r in guide_rows(spark, d).orderBy("guide_id").collect()]
 
 

@@ -7,7 +7,7 @@ GENOME = f"genome AS (SELECT 'chr' || doc_id AS contig, doc_id, {BASES} AS seque
 GUIDES = f"""guides AS (
   SELECT CAST(item_id AS INT) AS guide_id, substr({BASES}, 1, 20) AS guide FROM benchmark WHERE item_id < 2
   UNION ALL SELECT CAST(100 + doc_id AS INT), regexp_extract(sequence, '([ACGT]{{20}})[ACGT]GG', 1) FROM genome
-  WHERE doc_id < 3 AND regexp_extract(sequence, '([ACGT]{{20}})[ACGT]GG', 1) <> '')"""
+  WHERE doc_id < 8 AND regexp_extract(sequence, '([ACGT]{{20}})[ACGT]GG', 1) <> '')"""
 G = 20
 
 
@@ -172,3 +172,39 @@ k AS (SELECT unnest(range(0, {top + 1})) AS ceiling),
 c AS (SELECT {key} AS guide, ceiling, gene AS label, count(*) AS n FROM rep JOIN k ON mismatches <= ceiling WHERE gene <> 'NA' GROUP BY ALL),
 f AS (SELECT * FROM (SELECT *, max(n) OVER (PARTITION BY guide, ceiling) AS most FROM c) WHERE n > 0.1 * most)
 SELECT {show}CAST(ceiling AS INT) AS ceiling, label, n, n / sum(n) OVER (PARTITION BY guide, ceiling) AS part FROM f"""
+
+
+def logo_by_guide(kw: dict) -> str:
+    """As ``logo`` for each guide; the places of the PAM's ``N`` are left out and the others renumbered."""
+    cell = lambda s: f"count(*) FILTER (sym = '{s}') / any_value(x.rows) AS \"{s}\""
+    return f"""WITH {report_rows(kw)},
+r AS (SELECT *, replace(grna, '-', '') AS guide FROM rep),
+n AS (SELECT guide, count(*) AS rows FROM r GROUP BY guide),
+x AS (SELECT guide, rows, p, row_number() OVER (PARTITION BY guide ORDER BY p) AS place FROM (SELECT guide, rows, unnest(range(1, length(guide) + 1)) AS p FROM n) WHERE substr(guide, p, 1) <> 'N'),
+c AS (SELECT guide, upper(substr(grna, i, 1)) AS g, upper(substr(spacer, i, 1)) AS t, length(replace(substr(grna, 1, i - 1), '-', '')) + 1 AS p FROM (SELECT *, unnest(range(1, length(grna) + 1)) AS i FROM r)),
+e AS (SELECT guide, p, CASE WHEN g = '-' THEN 'D' WHEN t = '-' THEN 'R' WHEN g <> t AND g <> 'N' AND t IN ('A', 'C', 'G', 'T') THEN t END AS sym FROM c)
+SELECT x.guide, CAST(x.place AS INT) AS position, {', '.join(cell(s) for s in 'ACGTDR')} FROM x LEFT JOIN e ON e.guide = x.guide AND e.p = x.p GROUP BY x.guide, x.place"""
+
+
+def profile_cells(kw: dict, cell: str) -> str:
+    """Cells of a profile file by guide and position."""
+    return f"SELECT DISTINCT guide, pos, {cell} AS cell FROM ({position_counters(kw)}) JOIN ({GUIDE_LIST}) USING (guide_id)"
+
+
+GUIDE_LIST = f"WITH {GENOME}, {GUIDES} SELECT guide_id, guide FROM guides"
+
+
+def extended_file(kw: dict) -> str:
+    ext = extended(kw)
+    return f"""WITH x AS ({ext}), k AS (SELECT unnest(['A', 'C', 'G', 'T', 'DNA', 'RNA']) AS symbol)
+SELECT CASE WHEN length(symbol) = 1 THEN 'NUCLEOTIDE ' ELSE 'BULGE ' END || symbol AS kind, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM k LEFT JOIN x USING (symbol) GROUP BY symbol
+UNION ALL SELECT 'MISMATCHES', CAST(coalesce(sum(n), 0) AS BIGINT) FROM x WHERE length(symbol) = 1"""
+
+
+GATE = """WITH m AS (SELECT unnest(['CCCA','ATTN','NGA','NGC','NGG','NGK','NGN','NNG','NNGRRT','NNNNGATT','NNNRRT','NRG','TATV','TCCA','TCTA','TTCN','TTN','TTTA','TTTN','TTTR','TTTV','TTYN','TYCV','YTTV']) AS motif),
+s AS (SELECT motif, u AS upstream, CASE
+  WHEN u AND motif = 'TTCN' THEN 'CasX' WHEN u AND motif IN ('NNGRRT', 'NNNRRT') THEN 'SaCas9'
+  WHEN u AND motif NOT LIKE 'N%' THEN 'Cas12a'
+  WHEN NOT u AND motif IN ('NGG', 'NGA', 'NRG', 'NGC') THEN 'SpCas9' WHEN NOT u AND motif IN ('NGK', 'NGN', 'NNG') THEN 'xCas9' ELSE 'unknown' END AS cas_system
+  FROM m, (VALUES (false), (true)) v(u))
+SELECT motif, upstream, cas_system, cas_system IN ('SpCas9', 'xCas9') AS scored FROM s"""

@@ -27,6 +27,20 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("file", ok.alias("header"), "sequence").select("file", contig_name(F.element_at(F.split("header", "\\s+"), 1)).alias("contig"), "header", "sequence")
 
 
+def _fasta_lines(spark: SparkSession, path: str) -> DataFrame:
+    v = F.upper(F.trim("value"))
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.trim("value").alias("raw"), v.alias("v")).where("v <> ''")
+
+
+def fasta_names(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, contig, header)`` of FASTA files, read in splits; a file without header, name or sequence raises an error."""
+    lines = _fasta_lines(spark, path)
+    first = lines.groupBy("file").agg(F.min_by("raw", F.struct("block", "id")).alias("head"), F.count_if(~F.startswith("v", F.lit(">"))).alias("held"))
+    name = F.element_at(F.split(F.trim(F.substring("head", 2, 1 << 30)), "\\s+"), 1)
+    bad = F.when(~F.startswith("head", F.lit(">")), F.lit("no header in ")).when(name == "", F.lit("an empty header in ")).when(F.col("held") == 0, F.lit("no sequence in "))
+    return first.select("file", F.when(bad.isNotNull(), F.raise_error(F.concat(bad, F.col("file")))).otherwise(contig_name(name)).alias("contig"), F.trim(F.substring("head", 2, 1 << 30)).alias("header"))
+
+
 def read_fasta_tiles(spark: SparkSession, path: str, overlap: int, tile: int = TILE) -> DataFrame:
     """``(contig, tile_start, seq)`` straight from the lines of FASTA files.
 
@@ -34,13 +48,7 @@ def read_fasta_tiles(spark: SparkSession, path: str, overlap: int, tile: int = T
     learns its offset from the lengths of the lines before it in its split and
     of the splits before, and gives its pieces to the tiles they lie in.
     """
-    v = F.upper(F.trim("value"))
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.trim("value").alias("raw"), v.alias("v")).where("v <> ''")
-    first = lines.groupBy("file").agg(F.min_by("raw", F.struct("block", "id")).alias("head"))
-    name = F.element_at(F.split(F.trim(F.substring("head", 2, 1 << 30)), "\\s+"), 1)
-    bad = F.when(~F.startswith("head", F.lit(">")), F.lit("no header in ")).when(name == "", F.lit("an empty header in "))
-    names = first.select("file", F.when(bad.isNotNull(), F.raise_error(F.concat(bad, F.col("file")))).otherwise(contig_name(name)).alias("contig"))
-    seq = lines.where(~F.startswith("v", F.lit(">"))).withColumn("n", F.char_length("v").cast("bigint"))
+    seq = _fasta_lines(spark, path).where(~F.startswith("v", F.lit(">"))).withColumn("n", F.char_length("v").cast("bigint"))
     within = Window.partitionBy("file", "block").orderBy("id")
     sums = seq.groupBy("file", "block").agg(F.sum("n").alias("m"))
     base = sums.withColumn("base", F.sum("m").over(Window.partitionBy("file").orderBy("block")) - F.col("m")).drop("m")
@@ -50,14 +58,22 @@ def read_fasta_tiles(spark: SparkSession, path: str, overlap: int, tile: int = T
     lo, hi = F.greatest("pos", "tile_start"), F.least(F.col("pos") + F.col("n"), F.col("tile_start") + (tile + overlap))
     piece = F.struct(lo.alias("at"), F.substring("v", (lo - F.col("pos") + 1).cast("int"), (hi - lo).cast("int")).alias("s"))
     t = p.groupBy("file", "tile_start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["s"]), "").alias("seq"))
-    return t.join(names, "file").select("contig", "tile_start", "seq")
+    # by way of the names, so that a file without a sequence shows
+    return fasta_names(spark, path).join(t, "file", "left").select("contig", "tile_start", "seq")
+
+
+def pieces(text: Column, size: int, overlap: int) -> Column:
+    """A text as an array of pieces of ``size`` characters and ``overlap`` more, in one pass over it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{size + overlap}}})).{{1,{size}}}"), 1)
 
 
 def tiles(contigs: DataFrame, overlap: int, tile: int = TILE, contig: str = "contig", sequence: str = "sequence") -> DataFrame:
-    """``(contig, tile_start, seq)``: ``tile`` bases and ``overlap`` more, so that each window of up to ``overlap + 1`` bases lies whole in the tile where it starts."""
-    n = F.char_length(sequence)
-    starts = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / tile).cast("int")))
-    return contigs.select(F.col(contig).alias("contig"), F.explode(starts).alias("k"), F.col(sequence).alias("s")).select("contig", (F.col("k") * tile).alias("tile_start"), F.substring("s", F.col("k") * tile + 1, F.lit(tile + overlap)).alias("seq"))
+    """``(contig, tile_start, seq)``: ``tile`` bases and ``overlap`` more, so that each window of up to ``overlap + 1`` bases lies whole in the tile where it starts.
+
+    For sequences that fit a row; chromosomes come as tiles from ``read_fasta_tiles``.
+    """
+    cut = contigs.select(F.col(contig).alias("contig"), F.posexplode(pieces(F.col(sequence), tile, overlap)).alias("k", "seq"))
+    return cut.select("contig", (F.col("k").cast("bigint") * tile).alias("tile_start"), "seq")
 
 
 def contig_check(contigs: DataFrame) -> DataFrame:

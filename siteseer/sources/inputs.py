@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 
 from ..functions.iupac import CODES, reverse_complement_text
 
-# Cas systems by PAM motif.
-CAS_SYSTEMS = {
-    "NGG": "SpCas9", "NGA": "SpCas9-VQR", "NGCG": "SpCas9-VRER", "NGK": "xCas9", "NNGRRT": "SaCas9", "NNNRRT": "SaCas9-KKH",
-    "TTTV": "Cas12a", "TTTN": "Cas12a", "NG": "SpCas9-NG", "NRG": "SpCas9", "NNNNGATT": "NmCas9",
+# Cas systems by PAM motif, for PAMs before and after the guide.
+UPSTREAM_SYSTEMS = {
+    "Cas12a": ["TTN", "TTTN", "TYCV", "TATV", "TTTV", "TTTR", "ATTN", "TTTA", "TCTA", "TCCA", "CCCA", "YTTV", "TTYN"],
+    "CasX": ["TTCN"],
+    "SaCas9": ["NNGRRT", "NNNRRT"],
 }
+DOWNSTREAM_SYSTEMS = {
+    "SpCas9": ["NGG", "NGA", "NRG", "NGC"],
+    "xCas9": ["NGK", "NGN", "NNG"],
+}
 SCORED_SYSTEMS = {"SpCas9", "xCas9"}
 
 
@@ -42,12 +47,14 @@ class Pam:
 
     @property
     def cas_system(self) -> str:
-        return CAS_SYSTEMS.get(self.motif, "unknown")
+        """The nuclease that a motif is known for, on its side of the guide, else ``unknown``."""
+        known = UPSTREAM_SYSTEMS if self.upstream else DOWNSTREAM_SYSTEMS
+        return next((name for name, motifs in known.items() if self.motif in motifs), "unknown")
 
     @property
     def scored(self) -> bool:
         """Whether the cutting-frequency score is defined for it."""
-        return self.cas_system in SCORED_SYSTEMS and not self.upstream
+        return self.cas_system in SCORED_SYSTEMS
 
     @classmethod
     def parse(cls, line: str) -> Pam:
@@ -63,10 +70,10 @@ class Pam:
 
 
 def read_pam(spark: SparkSession, path: str) -> Pam:
-    lines = [r["value"] for r in spark.read.text(path).limit(2).collect() if r["value"].strip()]
+    lines = spark.read.text(path).where(F.trim("value") != "").limit(2).collect()
     if len(lines) != 1:
         raise ValueError("a PAM file has one line")
-    return Pam.parse(lines[0])
+    return Pam.parse(lines[0]["value"])
 
 
 @dataclass(frozen=True)
@@ -99,12 +106,12 @@ def check_guides(sequences: Iterable[str], pam: Pam, with_slot: bool = True) ->
 
 
 def read_guides(spark: SparkSession, path: str, pam: Pam, limit: int = 100_000) -> list[Guide]:
-    """One guide per line, in file order."""
-    rows = spark.read.text(path, wholetext=True).limit(2).collect()
-    lines = [x for r in rows for x in r["value"].splitlines() if x.strip()]
-    if len(lines) > limit:
+    """One guide per line, files by name and lines in order; more than ``limit`` raise an error."""
+    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
+    rows = lines.limit(limit + 1).collect()
+    if len(rows) > limit:
         raise ValueError(f"more than {limit} guides")
-    return check_guides(lines, pam)
+    return check_guides([r["value"] for r in sorted(rows, key=lambda r: (r["file"], r["line"]))], pam)
 
 
 @dataclass(frozen=True)

@@ -1,15 +1,19 @@
 """Writers: hit tables, profiles, genomes.
 
-Hit tables are written by Spark in parallel; profile tables hold one row per
-guide, so they are collected (guides are bounded) and written as single text
-files with the fixed layouts.
+Hit tables are written by Spark in parallel, as sorted parts.  Genomes are
+written a file per contig, line by line, so no contig is held whole.  Profile
+tables hold one row per guide, so they are collected (guides are bounded) and
+written as single text files with the fixed layouts.  All paths are Spark's:
+a file system that the cluster knows, not the driver's disk.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from pathlib import Path
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import profiles
@@ -38,10 +42,25 @@ def legacy_layout(hits: DataFrame) -> DataFrame:
     return hits.select("bulge_type", "grna", F.col("spacer").alias("target"), "chrom", "pos", "strand", "mismatches", size.alias("bulge_size"), (F.col("mismatches") + size).alias("total"))
 
 
-def write_tsv(df: DataFrame, path: str, single_file: bool = False, header: bool = True) -> None:
-    """Tab-separated text; ``single_file`` keeps the sort order in one part."""
-    out = df.coalesce(1) if single_file else df
+#: Row formatters by name; any function from hits to the columns to write will do.
+LAYOUTS: dict[str, Callable[[DataFrame], DataFrame]] = {"scored": scored_layout, "plain": plain_layout, "legacy": legacy_layout}
+
+
+def layout_of(layout: str | Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    if callable(layout):
+        return layout
+    if layout not in LAYOUTS:
+        raise ValueError(f"layout is one of {sorted(LAYOUTS)}, or a function")
+    return LAYOUTS[layout]
+
+
+def write_tsv(df: DataFrame, path: str, single_file: bool = False, header: bool = True) -> int:
+    """Tab-separated text in sorted parts, each with the header; ``single_file`` brings all rows into one.  Returns the rows written."""
+    seen = Observation()
+    out = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    out = out.coalesce(1) if single_file else out
     out.write.mode("error").csv(path, sep="\t", header=header, quote="\x00", emptyValue="", nullValue="NA")
+    return int(seen.get["rows"])
 
 
 def annotated_name(path: str) -> str:
@@ -51,10 +70,53 @@ def annotated_name(path: str) -> str:
 
 
 def write_fasta(contigs: DataFrame, path: str) -> None:
-    """One ``>header`` and one sequence line per contig, a part file per task."""
+    """One ``>header`` and one sequence line per contig, a part file per task; for sequences that fit a row."""
     contigs.select(F.concat(F.lit(">"), F.col("contig"), F.lit("\n"), F.col("sequence")).alias("value")).write.mode("error").text(path)
 
 
+def write_contig_files(lines: DataFrame, headers: DataFrame, path: str, names: dict[str, str]) -> dict[str, str]:
+    """A FASTA file per contig, from ``(contig, place, line)`` and ``(contig, header)``; returns the files by contig.
+
+    A contig is sorted and streamed by one task.  ``names`` gives file names;
+    one entry per contig, as does the renaming on the driver.
+    """
+    spark = lines.sparkSession
+    top = headers.join(lines.select("contig").distinct(), "contig", "left_semi").select("contig", F.lit(-1).cast("bigint").alias("place"), F.concat(F.lit(">"), "header").alias("value"))
+    rows = top.unionByName(lines.select("contig", F.col("place").cast("bigint").alias("place"), F.col("line").alias("value")))
+    rows.repartition("contig").sortWithinPartitions("contig", "place").select("contig", "value").write.mode("error").partitionBy("contig").text(path)
+    fs, Path_ = _file_system(spark, path)
+    out = {}
+    for d in fs.listStatus(Path_(path)):
+        key = d.getPath().getName()
+        if not key.startswith("contig="):
+            continue
+        contig = unquote(key.split("=", 1)[1])
+        parts = [f.getPath() for f in fs.listStatus(d.getPath()) if f.getPath().getName().startswith("part-")]
+        out[contig] = f"{path.rstrip('/')}/{names.get(contig, contig + '.fa')}"
+        fs.rename(parts[0], Path_(out[contig]))
+        fs.delete(d.getPath(), True)
+    return out
+
+
+def tile_lines(tiles_: DataFrame, tile: int) -> DataFrame:
+    """``(contig, place, line)``: each tile's own bases are a line."""
+    return tiles_.select("contig", F.col("tile_start").alias("place"), F.substring("seq", 1, tile).alias("line"))
+
+
+def _file_system(spark: SparkSession, path: str):
+    cls = spark._jvm.org.apache.hadoop.fs.Path
+    return cls(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), cls
+
+
+def write_lines(spark: SparkSession, path: str, lines: list[str]) -> str:
+    """A small text file on the file system of the path."""
+    fs, cls = _file_system(spark, path)
+    out = fs.create(cls(path), True)
+    out.write(bytearray("".join(x + "\n" for x in lines).encode()))
+    out.close()
+    return path
+
+
 def guide_label(guide: Guide, pam: Pam) -> str:
     slot = "N" * pam.size
     return slot + guide.sequence if pam.upstream else guide.sequence + slot
@@ -132,9 +194,7 @@ def write_profiles(hits: DataFrame, guides: list[Guide], pam: Pam, budget: Budge
     }
     out = []
     for name, lines in files.items():
-        path = Path(f"{stem}.{name}.xls")
-        path.write_text("".join(x + "\n" for x in lines))
-        out.append(str(path))
+        out.append(write_lines(spark, f"{stem}.{name}.xls", lines))
     ev.unpersist()
     tot.unpersist()
     return out

@@ -52,12 +52,19 @@ def _header(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_hits(spark: SparkSession, path: str) -> DataFrame:
-    """A hits table; its first nine columns must be the fixed ones, in order."""
+    """A hits table; its first nine columns must be the fixed ones, in order.
+
+    A first line whose position is a number is no header: such a shard has the
+    fixed columns.  Short rows are filled up, so a missing score is ``NA``.
+    """
     head = _header(spark, path)
-    if head[:9] != HIT_COLUMNS[:9]:
+    bare = len(head) > 1 and head[1].lstrip("-").isdigit()
+    if bare:
+        head = HIT_COLUMNS
+    elif head[:9] != HIT_COLUMNS[:9]:
         raise ValueError(f"not a hits table: {head[:9]}")
-    raw = spark.read.csv(path, sep="\t", header=True, schema=", ".join(f"`{c}` string" for c in head), quote="", enforceSchema=True)
-    typed = {c: F.col(c).cast("int") for c in ("pos", "mismatches", "bulge_dna", "bulge_rna")}
+    raw = spark.read.csv(path, sep="\t", header=not bare, schema=", ".join(f"`{c}` string" for c in head), quote="", enforceSchema=True)
+    typed = {c: F.expr(f"try_cast({c} AS int)") for c in ("pos", "mismatches", "bulge_dna", "bulge_rna")}
     if "cfd_score" in head:
         typed["cfd_score"] = F.expr("try_cast(cfd_score AS double)")
     return raw.withColumns(typed)

@@ -3,7 +3,8 @@ import random
 import naive
 import pytest
 
-from siteseer.operators.scripts import SEED_FROM, edit_scripts, near_match, script_table, seeded_match
+from siteseer.operators import scripts
+from siteseer.operators.scripts import edit_scripts, near_match
 from siteseer.operators.search import search
 from siteseer.operators.sites import extract_sites, pam_starts
 from siteseer.sources.inputs import Budget, Guide, Pam
@@ -42,7 +43,8 @@ def test_pam_scan(spark):
     assert {("+", 5), ("+", 8)} <= got
     assert {(r["strand"]) for r in pam_starts(contigs(spark, "AAAAACCGAAAAAAAAAAAA"), NGG5).collect()} == {"-"}
     assert pam_starts(contigs(spark, "AAATTTAAAAAAAAAAAAAAA"), Pam("TTT", 5, True)).where("strand = '+'").count() == 1
-    # the last start is scanned too
+    # the last start is scanned too, unless asked otherwise
+    assert pam_starts(contigs(spark, "AAAGG"), NGG5, compat_edges=True).count() == 0
     assert pam_starts(contigs(spark, "AAAGG"), NGG5).count() == 1
 
 
@@ -80,20 +82,23 @@ def test_script_counts():
     assert len(edit_scripts(20, 21, 1, 1, False)) == 441
     assert len(edit_scripts(20, 21, 1, 1, True)) == 41
     assert len(edit_scripts(20, 22, 2, 2, True)) == 441
-    assert len(edit_scripts(20, 22, 2, 1, False)) > SEED_FROM
+    assert len(edit_scripts(20, 22, 2, 1, False)) > 2_000
 
 
-def test_seeds_lose_nothing(spark):
+@pytest.mark.parametrize("budget,upstream", [(Budget(1, 1, 1), False), (Budget(3, 1, 0), True), (Budget(2, 2, 1, True), False), (Budget(6, 1, 1), False)])
+def test_blocks_lose_nothing(spark, monkeypatch, budget, upstream):
+    """The block filter and tables in turns give what all scripts against all sites give; ambiguous bases on both sides."""
     rnd = random.Random(5)
-    pam, budget = Pam("NGG", 8), Budget(1, 1, 1)
+    pam = Pam("TTV", 8, True) if upstream else Pam("NGG", 8)
     seqs = ["".join(rnd.choices("ACGT" * 9 + "R", k=400)) for _ in range(3)]
-    guides = [Guide(0, "ACGTACGT"), Guide(1, "TTGACCGA"), Guide(2, "TTGACCGA")]
-    sites = extract_sites(contigs(spark, *seqs), pam, 1)
-    table = script_table(spark, guides, pam, budget, 1)
-    key = ["contig", "strand", "window0", "guide_id", "script"]
-    a = {tuple(r) for r in near_match(sites, table, 1).select(*key).collect()}
-    b = [tuple(r) for r in seeded_match(sites, table, guides, pam, budget, 1).select(*key).collect()]
-    assert a and set(b) == a and len(b) == len(a)
+    guides = [Guide(0, "ACGTACGT"), Guide(1, "TTGACCGA"), Guide(2, "TTGACCGA"), Guide(3, "TTGRCCGN".replace("N", "Y"))]
+    sites = extract_sites(contigs(spark, *seqs), pam, 2)
+    key = ["contig", "strand", "window0", "guide_id", "script", "mismatches"]
+    a = sorted(tuple(r) for r in near_match(sites, guides, pam, budget, 2, prefilter=False).select(*key).collect())
+    assert a and len(a) == len(set(a))
+    monkeypatch.setattr(scripts, "SCRIPT_ROWS", 50)
+    monkeypatch.setattr(scripts, "GUIDE_ROWS", 3)
+    assert sorted(tuple(r) for r in near_match(sites, guides, pam, budget, 2).select(*key).collect()) == a
 
 
 def test_budget_checks():
