@@ -32,7 +32,8 @@ def walk(hits: DataFrame, pam: Pam, budget: Budget) -> DataFrame:
         kind = F.when(g == "-", F.lit("D")).when(t == "-", F.lit("R")).when((g != t) & (g != "N") & (t != "N"), F.lit("M"))
         return F.struct(kind.alias("kind"), pos.alias("pos"), t.alias("base"))
 
-    cols = F.filter(F.transform(F.sequence(F.lit(1), F.char_length("g")), column), lambda x: x["kind"].isNotNull())
+    # a gap after the last guide base has no position
+    cols = F.filter(F.transform(F.sequence(F.lit(1), F.char_length("g")), column), lambda x: x["kind"].isNotNull() & (x["pos"] < pam.guide_size))
     return h.select("guide_id", "mm", "bulge_dna", "bulge_rna", F.explode(cols).alias("c")).select("guide_id", "c.kind", "mm", "bulge_dna", "bulge_rna", "c.pos", "c.base")
 
 

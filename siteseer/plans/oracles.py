@@ -86,7 +86,7 @@ FROM grid LEFT JOIN n USING (guide_id, pos)"""
 
 def extended(kw: dict) -> str:
     return f"""WITH {columns(kw)} SELECT guide_id, mm, CASE kind WHEN 'D' THEN 'DNA' WHEN 'R' THEN 'RNA' ELSE tc END AS symbol, CAST(pos AS INT) AS pos, count(*) AS n
-FROM ev WHERE kind IN ('D', 'R') OR (kind = 'M' AND tc IN ('A', 'C', 'G', 'T')) GROUP BY ALL"""
+FROM ev WHERE pos < {G} AND (kind IN ('D', 'R') OR (kind = 'M' AND tc IN ('A', 'C', 'G', 'T'))) GROUP BY ALL"""
 
 
 def extended_totals(kw: dict) -> str:

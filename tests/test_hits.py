@@ -1,9 +1,12 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from siteseer.operators import annotate, ordering, profiles, report, scoring, variants
 from siteseer.operators.search import with_derived
 from siteseer.sources import sinks
+from siteseer.sources.genome import tiles
 from siteseer.sources.inputs import Budget, Guide, Pam
 
 NGG5 = Pam("NGG", 5)
@@ -99,11 +102,11 @@ def test_variants(spark):
     assert variants.snp_codes(al).collect()[0]["code"] == "N"
     seq = "ACGT" * 24 + "CCCA" + "GGGGGGGGGGGGGGGGGGG" + "AC" + "ACGT" * 25
     c = spark.createDataFrame([("chr1", seq)], "contig string, sequence string")
-    w = {r["id"]: r for r in variants.indel_windows(al, c).collect()}
+    w = {r["id"]: r for r in variants.indel_windows(al, tiles(c, 0, 7), tile=7).collect()}
     assert len(w["r3"]["refseq"]) == 102 and w["r3"]["indelseq"][50:53] == "TTT" and w["r4"]["indelseq"].startswith("AT")
-    lay = variants.indel_layout(variants.indel_windows(al, c)).orderBy("idx").collect()
+    lay = variants.indel_layout(variants.indel_windows(al, tiles(c, 0, 7), tile=7)).orderBy("idx").collect()
     assert [(r["idx"], r["start"]) for r in lay] == [(2, 0), (3, lay[0]["stop"] + 1)]
-    assert variants.fake_contig(variants.indel_layout(variants.indel_windows(al, c))).first()["sequence"].count("N") == 1
+    assert variants.fake_contig(variants.indel_layout(variants.indel_windows(al, tiles(c, 0, 7), tile=7))).first()["sequence"].count("N") == 1
     key = variants.snp_dictionary(al).first()
     assert key["key"] == "chr1,100" and key["value"].startswith("x;A,G;chr1-100-A/G;0.5$")
     pairs = variants.pair_contigs(c, spark.createDataFrame([("chr2",)], "contig string"))
@@ -116,7 +119,7 @@ def test_snps_across_tiles(spark):
 
     c = spark.createDataFrame([("a", "ACGT" * 10), ("b", "A" * 7)], "contig string, sequence string")
     codes = spark.createDataFrame([("a", 1, "A", "R"), ("a", 8, "T", "Y"), ("a", 9, "A", "M"), ("a", 40, "T", "K")], "contig string, pos long, ref string, code string")
-    t = variants.apply_snps(tiles(c, 5, 8), codes, 8)
+    t = variants.apply_snps(tiles(c, 5, 8), codes, 8, overlap=5)
     got = {r["contig"]: r["sequence"] for r in assemble(t, 8).collect()}
     want = list("ACGT" * 10)
     for i, x in ((0, "R"), (7, "Y"), (8, "M"), (39, "K")):
@@ -125,7 +128,7 @@ def test_snps_across_tiles(spark):
     first = t.where("contig = 'a' AND tile_start = 0").first()["seq"]
     assert first == "".join(want)[:13]
     with pytest.raises(Exception):
-        variants.apply_snps(tiles(c, 5, 8), codes.withColumn("ref", F.lit("G")), 8).collect()
+        variants.apply_snps(tiles(c, 5, 8), codes.withColumn("ref", F.lit("G")), 8, overlap=5).collect()
 
 
 def test_report(spark):
@@ -139,3 +142,36 @@ def test_report(spark):
     assert report.radar_counts(many.withColumn("gene", F.lit("NA")), "gene", 0).count() == 0
     assert [r["position"] for r in report.strip_pam(report.logo_matrix(rows), "ACGTANGT").orderBy("position").collect()] == list(range(1, 8))
     assert report.safe_name("A-C/1") == "A_C_1" and report.safe_name("") == "guide"
+
+
+@pytest.mark.parametrize("most", [0, 1 << 30])
+def test_overlaps_of_all_sizes(spark, monkeypatch, most):
+    """Features from one base to a whole contig, with and without a broadcast: each overlapping pair once."""
+    monkeypatch.setattr(annotate, "BROADCAST_BYTES", most)
+    rnd = random.Random(3)
+    features = [("t", rnd.choice("ab"), s, s + rnd.choice([1, 30, 5000, 40_000, 3_000_000]), f"l{i}", i) for i, s in enumerate(rnd.randrange(0, 2_000_000) for _ in range(150))]
+    features += [("t", "a", 0, 200_000_000, "all", 900), ("t", "a", 4095, 4097, "border", 901), ("t", "a", 7, 7, "none", 902), ("t", "b", 32768, 32769, "edge", 903)]
+    spans = [(i, rnd.choice("ab"), s, s + rnd.randint(1, 25)) for i, s in enumerate([*(rnd.randrange(0, 2_100_000) for _ in range(200)), 4094, 4096, 32767, 32768, 0])]
+    got = [(r["row_id"], r["label"]) for r in annotate.overlaps(spark.createDataFrame(spans, "row_id long, chrom string, start0 long, end0 long"), spark.createDataFrame(features, "track string, chrom string, start long, end long, label string, ord long")).collect()]
+    want = {(i, x[4]) for i, c, a, z in spans for x in features if x[1] == c and x[2] < x[3] and a < x[3] and x[2] < z}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_indels_at_edges(spark):
+    """Windows over many tiles, at both ends of a contig, twice the same row, and a place beyond the contig."""
+    seq = "".join(random.Random(2).choices("ACGT", k=90))
+    c = spark.createDataFrame([("c", seq)], "contig string, sequence string")
+    at = [(1, 1), (90, 1), (40, 30), (45, 1), (45, 1)]
+    al = spark.createDataFrame([("c", p, f"r{p}", seq[p - 1 : p - 1 + n], "GG", 1, "indel", "s1") for p, n in at], "contig string, pos long, id string, ref string, alt string, allele int, kind string, carriers string")
+    rows = variants.indel_windows(al, tiles(c, 3, 8), flank=10, tile=8).collect()
+    assert sorted((r["pos"], r["refseq"], r["indelseq"]) for r in rows) == sorted((p, seq[max(0, p - 11) : p - 1 + n + 10], seq[max(0, p - 11) : p - 1] + "GG" + seq[p - 1 + n : p - 1 + n + 10]) for p, n in at)
+    with pytest.raises(Exception):
+        variants.indel_windows(al.withColumn("pos", F.lit(200).cast("long")), tiles(c, 3, 8), flank=10, tile=8).collect()
+
+
+def test_logo_per_guide(spark):
+    g, h = "ACGTANGG", "TTGTANGG"
+    rows = spark.createDataFrame([(g, "AaGTATGG", 1), (g, g, 0), (h, "TTGgATGG", 1)], "grna string, spacer string, mismatches int")
+    m = {(r["guide"], r["position"]): r for r in report.strip_pam_by_guide(report.logo_matrix(rows, per_guide=True)).collect()}
+    assert len(m) == 14 and m[g, 2]["A"] == 0.5 and m[h, 4]["G"] == 1.0 and m[h, 2]["A"] == 0
+    assert report.logo_matrix(rows).where("position = 2").first()["A"] == pytest.approx(1 / 3)

@@ -5,7 +5,7 @@ import pytest
 from siteseer.functions.iupac import code_of, nibble, reverse_complement_text
 from siteseer.sources import tracks
 from siteseer.sources.genome import assemble, read_fasta, read_fasta_tiles, tiles
-from siteseer.sources.inputs import Pam, check_guides
+from siteseer.sources.inputs import Pam, check_guides, read_guides, read_pam
 
 
 def test_pam_lines():
@@ -18,6 +18,59 @@ def test_pam_lines():
             Pam.parse(bad)
 
 
+# Systems of motifs.
+KNOWN = {
+    False: {"NGG": "SpCas9", "NGA": "SpCas9", "NRG": "SpCas9", "NGC": "SpCas9", "NGK": "xCas9", "NGN": "xCas9", "NNG": "xCas9", "NNGRRT": "unknown", "TTTV": "unknown"},
+    True: {"TTN": "Cas12a", "TTTN": "Cas12a", "TYCV": "Cas12a", "TATV": "Cas12a", "TTTV": "Cas12a", "TTTR": "Cas12a", "ATTN": "Cas12a", "TTTA": "Cas12a", "TCTA": "Cas12a", "TCCA": "Cas12a", "CCCA": "Cas12a", "YTTV": "Cas12a", "TTYN": "Cas12a", "TTCN": "CasX", "NNGRRT": "SaCas9", "NNNRRT": "SaCas9", "NGG": "unknown"},
+}
+
+
+@pytest.mark.parametrize("upstream,motif", [(u, m) for u, ms in KNOWN.items() for m in ms])
+def test_systems(upstream, motif):
+    p = Pam(motif, 20, upstream)
+    assert p.cas_system == KNOWN[upstream][motif] and p.scored == (p.cas_system in ("SpCas9", "xCas9"))
+
+
+def test_small_files_are_read_whole(spark, tmp_path):
+    """Second lines after blanks, third files and long tables show, or raise."""
+    from siteseer.operators.scoring import read_model
+
+    (tmp_path / "pam.txt").write_text("\n" + "N" * 5 + "NGG 3\n\n")
+    assert read_pam(spark, str(tmp_path / "pam.txt")).motif == "NGG"
+    (tmp_path / "two.txt").write_text("NNNNNNGG 3\n\n\nNNNNNNGA 3\n")
+    with pytest.raises(ValueError):
+        read_pam(spark, str(tmp_path / "two.txt"))
+    for i in range(4):
+        (tmp_path / f"g{i}.txt").write_text("".join(f"ACGT{b}NNN\n" for b in "ACGT"[: i + 1]))
+    got = read_guides(spark, str(tmp_path / "g*.txt"), Pam("NGG", 5))
+    assert [g.sequence[-1] for g in got] == list("AACACGACGT") and [g.guide_id for g in got] == list(range(10))
+    with pytest.raises(ValueError):
+        read_guides(spark, str(tmp_path / "g*.txt"), Pam("NGG", 5), limit=9)
+    (tmp_path / "m.csv").write_text("key,value\n" + "".join(f'"rA:dC,{i}",0.5\n' for i in range(20)))
+    assert len(read_model(spark, str(tmp_path / "m.csv"), str(tmp_path / "m.csv")).mismatch) == 20
+    with pytest.raises(ValueError):
+        read_model(spark, str(tmp_path / "m.csv"), str(tmp_path / "m.csv"), limit=19)
+
+
+def test_shards_without_header_and_score(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("chr1\t5\t+\tA\tA\t0\tX\t0\t0\nchr1\t7\t-\tA\tA\t0\tX\t0\t0\t0.25\n")
+    assert [(r["pos"], r["cfd_score"]) for r in tracks.read_hits(spark, str(tmp_path / "a.tsv")).orderBy("pos").collect()] == [(5, None), (7, 0.25)]
+
+
+def test_long_contig_in_linear_time(spark):
+    """One contig of two million bases as a row: tiles and sites in one pass."""
+    import random
+
+    from siteseer.operators.sites import extract_sites
+
+    seq = "".join(random.Random(1).choices("ACGT", k=20_000)) * 100
+    df = spark.createDataFrame([("c", seq)], "contig string, sequence string")
+    t = tiles(df, 22)
+    assert t.count() == -(-len(seq) // 512) and assemble(t.where("tile_start < 5120")).first()["sequence"] == seq[:5120]
+    n = extract_sites(df, Pam("NGG", 20), planes=False, partitions=8).count()
+    assert n == sum(seq[p + 21 : p + 23] == "GG" for p in range(len(seq) - 22)) + sum(seq[p : p + 2] == "CC" for p in range(len(seq) - 22))
+
+
 def test_guides():
     p = Pam("NGG", 5)
     assert [g.sequence for g in check_guides(["ACGTANNN", "acgtaNNN"], p)] == ["ACGTA", "ACGTA"]
