@@ -278,6 +278,15 @@ def source_lines(source_edges: DataFrame) -> DataFrame:
     return source_edges.groupBy("grp").applyInArrow(run, "src bigint, start bigint, n bigint")
 
 
+def _to_texts(docs: DataFrame, asked: DataFrame, how: str = "inner") -> DataFrame:
+    """Texts beside what is asked of them.
+
+    Requests grow with the corpus, so they are never broadcast; each task
+    hashes the requests of its documents and streams their texts past.
+    """
+    return docs.join(asked.hint("shuffle_hash"), ["doc_id"], how)
+
+
 def nodes(docs: DataFrame, lines: DataFrame, k: int) -> DataFrame:
     """``(node, src, place, ins, outs)``: the nodes on source lines, and whether an edge of the line enters and leaves there."""
     by = stash(lines.groupBy("src").agg(F.collect_list(F.struct("start", "n")).alias("spans")).withColumnRenamed("src", "doc_id"), "lines")
@@ -303,7 +312,7 @@ def nodes(docs: DataFrame, lines: DataFrame, k: int) -> DataFrame:
                 })
         release()
 
-    joined = lookup_join(docs, by, ["doc_id"], row_bytes=F.lit(48) + 16 * F.size("spans")).select("doc_id", "text", "spans")
+    joined = _to_texts(docs, by).select("doc_id", "text", "spans")
     return joined.mapInArrow(run, "node bigint, src bigint, place bigint, ins int, outs int")
 
 
@@ -373,7 +382,7 @@ def span_hashes(docs: DataFrame, spans: DataFrame, k: int) -> DataFrame:
                 st, n = asks.field("start").to_numpy(), asks.field("n").to_numpy()
                 yield pa.record_batch({"doc_id": did[i:j][doc], "start": st, "n": n, "h": second_hashes(buf, offs[i : j + 1], doc, st, st + n + k - 1)})
 
-    joined = lookup_join(docs, asked, ["doc_id"], row_bytes=F.lit(48) + 16 * F.size("asks")).select("doc_id", "text", "asks")
+    joined = _to_texts(docs, asked).select("doc_id", "text", "asks")
     return joined.mapInArrow(run, "doc_id bigint, start bigint, n bigint, h bigint").distinct()
 
 
@@ -396,7 +405,7 @@ def settle(docs: DataFrame, failed: DataFrame, k: int) -> DataFrame:
                 own = place < np.diff(o)[d]
                 yield pa.record_batch({"w": np.unique(h[o[d[own]] + place[own]]).view(np.int64)})
 
-    with_asks = lookup_join(docs, asks, ["doc_id"], row_bytes=F.lit(48) + 16 * F.size("asks")).select("doc_id", "text", "asks")
+    with_asks = _to_texts(docs, asks).select("doc_id", "text", "asks")
     wanted = np.sort(np.array([r["w"] for r in with_asks.mapInArrow(look, "w bigint").distinct().collect()], np.int64).view(U))
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
@@ -523,7 +532,7 @@ def remove_repeats(docs: DataFrame, k: int = 13, doc_id: str = "doc_id", text: s
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    return lookup_join(docs, spans.withColumnRenamed("spans", SPANS), ["doc_id"], how="left", row_bytes=F.lit(48) + 24 * F.size(SPANS))
+    return _to_texts(docs, spans.withColumnRenamed("spans", SPANS), "left")
 
 
 def edit_documents(docs: DataFrame, k: int = 13) -> DataFrame:
