@@ -35,7 +35,7 @@ from ._text import U, mix, powers, release
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Words, and parts of words, that a worker keeps.
-CACHE = 350_000
+CACHE = 400_000
 #: Pairs of pieces whose compatibility is kept.
 PAIRS = 2_000_000
 #: Strings of up to so many characters are merged by scanning.
@@ -67,10 +67,6 @@ class Model:
         keys = np.concatenate([self._keys(self.text[i]) for i in ids.tolist()])
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], ids[order]
-        # the code points of every piece by place, so that a hash that hits is compared with the piece itself
-        self.codes = np.full((n, self.longest), -1, np.int32)
-        for i in ids.tolist():
-            self.codes[i, : len(self.text[i])] = [ord(c) for c in self.text[i]]
         self.pairs, self.fine = np.zeros(0, np.int64), np.zeros(0, bool)
         # two characters that no piece holds side by side: no merge crosses there
         self.touching = {s[i : i + 2] for s in self.rank for i in range(len(s) - 1)}
@@ -172,9 +168,6 @@ class Model:
             h = mix((acc[:, j : j + 1] - acc[:, j - lens]) * down[j - lens] + lens.astype(U) * U(0xA24BAED4963EE407))
             at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
             cand = np.where(self.keys[at] == h, self.ids[at], -1)
-            for c in np.flatnonzero((cand >= 0).any(0)).tolist():  # a hit counts if the piece has these very characters
-                r = np.flatnonzero(cand[:, c] >= 0)
-                cand[r, c] = np.where((self.codes[cand[r, c], : c + 1] == codes[r, j - c - 1 : j]).all(1), cand[r, c], -1)
             cand[:, 0] = np.where(cand[:, 0] < 0, OTHER + codes[:, j - 1], cand[:, 0])
             r, c = np.nonzero(cand >= 0)
             ok = self.compatible(last[r, j - lens[c]], cand[r, c])
@@ -202,7 +195,7 @@ class Model:
         for x in {x for xs in cut.values() for x in xs}:
             if x not in self.parts:
                 if x.startswith(MARK + MARK) or len(x) > LONG:
-                    self.parts[x] = self._bytes([self.rank[p][1] if p in self.rank else OTHER + ord(p) for p in self.merge(x)])
+                    self.parts[x] = self._merged(x)
                 else:
                     by.setdefault(len(x), []).append(x)
         for size, group in by.items():
@@ -211,14 +204,20 @@ class Model:
                 part = group[i : i + step]
                 rows = self.viterbi(part)
                 ids, ends = rows[rows >= 0], np.cumsum((rows >= 0).sum(1)).tolist()
-                plain, at = (ids < OTHER).all(), 0
+                plain, at, names = (ids < OTHER).all(), 0, list(map(self._name, ids.tolist()))
                 raw = ids.astype("<u4").tobytes() if plain else b""
                 for x, end in zip(part, ends):
-                    self.parts[x] = raw[4 * at : 4 * end] if plain else self._bytes(ids[at:end].tolist())
+                    if "".join(names[at:end]) != x:  # a substring hash met another piece's key
+                        self.parts[x] = self._merged(x)
+                    else:
+                        self.parts[x] = raw[4 * at : 4 * end] if plain else self._bytes(ids[at:end].tolist())
                     at = end
         for w, xs in cut.items():
             self.cache[w] = b"".join([self.parts[x] for x in xs])
 
+    def _merged(self, x: str) -> bytes:
+        return self._bytes([self.rank[p][1] if p in self.rank else OTHER + ord(p) for p in self.merge(x)])
+
     def _parts(self, w: str) -> list[str]:
         """A word, cut where no piece can reach across; plain words are left whole."""
         if w.lstrip(MARK).isalpha():
