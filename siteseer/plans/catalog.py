@@ -24,7 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 #: Budgets of the registered searches.
-MM = {"mm": 4}
+MM = {"mm": 9}
 DNA = {"mm": 2, "dna": 1, "bmax": 1}
 RNA = {"mm": 2, "rna": 1}
 MIXED = {"mm": 2, "dna": 1, "rna": 1, "bmax": 1}

@@ -18,7 +18,7 @@ TTTV = Pam("TTTV", 20, upstream=True)
 SAMPLES = ["s1", "s2", "s3"]
 TRACKS = ["annotation1", "annotation2"]
 #: A guide set is a small input of a search: so many guides of either kind.
-ITEMS, CONTIGS = 2, 8
+ITEMS, CONTIGS = 2, 3
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:

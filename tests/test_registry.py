@@ -14,7 +14,7 @@ def test_every_query_has_an_oracle():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["site_extract", "search_mixed", "profile_positions", "annotate_multi_track", "snp_dictionary", "logo_matrix"])
+@pytest.mark.parametrize("name", ["site_extract", "search_mixed", "profile_positions", "annotate_multi_track", "snp_dictionary", "logo_by_guide", "profile_extended_file", "fasta_files", "merged_hits", "vcf_scan", "cfd_gate"])
 def test_oracle(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
