@@ -154,6 +154,21 @@ def test_pieces_equal_the_library(spark):
     assert pieces.encode(docs.where("false"), path).count() == 0
 
 
+def test_pieces_survive_colliding_keys():
+    """A substring whose hash meets another piece's key does not get that piece."""
+    from sentencepiece import SentencePieceProcessor
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    sp, m = SentencePieceProcessor(model_file=path), pieces.Model(path)
+    for odd, piece in (("zq", "th"), ("xj", "▁the"), ("q", "a")):
+        key = m._keys(odd)
+        at = np.searchsorted(m.keys, key)
+        if m.keys[at[0]] != key[0]:
+            m.keys, m.ids = np.insert(m.keys, at, key), np.insert(m.ids, at, m.rank[piece][1])
+    texts = ["azqb zq the", "xj xjx axj", "thzq zqth", "quick brown"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in m.encode_batch(texts)] == sp.encode(texts)
+
+
 # 3 chats
 
 
