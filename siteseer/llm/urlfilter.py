@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ._dist import discard, shared_dir, stash
+from ._dist import discard, power_of_two, shared_dir, stash
 
 #: Bits that one cascade may take; a list that needs more is dealt into more parts.
 MAX_BITS = 1 << 24
@@ -127,8 +127,8 @@ def part_of(key: Column, parts: int) -> Column:
 
 
 def build_parts(keys: DataFrame, max_bits: int = MAX_BITS) -> list[list[Level]]:
-    """A cascade per part of the keys; parts double until each cascade is small enough."""
-    parts = 1
+    """A cascade per part of the keys: as many parts as the list asks for, and twice as many until each cascade is small enough."""
+    parts = power_of_two(2.5 * BITS_PER_KEY * keys.where("listed").count() / max_bits)
     while True:
         out = []
         for i in range(parts):
