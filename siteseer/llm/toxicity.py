@@ -16,9 +16,10 @@ A logistic regression on word, stem, pattern and density features is trained
 on the posteriors and scores every whole text.
 
 Only ``max_rows`` labelled rows are used for fitting, those with the least
-hash of their id; rows that are held out never take part.  Every word or stem
-with significant evidence is a feature, and every stem a voter; their number
-is bounded by the sample alone.  Scoring reads every text in full.
+hash of their id; rows that are held out never take part.  The size of the
+model is a parameter too: the ``max_features`` words and stems with the most
+evidence are features, and each of their stems is a voter.  Scoring reads
+every text in full.
 
 Defined cases: a null or empty text has no feature and gets the score of the
 intercept; of several labels of one id the largest counts; ids without a text
@@ -43,6 +44,8 @@ from ._text import release
 
 #: Labelled rows used for fitting, at most.
 MAX_ROWS = 20_000
+#: Size of the model: words and stems with the strongest evidence.
+MAX_FEATURES = 400
 STEMS = (4, 5)
 #: How far the label is trusted at first, and how far at most.
 LABEL_TRUST = 0.9
@@ -120,7 +123,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
 
 
-def lexicon(rows: DataFrame) -> tuple[list[str], int]:
+def lexicon(rows: DataFrame, max_features: int = MAX_FEATURES) -> tuple[list[str], int]:
     """Words and stems with significantly many toxic texts, and the number of texts."""
 
     def run(batches):
@@ -143,8 +146,7 @@ def lexicon(rows: DataFrame) -> tuple[list[str], int]:
     rest = F.when(F.col("t") < F.col("n"), (F.col("n") - F.col("t")) * F.log((1 - share) / (1 - rate))).otherwise(F.lit(0.0))
     c = c.where((share > rate) & (F.col("t") > 2)).withColumn("e", F.col("t") * F.log(share / rate) + rest)
     c = c.where((F.col("e") > math.log(50_000)) & (share > 0.5))
-    # of at most ``max_rows`` texts, and only those with evidence
-    return sorted(r["f"] for r in c.select("f").collect()), n
+    return sorted(r["f"] for r in c.orderBy(F.col("e").desc(), "f").limit(max_features).select("f").collect()), n
 
 
 def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,25 +156,31 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 25) -> tuple[
     more voter, whose accuracy is estimated like the others' and kept between
     a half and ``MOST_TRUST``.
     """
-    v = np.column_stack([votes, gold])
+    v = np.column_stack([votes, gold]).astype(np.int8)
     n, m = v.shape
-    on = np.stack([v == c for c in (-1, 0, 1)]).astype(float)  # kind, row, voter
+    on = lambda c: (v == c).astype(np.float32)  # noqa: E731  of one kind of vote at a time
     right = LABEL_TRUST
     post = np.where(gold == 1, LABEL_TRUST, 1 - LABEL_TRUST)
     weight = np.ones(m)
     for _ in range(rounds):
-        p1 = (np.einsum("knj,n->kj", on, post) + 0.1) / (post.sum() + 0.3)
-        p0 = (np.einsum("knj,n->kj", on, 1 - post) + 0.1) / ((1 - post).sum() + 0.3)
+        counts = np.stack([np.stack([post, 1 - post]).astype(np.float32) @ on(c) for c in (-1, 0, 1)]).astype(float)  # kind, class, voter
+        p1 = (counts[:, 0] + 0.1) / (post.sum() + 0.3)
+        p0 = (counts[:, 1] + 0.1) / ((1 - post).sum() + 0.3)
         # what voters share beyond the class: residual correlations lower their weights
-        fit = np.where(v == 1, 1.0, 0.0) - post[:, None] * p1[2] - (1 - post)[:, None] * p0[2]
-        sd = fit.std(0) + 1e-9
+        fit = on(1)
+        fit -= post[:, None].astype(np.float32) * (p1[2] - p0[2]).astype(np.float32)
+        fit -= p0[2].astype(np.float32)
+        sd = fit.std(0).astype(float) + 1e-9
         corr = (fit.T @ fit) / n / np.outer(sd, sd)
+        del fit
         np.fill_diagonal(corr, 0)
         weight = 1 / (1 + np.clip(corr, 0, 1).sum(1))
         llr = np.log(p1) - np.log(p0)
         prior = np.log((post.mean() + 1e-6) / (1 - post.mean() + 1e-6))
         trust = np.log(right / (1 - right))
-        odds = prior + sum((on[k] * (llr[k] * weight)[None, :])[:, :-1].sum(1) for k in range(3)) + np.where(gold == 1, trust, -trust)
+        told = llr * weight
+        told[:, -1] = 0  # the label's own vote counts by its trust
+        odds = prior + sum(on(c) @ told[c + 1].astype(np.float32) for c in (-1, 0, 1)) + np.where(gold == 1, trust, -trust)
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         moved, post = np.abs(new - post).max(), new
         right = float(np.clip(np.where(gold == 1, post, 1 - post).mean(), 0.5, MOST_TRUST))
@@ -197,16 +205,20 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 30)
     shrink[-1] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(shrink), x.T @ (p - y) + shrink * w)
+        bend = np.diag(shrink)
+        for i in range(0, len(x), 2000):  # in blocks: no second copy of the design
+            part = x[i : i + 2000]
+            bend += (part * (p * (1 - p))[i : i + 2000, None]).T @ part
+        step = np.linalg.solve(bend, x.T @ (p - y) + shrink * w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> Classifier:
     rows = stash(training_rows(docs, labels, max_rows), "toxfit")
-    names, n = lexicon(rows)
+    names, _ = lexicon(rows, max_features)
     index = {f: i for i, f in enumerate(names)}
     if not names:
         return Classifier({}, np.array([0.0] * (EXTRA - 1) + [-30.0]))
@@ -226,6 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Classif
     found, gold = [Found(list(r["features"]), list(r["patterns"]), r["beside"], r["hits"], r["words"]) for r in got], np.array([r["toxic"] for r in got])
     x = _design(found, len(index))
     post, _, _ = label_model(np.column_stack(voters(x, index, np.array([f.words for f in found]))), gold)
+    del found
     return Classifier(index, logistic(x, post))
 
 
@@ -234,7 +247,7 @@ def voters(x: np.ndarray, index: dict[str, int], words: np.ndarray) -> list[np.n
     stems: dict[str, list[int]] = {}
     for f, i in index.items():
         stems.setdefault(f[2 : 2 + STEMS[0]], []).append(i)
-    out = [np.where(x[:, g].any(1), 1, -1) for g in stems.values()]
+    out = [np.where(x[:, g].any(1), 1, -1).astype(np.int8) for g in stems.values()]
     out += [np.where(x[:, len(index) + p] > 0, 1, -1) for p in range(len(PATTERNS))]
     beside, some, several, share = x[:, -5] > 0, x[:, -4] > 0, x[:, -3] > 0, x[:, -2]
     out += [np.where(beside, 1, -1), np.where(several, 1, -1), np.where(share > 0.1, 1, -1)]
