@@ -113,8 +113,8 @@ def blocks(pam: Pam, budget: Budget, bmax: int) -> list[tuple[int, int]]:
 
 
 def seeded(pam: Pam, budget: Budget, bmax: int) -> Column:
-    """Whether some block of the guide lies in the body without an edit."""
-    tests = [_same(s).bitwiseAND(F.lit(k)) == k if k else F.lit(True) for s, k in blocks(pam, budget, bmax)]
+    """Whether some block of the guide lies in the body without an edit, from the places that match under each shift."""
+    tests = [F.col(f"s_{_name(s)}").bitwiseAND(F.lit(k)) == k if k else F.lit(True) for s, k in blocks(pam, budget, bmax)]
     return reduce(lambda a, b: a | b, tests)
 
 
@@ -127,8 +127,12 @@ def near_match(sites: DataFrame, guides: list[Guide], pam: Pam, budget: Budget,
     spark, out = sites.sparkSession, None
     scripts = script_tables(spark, pam, budget, bmax)
     for g in guide_tables(spark, guides, pam, budget, bmax):
-        pairs = sites.join(F.broadcast(g), seeded(pam, budget, bmax) if prefilter else F.lit(True))
-        pairs = pairs.select(*sites.columns, "guide_id", "guide", "query", *[_same(s).alias(f"s_{_name(s)}") for s in shifts(budget)])
+        # the fence keeps the filter above the matching places: pushed down, it would hold a copy of them for every
+        # block, and the stage would grow beyond what the JVM compiles
+        fence = F.spark_partition_id() >= 0
+        pairs = sites.join(F.broadcast(g), F.lit(True)).select(*sites.columns, "guide_id", "guide", "query", *[F.when(fence, _same(s)).alias(f"s_{_name(s)}") for s in shifts(budget)])
+        if prefilter:
+            pairs = pairs.where(seeded(pam, budget, bmax))
         equal = F.bit_count(reduce(lambda a, b: a.bitwiseOR(b), [F.col(f"s_{_name(s)}").bitwiseAND(F.col(f"k_{_name(s)}")) for s in shifts(budget)]))
         for t in scripts:
             found = pairs.join(F.broadcast(t), F.col("nm") - equal <= budget.mismatches).withColumn("mismatches", (F.col("nm") - equal).cast("int"))
