@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,6 +126,41 @@ def bucket_count(size: float, bucket_bytes: int, least: int) -> int:
     return power_of_two(n if n <= MANY else MANY * (n / MANY) ** 0.5, least)
 
 
+#: Edges that one task solves at once, some 24 MB of them; more are contracted in rounds until so few are left.
+SMALL_GRAPH = 1 << 20
+
+
+def least_of_component(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of a graph in memory, and the least node that each is connected with."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        x, y = root[x], root[y]
+        far = x != y
+        if not far.any():
+            return nodes, nodes[root]
+        x, y = x[far], y[far]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := root[root], root):
+            root = up
+
+
+def _solved(edges: DataFrame) -> DataFrame:
+    def run(batches):
+        cols = [[], [], []]
+        for b in batches:
+            for c, x in zip(cols, b.columns):
+                c.append(x.to_numpy())
+        if not cols[0]:
+            return
+        part, u, v = map(np.concatenate, cols)
+        for p in np.unique(part):
+            nodes, least = least_of_component(u[part == p], v[part == p])
+            yield pa.record_batch({"part": np.full(len(nodes), p, np.int32), "node": nodes, "component": least})
+
+    return edges.select("part", "u", "v").coalesce(1).mapInArrow(run, "part int, node bigint, component bigint")
+
+
 def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph, as ``(part, node, component)``.
 
@@ -132,12 +169,17 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
     hangs neighbours on the least node of a neighbourhood, so the number of
     rounds grows with the logarithm of the graph's width.  Minima are combined
     before the shuffle; a hub's minimum travels to the hub's edges, which are
-    never brought together.  Nodes without an edge do not appear; loops are
+    never brought together.  A graph of up to ``SMALL_GRAPH`` edges is solved by
+    one task.  Nodes without an edge do not appear; loops are
     ignored; an empty graph gives no rows.
     """
     cur = stash(_toward_min(edges.where(F.col("a") != F.col("b"))), name)
     before = (cur.count(), None)
     for _ in range(max_rounds):
+        if before[0] <= SMALL_GRAPH:
+            out = stash(_solved(cur), name)
+            discard(cur)
+            return out
         large = stash(_large_star(cur, 2 * before[0]), name)
         new = stash(_small_star(large, before[0]), name)
         discard(cur, large)

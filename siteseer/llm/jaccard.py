@@ -11,16 +11,19 @@ hash order of all shingles.  Two steps find every link:
    ``n - ceil(pct * n / 100) + 1`` of each, under *any* order, and ``e`` of them
    if the prefixes are ``e - 1`` longer.  A document stays only if, order after
    order, enough of its longer prefix occurs in prefixes of other components.
-   Those left are chained under all orders at once to the least document of
-   each prefix shingle's list; the filters are intersected, as candidates must
-   lie in one component under every order; and they are verified too.
-
-Lists are never expanded into pairs.  Sets travel once to their candidate
-group, where overlaps are counted exactly (on 52 bits of each shingle's hash)
-and pairs that are connected already are skipped.  Groups beyond ``BLOCK``
-members are dealt out in blocks, and members outside the largest component
-meet every block in a second step, so no group is held whole and no link is
-lost.  Shingles common in the corpus come last in every order of step 2; they
+   Those left meet the documents of a size near their own on the list of each
+   prefix shingle, under all orders at once.  Two of a list are chained if the
+   parity bitmaps of their sets differ in no more places than the sets of a
+   link can, which loses no link; the filters are intersected, as candidates
+   must lie in one component under every order; and they are verified too.
+
+Pairs of a list are looked at in memory, and only a forest of those that are
+chained leaves the task.  Sets travel once to their candidate group, where
+overlaps are counted exactly (on 52 bits of each shingle's hash) and pairs that
+are connected already are skipped.  Groups beyond ``BLOCK`` members or
+``BLOCK_SHINGLES`` shingles are dealt out in blocks, and members outside the
+largest component meet every block in a second step, so no group is held whole
+and no link is lost.  Shingles common in the corpus come last in every order of step 2; they
 are counted over all documents.
 
 Equal sets count as one member until the end.
@@ -40,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._dist import bucket_count, connected_components, discard, lookup_join, power_of_two, small_batches, stash, text_bytes
+from ._dist import bucket_count, connected_components, discard, least_of_component, lookup_join, small_batches, stash, text_bytes
 from ._text import LOWER, U, chunks, deltas, doc_of, flat, mix, pack, release, unpack, windows, words
 
 #: First filter: bands of orders, and orders in all under which first shingles must agree.
@@ -49,12 +52,14 @@ ORDERS = 3
 #: By how much of a set the prefixes of the first filters are longer than they must be.
 EXTRA = 0.15
 BUCKET_BYTES = 24 << 20
-#: Prefix shingles whose lists become links in one bucket.
+#: Prefix shingles whose lists become links in one bucket, and pairs of a list that are tested at once.
 EDGE_BUCKET = 1 << 20
+PAIRS = 1 << 20
 #: A shingle in more than this share of documents (and 32) counts as common.
 COMMON = 1 / 2000
-#: Members of a candidate group that one task compares.
+#: Members of a candidate group, and shingles of all of them, in one block; a task compares up to two blocks.
 BLOCK = 2000
+BLOCK_SHINGLES = 1 << 20
 FLUSH = 1 << 20
 
 
@@ -271,17 +276,182 @@ def _lists(table) -> tuple[np.ndarray, ...]:
     return h, d, first, size, mixed
 
 
-def prefix_edges(blobs: DataFrame) -> DataFrame:
-    """``(part, a, b)``: documents that share a prefix shingle, each with the least of its list; lists of one component add nothing."""
+def size_classes(most: int, pct: int) -> np.ndarray:
+    """Least sizes of the classes up to ``most``: sizes of a link lie in one class or in two that are neighbours."""
+    least = [1]
+    while least[-1] <= most:
+        least.append(least[-1] * 100 // pct + 1)
+    return np.array(least, np.int64)
+
+
+def class_buckets(least: np.ndarray, shingles: dict[int, int], pct: int) -> np.ndarray:
+    """Buckets of every group of classes; ``shingles`` has them by size.  A group is a class with the one below."""
+    own = np.zeros(len(least) + 1)
+    for n, c in shingles.items():
+        g = int(np.searchsorted(least, n, "right")) - 1
+        own[g : g + 2] += c * (100 - pct) / 100
+    return np.maximum(1, np.ceil(own / EDGE_BUCKET)).astype(np.int64)
+
+
+def bitmap_words(n: np.ndarray) -> np.ndarray:
+    """Words of 64 bits in the bitmap of a set of size ``n``: the least power of two with a bit per shingle."""
+    return 1 << np.ceil(np.log2(np.maximum(1, (n + 63) // 64))).astype(np.int64)
+
+
+def bitmaps(sh: np.ndarray, so: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bitmaps of all sets, with offsets: a bit says whether an odd number of shingles falls on it.
+
+    Two bitmaps differ in no more bits than the sets have shingles apart.
+    """
+    w = bitmap_words(np.diff(so))
+    wo = np.concatenate([[0], np.cumsum(w)])
+    d = doc_of(so)
+    at = wo[d] * 64 + (mix(sh, 91).view(np.int64) & (w[d] * 64 - 1))
+    odd = (np.bincount(at, minlength=int(wo[-1]) * 64) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(U), wo
+
+
+def _rows_of(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+
+
+def prefix_rows(docs: DataFrame, k: int, pct: int, common: np.ndarray, least: np.ndarray, buckets: np.ndarray, orders: list[int]) -> DataFrame:
+    """``(part, bucket, blob)``: packed sets and shingles of their prefixes under each order, by group of size classes."""
+    base = np.concatenate([[0], np.cumsum(buckets)])
+    shared = docs.sparkSession.sparkContext.broadcast((common, least, buckets, base))
+
+    def flush(sets_, tokens, o):
+        _, least, buckets, base = shared.value
+        did, comp, n, words_, sizes = (np.concatenate(x) for x in zip(*sets_))
+        starts = np.cumsum(sizes) - sizes
+        first = np.cumsum([0, *[len(x[0]) for x in sets_]])
+        row = np.concatenate([r + f for (r, _), f in zip(tokens, first)])
+        h = np.concatenate([x for _, x in tokens])
+        cls = np.searchsorted(least, n, "right") - 1
+        out = []
+        for up in (0, 1):
+            g = cls[row] + up
+            to = base[g] + ((h >> U(32)) * buckets[g].astype(U) >> U(32)).astype(np.int64)
+            order = np.lexsort((h, to))
+            to = to[order]
+            at = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+            for a, z in zip(at.tolist(), [*at[1:].tolist(), len(to)]):
+                r, inv = np.unique(row[order[a:z]], return_inverse=True)
+                blob = pack(deltas(did[r]), deltas(comp[r]), n[r], deltas(h[order[a:z]]), inv.astype(np.uint32), words_[_rows_of(starts[r], sizes[r])])
+                out.append((int(to[a]), up == 0, blob))
+        return pa.record_batch({"part": np.full(len(out), o, np.int32), "bucket": pa.array([x[0] for x in out], pa.int64()), "home": pa.array([x[1] for x in out], pa.bool_()), "blob": pa.array([x[2] for x in out], pa.binary())})
+
+    def run(batches):
+        heavy = shared.value[0]
+        held, tokens, size = [], {o: [] for o in orders}, 0
+        for did, comp, sh, so in each_set(batches, k, with_component=True):
+            n = np.diff(so)
+            p = np.where(n > 0, prefix_size(n, pct), 0)
+            if not p.any():
+                continue
+            words_, wo = bitmaps(sh, so)
+            late = np.zeros(len(sh), U)
+            if len(heavy):
+                i = np.minimum(np.searchsorted(heavy, sh), len(heavy) - 1)
+                late = (heavy[i] == sh).astype(U) << U(63)
+            held.append((did, comp, n, words_, np.diff(wo)))
+            row = np.repeat(np.arange(len(n)), p)
+            for o in orders:
+                key = (mix(sh, 31 + o) >> U(1)) | late
+                picked = [a + (np.argpartition(key[a:z], m - 1)[:m] if m < z - a else np.arange(z - a)) for a, z, m in zip(so[:-1].tolist(), so[1:].tolist(), p.tolist()) if m]
+                tokens[o].append((row, sh[np.concatenate(picked)]))
+            size += int(p.sum())
+            if size >= FLUSH:
+                yield from (flush(held, x, o) for o, x in tokens.items())
+                held, tokens, size = [], {o: [] for o in orders}, 0
+        if held:
+            yield from (flush(held, x, o) for o, x in tokens.items())
+        release()
+
+    return docs.mapInArrow(run, "part int, bucket bigint, home boolean, blob binary")
+
+
+def _pairs(row: np.ndarray, h: np.ndarray, n: np.ndarray, pct: int):
+    """Pairs of rows on one list whose sizes a link allows, the smaller first, in batches; ``row`` and ``h`` are sorted by list and size."""
+    end = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
+    end = end[np.searchsorted(end, np.arange(len(h)), "right")]
+    live, off = np.arange(len(h)), 1
+    while True:
+        live = live[live + off < end[live]]
+        # sizes only grow along a list
+        live = live[n[row[live + off]] * pct <= 100 * n[row[live]]]
+        if not len(live):
+            return
+        yield row[live], row[live + off]
+        off += 1
+
+
+def prefix_edges(rows: DataFrame, pct: int) -> DataFrame:
+    """``(part, a, b)``: a forest of the documents that share a prefix shingle and whose bitmaps allow a link; components known already add nothing."""
 
     def run(key, table):
-        _, d, first, size, mixed = _lists(table)
-        root = np.repeat(np.minimum.reduceat(d, first), size)
-        far = (d != root) & np.repeat(mixed, size)
-        pairs = np.unique(np.stack([root[far], d[far]], 1), axis=0) if far.any() else np.zeros((0, 2), np.int64)
-        return pa.table({"part": pa.array([key[0].as_py()] * len(pairs), pa.int32()), "a": pairs[:, 0], "b": pairs[:, 1]})
+        ids, comps, ns, homes, hs, invs, maps = [], [], [], [], [], [], []
+        at = 0
+        for home, blob in zip(table.column("home").to_pylist(), table.column("blob")):
+            d, c, n, h, inv, words_ = unpack(blob.as_py())
+            ids.append(np.cumsum(d))
+            comps.append(np.cumsum(c))
+            ns.append(n)
+            homes.append(np.full(len(n), home))
+            hs.append(np.cumsum(h))
+            invs.append(inv.astype(np.int64) + at)
+            maps.append(words_)
+            at += len(n)
+        d, c, n, home, h, row = (np.concatenate(x) for x in (ids, comps, ns, homes, hs, invs))
+        order = np.lexsort((n[row], h))
+        h, row = h[order], row[order]
+        bits = folded(np.concatenate(maps), n)
+        apart = n.astype(np.int64)
+        a_, b_ = [], []
+
+        def test(codes):
+            codes = np.unique(np.concatenate(codes))
+            step = max(1, (4 << 20) // bits.shape[1])
+            for i in range(0, len(codes), step):
+                x, y = codes[i : i + step] // at, codes[i : i + step] % at
+                both = apart[x] + apart[y]
+                most = both - 2 * -(-pct * both // (100 + pct))
+                ok = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= most
+                a_.append(d[x[ok]])
+                b_.append(d[y[ok]])
+
+        codes, size = [], 0
+        for x, y in _pairs(row, h, n, pct):
+            # of two of the class below, the group of that class knows
+            ok = (c[x] != c[y]) & (home[x] | home[y])
+            codes.append(x[ok] * at + y[ok])
+            size += int(ok.sum())
+            if size >= PAIRS:
+                test(codes)
+                codes, size = [], 0
+            if len(a_) > 64:
+                nodes, least = least_of_component(np.concatenate(a_), np.concatenate(b_))
+                a_[:], b_[:] = [least], [nodes]
+        if size:
+            test(codes)
+        nodes, least = least_of_component(np.concatenate([np.zeros(0, np.int64), *a_]), np.concatenate([np.zeros(0, np.int64), *b_]))
+        far = nodes != least
+        release()
+        return pa.table({"part": np.full(int(far.sum()), key[0].as_py(), np.int32), "a": least[far], "b": nodes[far]})
+
+    return rows.groupBy("part", "bucket").applyInArrow(run, "part int, a bigint, b bigint").distinct()
+
 
-    return blobs.groupBy("part", "bucket").applyInArrow(run, "part int, a bigint, b bigint").distinct()
+def folded(words_: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Bitmaps of sets of sizes ``n`` as a matrix, folded to the shortest of them; they still differ in no more bits than the sets."""
+    w = bitmap_words(n)
+    starts, width = np.cumsum(w) - w, int(w.min())
+    out = np.zeros((len(n), width), U)
+    for size in np.unique(w).tolist():
+        which = np.flatnonzero(w == size)
+        for i in range(0, size, width):
+            out[which] ^= words_[starts[which][:, None] + np.arange(i, i + width)]
+    return out
 
 
 def link_group(ids: np.ndarray, members: list[np.ndarray], pct: int) -> tuple[np.ndarray, np.ndarray]:
@@ -377,7 +547,8 @@ def join_components(docs: DataFrame, k: int = 4, pct: int = 85, doc_id: str = "d
     classes = surveyed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "sig")).alias("s"))
     classes = stash(classes.select("n", "d1", "d2", F.col("s.doc_id").alias("rep"), F.col("s.sig").alias("sig")), "classes")
     near = connected_components(band_edges(classes), "bands")
-    links = stash(_verified(live, near.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), k, pct, block), "links")
+    sizes = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.sum("n").alias("n"))
+    links = stash(_verified(live, near.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), sizes, k, pct, block), "links")
     first = stash(connected_components(links, "first"), "first")
     # step 2 looks between components: copies take no part, other members carry theirs
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
@@ -392,13 +563,16 @@ def join_components(docs: DataFrame, k: int = 4, pct: int = 85, doc_id: str = "d
     for o in range(2):
         ids = stash(supported(prefixes(rest, k, pct, common, buckets, [o], EXTRA), every.select("doc_id", "n"), pct, EXTRA, buckets), "supported")
         rest = lookup_join(some, ids, ["doc_id"], "left_semi", row_bytes=16)
-    tokens = every.join(ids, "doc_id", "left_semi").agg(F.sum("n").alias("n")).first()["n"]
-    if tokens:
-        # what is left is little: few buckets, so that a link is found in few of them
-        buckets = power_of_two(tokens * (100 - pct) / 100 / EDGE_BUCKET, 2)
-        chained = connected_components(prefix_edges(prefixes(rest, k, pct, common, buckets, list(range(orders)))), "prefix")
+    # shingles by rounded size, an eighth of an octave apart
+    size = F.floor(F.pow(F.lit(2.0), F.floor(F.log2("n") * 8) / 8))
+    left = {r["s"]: (r["c"], r["most"]) for r in every.where("n > 0").join(ids, "doc_id", "left_semi").groupBy(size.alias("s")).agg(F.sum("n").alias("c"), F.max("n").alias("most")).collect()}
+    if left:
+        least = size_classes(max(x for _, x in left.values()), pct)
+        buckets = class_buckets(least, {s: c for s, (c, _) in left.items()}, pct)
+        rows = prefix_rows(rest, k, pct, common, least, buckets, list(range(orders)))
+        chained = connected_components(prefix_edges(rows, pct), "prefix")
         keyed = chained.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("part", "component"))).alias("key")).where(F.size("key") == orders)
-        links = links.unionByName(stash(_verified(live, keyed.select(F.col("node").alias("doc_id"), F.xxhash64("key").alias("cluster")), k, pct, block), "links"))
+        links = links.unionByName(stash(_verified(live, keyed.select(F.col("node").alias("doc_id"), F.xxhash64("key").alias("cluster")), sizes, k, pct, block), "links"))
         first = connected_components(links, "links")
     comp = first.select(F.col("node").alias("rep"), "component")
     named = classes.join(comp, "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
@@ -406,33 +580,37 @@ def join_components(docs: DataFrame, k: int = 4, pct: int = 85, doc_id: str = "d
     return lone.unionByName(docs.where(F.col("doc_id").isNull()).select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id")))
 
 
-def _verified(live: DataFrame, members: DataFrame, k: int, pct: int, block: int) -> DataFrame:
-    """``(part, a, b)``: the exact links inside candidate groups, ``members`` being ``(doc_id, cluster)``."""
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("head")).where("m > 1")
-    blocks = F.ceil(F.col("m") / block)
-    cand = stash(members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks)), "candidates")
+def _verified(live: DataFrame, members: DataFrame, sizes: DataFrame, k: int, pct: int, block: int) -> DataFrame:
+    """``(part, a, b)``: the exact links inside candidate groups, ``members`` being ``(doc_id, cluster)`` and ``sizes`` having their shingles."""
+    members = stash(members.join(sizes, "doc_id", "left"), "members")
+    groups = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("head"), F.coalesce(F.sum("n"), F.lit(0)).alias("size")).where("m > 1")
+    groups = groups.withColumn("blocks", F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("bigint")).drop("size")
+    blocks = F.col("blocks")
+    cand = stash(members.drop("n").join(groups, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks)), "candidates")
     # the least member of a group of several blocks visits all of them: nearly always it ties their cores
     every_block = F.transform(F.sequence(F.lit(0).cast("bigint"), blocks - 1), lambda i: F.xxhash64("cluster", i))
     mine = F.array(F.xxhash64("cluster", F.col("block").cast("bigint")))
     units = cand.select("doc_id", F.when(F.col("doc_id") == F.col("head"), every_block).otherwise(mine).alias("units"))
     links = stash(verify(live, stash(units, "units"), k, pct), "links")
-    large = cand.where(F.col("m") > block)
+    large = cand.where("blocks > 1")
     if large.limit(1).count():
-        links = links.unionByName(_across_blocks(live, large, links, k, pct, block))
+        links = links.unionByName(_across_blocks(live, large, links, k, pct))
     return links
 
 
-def _across_blocks(docs: DataFrame, large: DataFrame, links: DataFrame, k: int, pct: int, block: int) -> DataFrame:
+def _across_blocks(docs: DataFrame, large: DataFrame, links: DataFrame, k: int, pct: int) -> DataFrame:
     """Links between blocks of large groups: members outside the largest component meet every block."""
     comp = connected_components(links, "blocks").select(F.col("node").alias("doc_id"), "component")
     cur = stash(large.join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "blocks")
     main = cur.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("cluster").agg(F.max_by("component", "c").alias("main"))
     cur = cur.join(main, "cluster")
-    rest = cur.where("component <> main").withColumn("slice", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.ceil(F.col("m") / block)))
-    n = F.ceil(F.col("m") / block)
+    rest = cur.where("component <> main")
+    # as many slices of the rest as its share of the group makes of the blocks
+    share = rest.groupBy("cluster").agg(F.count(F.lit(1)).alias("out"))
+    rest = rest.join(share, "cluster").withColumn("slice", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.ceil(F.col("blocks") * F.col("out") / F.col("m"))))
     slices = rest.select("cluster", "slice").distinct()
     # a slice of the rest meets each block of its group; a member of the rest goes along with every block
-    out = rest.select("doc_id", F.explode(F.sequence(F.lit(0), n.cast("bigint") - 1)).alias("blk"), "cluster", "slice").select("doc_id", F.xxhash64("cluster", "slice", "blk").alias("u"))
+    out = rest.select("doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("blk"), "cluster", "slice").select("doc_id", F.xxhash64("cluster", "slice", "blk").alias("u"))
     ins = cur.join(slices, "cluster").select("doc_id", F.xxhash64("cluster", "slice", F.col("block")).alias("u"))
     units = stash(out.unionByName(ins).groupBy("doc_id").agg(F.collect_set("u").alias("units")), "units")
     return verify(docs, units, k, pct)

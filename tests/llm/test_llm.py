@@ -83,6 +83,19 @@ def test_components(spark):
     assert _dist.connected_components(spark.createDataFrame([], "part int, a long, b long")).count() == 0
 
 
+def test_small_graphs_are_solved_by_one_task(spark, monkeypatch):
+    """In rounds or at once: the same components."""
+    rnd = random.Random(2)
+    edges = spark.createDataFrame([(p, rnd.randrange(90), rnd.randrange(90)) for p in (0, 4) for _ in range(60)] + [(1, i, i + 1) for i in range(40, 0, -1)], "part int, a long, b long")
+    solved = []
+    monkeypatch.setattr(_dist, "_solved", lambda e, f=_dist._solved: solved.append(1) or f(e))
+    got = []
+    for small in (0, 10**6):
+        monkeypatch.setattr(_dist, "SMALL_GRAPH", small)
+        got.append(sorted(tuple(r) for r in _dist.connected_components(edges).collect()))
+    assert got[0] == got[1] and len(solved) == 1
+
+
 # 1 toxicity
 
 
@@ -440,6 +453,59 @@ def test_join_equals_brute_force(spark, monkeypatch, seed, k, pct, agree, block)
     assert jaccard.join_components(docs.where("false"), k, pct).count() == 0
 
 
+def test_bitmaps_lose_no_link():
+    rnd = np.random.default_rng(3)
+    for pct in (50, 80, 85, 100):
+        least = jaccard.size_classes(400, pct)
+        at = lambda n: int(np.searchsorted(least, n, "right")) - 1
+        assert all(at(b) - at(a) <= 1 for a in range(1, 400) for b in range(a, min(400, 100 * a // pct) + 1))
+    sets = [rnd.integers(0, 1 << 63, int(n)).astype(np.uint64) for n in rnd.integers(0, 700, 30)]
+    sets += [np.concatenate([x[len(x) // 9 :], rnd.integers(0, 1 << 63, 9).astype(np.uint64)]) for x in sets]
+    so = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    words, wo = jaccard.bitmaps(np.concatenate(sets), so)
+    assert len(words) == wo[-1]
+    m = jaccard.folded(words, np.diff(so))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert np.bitwise_count(m[i] ^ m[j]).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_pairs_of_lists():
+    """All pairs of a list whose sizes fit, each once."""
+    h = np.array([3, 3, 3, 3, 7, 9, 9], np.uint64)
+    n = np.array([10, 11, 12, 40, 5, 6, 7])
+    got = [(int(a), int(b)) for x, y in jaccard._pairs(np.arange(7), h, n, 80) for a, b in zip(x, y)]
+    assert sorted(got) == [(0, 1), (0, 2), (1, 2), (5, 6)]
+
+
+def test_passages_do_not_chain_documents(spark, monkeypatch):
+    """Documents that share passages, each with other ones, are no candidates: groups do not grow with the table."""
+    monkeypatch.setattr(jaccard, "AGREE", 99)
+    seen = []
+    monkeypatch.setattr(jaccard, "_verified", lambda live, members, *a, f=jaccard._verified: seen.append([r["count"] for r in members.groupBy("cluster").count().collect()]) or f(live, members, *a))
+    rnd = random.Random(8)
+    passages = [[f"p{i}x{j}" for j in range(40)] for i in range(60)]
+    texts = [" ".join(passages[i] + passages[(i + 1) % 60] + [f"d{i}x{rnd.random()}" for _ in range(8)]) for i in range(60)]
+    near = texts[7].split(" ")
+    texts.append(" ".join(near[:-1] + ["other"]))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_components(frame(spark, texts), 4, 85).collect()}
+    assert got == brute_join(texts, 4, 85) and got[60][1] == 7
+    assert max(x for sizes in seen for x in sizes) < 5
+
+
+@pytest.mark.parametrize("edges,weight", [(0, 1 << 20), (1 << 20, 40)])
+def test_join_in_rounds_and_by_weight(spark, monkeypatch, edges, weight):
+    """Graphs in rounds; blocks by the shingles of their members; pairs tested a few at a time."""
+    monkeypatch.setattr(_dist, "SMALL_GRAPH", edges)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", weight)
+    monkeypatch.setattr(jaccard, "EDGE_BUCKET", 64)
+    monkeypatch.setattr(jaccard, "PAIRS", 3)
+    monkeypatch.setattr(jaccard, "AGREE", 99 if edges else 9)
+    texts = awkward(11)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_components(frame(spark, texts), 4, 80, share=0.2).collect()}
+    assert got == brute_join(texts, 4, 80)
+
+
 def test_keep_one(spark):
     texts = awkward(6)
     want = {i for i, (_, c) in brute_join(texts, 5, 80).items() if c == i}
