@@ -111,5 +111,9 @@ def require_sites(sites: DataFrame, t: DataFrame, pam: Pam, tile: int = TILE) ->
 
 
 def write_index(sites: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
-    """Sites as Parquet, a folder per contig, sorted by body inside a file."""
-    sites.repartition("contig", F.pmod(F.xxhash64("window0"), F.lit(8))).sortWithinPartitions("contig", "body").write.option("maxRecordsPerFile", rows_per_file).partitionBy("contig").parquet(path)
+    """Sites as Parquet, sorted by contig and body inside a file.
+
+    Files follow the partitions, not the contigs, of which a draft assembly has
+    very many; a large contig is dealt over eight of them.
+    """
+    sites.repartition("contig", F.pmod(F.xxhash64("window0"), F.lit(8))).sortWithinPartitions("contig", "body").write.option("maxRecordsPerFile", rows_per_file).parquet(path)
