@@ -41,6 +41,15 @@ def fasta_names(spark: SparkSession, path: str) -> DataFrame:
     return first.select("file", F.when(bad.isNotNull(), F.raise_error(F.concat(bad, F.col("file")))).otherwise(contig_name(name)).alias("contig"), F.trim(F.substring("head", 2, 1 << 30)).alias("header"))
 
 
+def _line_tiles(seq: DataFrame, key: list[str], overlap: int, tile: int) -> DataFrame:
+    """``(*key, tile_start, seq)`` from lines of sequences: ``n`` bases ``v`` at ``pos``."""
+    k = F.sequence(F.greatest(F.floor((F.col("pos") - overlap) / tile), F.lit(0)), F.floor((F.col("pos") + F.col("n") - 1) / tile))
+    p = seq.select(*key, "pos", "n", "v", F.explode(k).alias("k")).withColumn("tile_start", F.col("k") * tile)
+    lo, hi = F.greatest("pos", "tile_start"), F.least(F.col("pos") + F.col("n"), F.col("tile_start") + (tile + overlap))
+    piece = F.struct(lo.alias("at"), F.substring("v", (lo - F.col("pos") + 1).cast("int"), (hi - lo).cast("int")).alias("s"))
+    return p.groupBy(*key, "tile_start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["s"]), "").alias("seq"))
+
+
 def read_fasta_tiles(spark: SparkSession, path: str, overlap: int, tile: int = TILE) -> DataFrame:
     """``(contig, tile_start, seq)`` straight from the lines of FASTA files.
 
@@ -53,15 +62,49 @@ def read_fasta_tiles(spark: SparkSession, path: str, overlap: int, tile: int = T
     sums = seq.groupBy("file", "block").agg(F.sum("n").alias("m"))
     base = sums.withColumn("base", F.sum("m").over(Window.partitionBy("file").orderBy("block")) - F.col("m")).drop("m")
     seq = seq.withColumn("off", F.sum("n").over(within) - F.col("n")).join(base, ["file", "block"]).withColumn("pos", F.col("base") + F.col("off"))
-    k = F.sequence(F.greatest(F.floor((F.col("pos") - overlap) / tile), F.lit(0)), F.floor((F.col("pos") + F.col("n") - 1) / tile))
-    p = seq.select("file", "pos", "n", "v", F.explode(k).alias("k")).withColumn("tile_start", F.col("k") * tile)
-    lo, hi = F.greatest("pos", "tile_start"), F.least(F.col("pos") + F.col("n"), F.col("tile_start") + (tile + overlap))
-    piece = F.struct(lo.alias("at"), F.substring("v", (lo - F.col("pos") + 1).cast("int"), (hi - lo).cast("int")).alias("s"))
-    t = p.groupBy("file", "tile_start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["s"]), "").alias("seq"))
+    t = _line_tiles(seq, ["file"], overlap, tile)
     # by way of the names, so that a file without a sequence shows
     return fasta_names(spark, path).join(t, "file", "left").select("contig", "tile_start", "seq")
 
 
+def _fasta_records(spark: SparkSession, path: str) -> DataFrame:
+    """The sequence lines of FASTA files of many records: ``(rec, header, contig, pos, n, v)``, ``pos`` being the line's place in its record.
+
+    A record is known by its header line.  What a split lacks, the header
+    before it and the bases since, comes from one row a split.  Lines without
+    a header, and a header without a name, raise an error.
+    """
+    lines = _fasta_lines(spark, path).withColumn("top", F.startswith("v", F.lit(">"))).withColumn("n", F.when(F.col("top"), 0).otherwise(F.char_length("v")).cast("bigint"))
+    rec = F.when(F.col("top"), F.struct("block", "id", F.col("raw").alias("head")))
+    lines = lines.withColumn("own", F.last(rec, True).over(Window.partitionBy("file", "block").orderBy("id")))
+    within = Window.partitionBy("file", "block", "own").orderBy("id")
+    lines = lines.withColumn("off", F.sum("n").over(within) - F.col("n"))
+    # of each split its last record, and the bases it holds of it
+    ends = lines.groupBy("file", "block").agg(F.max_by(F.struct("own", (F.col("off") + F.col("n")).alias("bases")), "id").alias("end"))
+    before = Window.partitionBy("file").orderBy("block")
+    ends = ends.select("file", "block", "end.own", "end.bases").withColumn("rec", F.last("own", True).over(before))
+    ends = ends.withColumn("sum", F.sum("bases").over(Window.partitionBy("file", "rec").orderBy("block")))
+    ends = ends.select("file", "block", F.lag("rec").over(before).alias("carried"), F.coalesce(F.lag("sum").over(before), F.lit(0)).alias("base"))
+    lines = lines.where(~F.col("top")).join(ends, ["file", "block"])
+    lines = lines.withColumn("rec", F.coalesce("own", "carried")).withColumn("pos", F.when(F.col("own").isNull(), F.col("base")).otherwise(0) + F.col("off"))
+    header = F.trim(F.substring("rec.head", 2, 1 << 30))
+    bad = F.when(F.col("rec").isNull(), F.lit("no header in ")).when(header == "", F.lit("an empty header in "))
+    header = F.when(bad.isNotNull(), F.raise_error(F.concat(bad, F.col("file")))).otherwise(header)
+    lines = lines.select(F.struct("file", "rec.block", "rec.id").alias("rec"), header.alias("header"), "pos", "n", "v")
+    return lines.withColumn("contig", contig_name(F.element_at(F.split("header", "\\s+"), 1)))
+
+
+def read_fasta_records(spark: SparkSession, path: str) -> DataFrame:
+    """``(contig, header, sequence)`` of FASTA files of any number of records, upper case; for sequences that fit a row."""
+    r = _fasta_records(spark, path).groupBy("rec").agg(F.first("contig").alias("contig"), F.first("header").alias("header"), F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("ls"))
+    return r.select("contig", "header", F.array_join(F.transform("ls", lambda x: x["v"]), "").alias("sequence"))
+
+
+def read_fasta_record_tiles(spark: SparkSession, path: str, overlap: int, tile: int = TILE) -> DataFrame:
+    """``(contig, tile_start, seq)`` of FASTA files of any number of records; see ``read_fasta_tiles``."""
+    return _line_tiles(_fasta_records(spark, path), ["rec", "contig"], overlap, tile).select("contig", "tile_start", "seq")
+
+
 def pieces(text: Column, size: int, overlap: int) -> Column:
     """A text as an array of pieces of ``size`` characters and ``overlap`` more, in one pass over it."""
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{size + overlap}}})).{{1,{size}}}"), 1)

@@ -1,7 +1,8 @@
 """Writers: hit tables, profiles, genomes.
 
 Hit tables are written by Spark in parallel, as sorted parts.  Genomes are
-written a file per contig, line by line, so no contig is held whole.  Profile
+written a file per contig, or a file per partition where contigs are many, line
+by line, so no contig is held whole.  Profile
 tables hold one row per guide, so they are collected (guides are bounded) and
 written as single text files with the fixed layouts.  All paths are Spark's:
 a file system that the cluster knows, not the driver's disk.
@@ -74,6 +75,15 @@ def write_fasta(contigs: DataFrame, path: str) -> None:
     contigs.select(F.concat(F.lit(">"), F.col("contig"), F.lit("\n"), F.col("sequence")).alias("value")).write.mode("error").text(path)
 
 
+def write_fasta_lines(lines: DataFrame, path: str) -> None:
+    """FASTA files of many records, from ``(contig, place, line)`` with a line at place 0 for each: as many files as partitions.
+
+    A contig is sorted and streamed by one task, and its lines follow its header.
+    """
+    value = F.when(F.col("place") == 0, F.concat(F.lit(">"), "contig", F.lit("\n"), "line")).otherwise(F.col("line"))
+    lines.repartition("contig").sortWithinPartitions("contig", "place").select(value.alias("value")).write.mode("error").text(path)
+
+
 def write_contig_files(lines: DataFrame, headers: DataFrame, path: str, names: dict[str, str]) -> dict[str, str]:
     """A FASTA file per contig, from ``(contig, place, line)`` and ``(contig, header)``; returns the files by contig.
 

@@ -3,8 +3,9 @@ import gzip
 import pytest
 
 from siteseer.functions.iupac import code_of, nibble, reverse_complement_text
-from siteseer.sources import tracks
-from siteseer.sources.genome import assemble, read_fasta, read_fasta_tiles, tiles
+from siteseer.operators.sites import extract_sites, write_index
+from siteseer.sources import sinks, tracks
+from siteseer.sources.genome import assemble, read_fasta, read_fasta_record_tiles, read_fasta_records, read_fasta_tiles, tiles
 from siteseer.sources.inputs import Pam, check_guides, read_guides, read_pam
 
 
@@ -113,6 +114,48 @@ def test_tiles_from_lines(spark, tmp_path, tile, overlap, width):
     assert got == sorted(map(tuple, tiles(read_fasta(spark, str(tmp_path / "*.fa")), overlap, tile).collect()))
 
 
+@pytest.mark.parametrize("width,split", [(4, 100), (60, 33), (700, 50), (13, 10**6)])
+def test_many_records_of_a_file(spark, tmp_path, width, split):
+    """Records that begin and end anywhere in a split, and some over many splits."""
+    import random
+
+    rnd = random.Random(width)
+    records = {f"c{i}": "".join(rnd.choices("ACGTN", k=rnd.choice([1, 9, 60, 600]))) for i in range(25)}
+    (tmp_path / "in").mkdir()
+    for f in range(3):
+        mine = [(c, s) for i, (c, s) in enumerate(records.items()) if i % 3 == f]
+        (tmp_path / "in" / f"{f}.fa").write_text("".join(f">{c} of {f}\n\n" + "\n".join(s[i : i + width].lower() for i in range(0, len(s), width)) + "\n" for c, s in mine))
+    want = spark.createDataFrame([(f"chr{c}", s) for c, s in records.items()], "contig string, sequence string")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        got = read_fasta_records(spark, str(tmp_path / "in")).collect()
+        cut = sorted(map(tuple, read_fasta_record_tiles(spark, str(tmp_path / "in"), 7, 10).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r["contig"]: r["sequence"] for r in got} == {f"chr{c}": s for c, s in records.items()} and len(got) == 25
+    assert {r["header"] for r in got} == {f"c{i} of {i % 3}" for i in range(25)}
+    assert cut == sorted(map(tuple, tiles(want, 7, 10).collect()))
+    for i, text in enumerate(["ACGT\n>x\nA\n", ">\nACGT\n"]):
+        (tmp_path / f"bad{i}.fa").write_text(text)
+        with pytest.raises(Exception):
+            read_fasta_records(spark, str(tmp_path / f"bad{i}.fa")).collect()
+        with pytest.raises(Exception):
+            read_fasta_record_tiles(spark, str(tmp_path / f"bad{i}.fa"), 7, 10).collect()
+
+
+def test_many_contigs_are_few_files(spark, tmp_path):
+    """Files follow the partitions, for genomes and for indexes."""
+    df = spark.createDataFrame([(f"c{i}", "ACGGTTGACA" * 4) for i in range(300)], "contig string, sequence string")
+    sinks.write_fasta_lines(sinks.tile_lines(tiles(df, 0, 16), 16), str(tmp_path / "g"))
+    files = [p for p in (tmp_path / "g").rglob("part-*")]
+    assert len(files) <= 8 and {r["contig"]: r["sequence"] for r in read_fasta_records(spark, str(tmp_path / "g")).collect()} == {f"chrc{i}": "ACGGTTGACA" * 4 for i in range(300)}
+    sites = extract_sites(df, Pam("NGG", 5))
+    write_index(sites, str(tmp_path / "i"))
+    assert len([p for p in (tmp_path / "i").rglob("part-*.parquet")]) <= 8
+    back = spark.read.parquet(str(tmp_path / "i")).select(*sites.columns)
+    assert sites.count() and sorted(map(tuple, back.collect())) == sorted(map(tuple, sites.collect()))
+
+
 def test_tiles_round_trip(spark):
     df = spark.createDataFrame([("a", "ACGT" * 33), ("b", "A"), ("c", "")], "contig string, sequence string")
     t = tiles(df, 7, 10)
