@@ -21,7 +21,7 @@ def guide_keys(rows: DataFrame) -> DataFrame:
 
 
 def logo_counts(rows: DataFrame) -> DataFrame:
-    """``(guide, position, symbol, n)``: deviations by guide position (from 1), PAM columns included."""
+    """``(guide, position, symbol, n)``: deviations by guide position (from 1), PAM columns included; the rows of a guide at position 0."""
     r = rows.select(guide_key(F.col("grna")).alias("guide"), F.col("grna").alias("g"), F.col("spacer").alias("t"))
 
     def column(i):
@@ -31,21 +31,24 @@ def logo_counts(rows: DataFrame) -> DataFrame:
         return F.struct(pos.alias("position"), sym.alias("symbol"))
 
     steps = F.transform(F.sequence(F.lit(1), F.least(F.char_length("g"), F.char_length("t"))), column)
-    ev = r.select("guide", F.explode(F.filter(steps, lambda x: x["symbol"].isNotNull() & (x["position"] <= F.char_length("guide")))).alias("x"))
+    steps = F.filter(steps, lambda x: x["symbol"].isNotNull() & (x["position"] <= F.char_length("guide")))
+    row = F.array(F.struct(F.lit(0).alias("position"), F.lit("").alias("symbol")))
+    ev = r.select("guide", F.explode(F.concat(row, F.coalesce(steps, F.array().cast("array<struct<position:int,symbol:string>>")))).alias("x"))
     return ev.groupBy("guide", "x.position", "x.symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
 def logo_matrix(rows: DataFrame, per_guide: bool = False) -> DataFrame:
     """``([guide,] position, A, C, G, T, D, R)``: shares of the rows, or of a guide's rows, that deviate so; zeros included.
 
-    Positions go up to the longest guide.
+    Positions go up to the longest guide.  The rows are read once: what they
+    count for is as small as the matrix.
     """
     by = ["guide"] if per_guide else []
-    keyed = rows.withColumn("guide", guide_key(F.col("grna")))
-    size = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.max(F.char_length("guide")).alias("len"))
-    grid = size.select(*by, "rows", F.explode(F.sequence(F.lit(1), "len")).alias("position"))
-    n = logo_counts(rows).groupBy(*by, "position").pivot("symbol", SYMBOLS).agg(F.sum("n"))
-    return grid.join(n, [*by, "position"], "left").select(*by, "position", *[(F.coalesce(F.col(s), F.lit(0)) / F.col("rows")).alias(s) for s in SYMBOLS])
+    counts = logo_counts(rows).groupBy(*by, "position", "symbol").agg(F.sum("n").alias("n"), F.max(F.char_length("guide")).alias("len"))
+    m = counts.groupBy(*by).agg(F.sum(F.when(F.col("position") == 0, F.col("n"))).alias("rows"), F.max("len").alias("len"), F.collect_list(F.struct("position", "symbol", "n")).alias("cells"))
+    m = m.where("len > 0").select(*by, "rows", "cells", F.explode(F.sequence(F.lit(1), "len")).alias("position"))
+    cell = lambda s: F.get(F.filter("cells", lambda x: (x["position"] == F.col("position")) & (x["symbol"] == s)), F.lit(0))["n"]
+    return m.select(*by, "position", *[(F.coalesce(cell(s), F.lit(0)) / F.col("rows")).alias(s) for s in SYMBOLS])
 
 
 def template(rows: DataFrame) -> str:

@@ -169,6 +169,15 @@ def test_indels_at_edges(spark):
         variants.indel_windows(al.withColumn("pos", F.lit(200).cast("long")), tiles(c, 3, 8), flank=10, tile=8).collect()
 
 
+@pytest.mark.parametrize("per_guide", [True, False])
+def test_logo_reads_rows_once(spark, tmp_path, per_guide):
+    spark.createDataFrame([("ACGTANGG", "AaGTATGG", 1), ("TTG", "TTG", 0)], "grna string, spacer string, mismatches int").write.parquet(str(tmp_path / "r"))
+    rows = spark.read.parquet(str(tmp_path / "r"))
+    m = report.logo_matrix(rows, per_guide)
+    assert m._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("FileScan") == 1
+    assert m.count() == (11 if per_guide else 8) and report.logo_matrix(rows.where("false"), per_guide).count() == 0
+
+
 def test_logo_per_guide(spark):
     g, h = "ACGTANGG", "TTGTANGG"
     rows = spark.createDataFrame([(g, "AaGTATGG", 1), (g, g, 0), (h, "TTGgATGG", 1)], "grna string, spacer string, mismatches int")
