@@ -43,7 +43,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._dist import bucket_count, connected_components, discard, least_of_component, lookup_join, small_batches, stash, text_bytes
+from ._dist import bucket_count, connected_components, discard, least_of_component, small_batches, stash, text_bytes
+from ._lookup import Found, Turn, by_turns, turns, without
 from ._text import LOWER, U, chunks, deltas, doc_of, flat, mix, pack, release, unpack, windows, words
 
 #: First filter: bands of orders, and orders in all under which first shingles must agree.
@@ -101,6 +102,25 @@ def each_set(batches, k: int, with_component: bool = False):
             yield *[x[i:j] for x in lead], *sets(buf, offs[i : j + 1], k)
 
 
+def met(batches, blobs: list, only: bool):
+    """``(doc_id, text, component)`` of the documents that take part.
+
+    ``blobs`` have components by id, of copies their own id: copies drop out.
+    With ``only`` nothing but the ids they have takes part, each with the
+    component it has there; else ids that they do not have are their own.
+    """
+    found = Found(blobs)
+    for b in batches:
+        did = b.column(0).to_numpy()
+        row, value = found(did)
+        comp, keep = did.copy(), np.full(len(did), not only)
+        comp[row] = value
+        keep[row] = True if only else value != did[row]
+        if keep.any():
+            kept = b.select([0, 1]).filter(pa.array(keep))
+            yield pa.record_batch({"doc_id": kept.column(0), "text": kept.column(1), "comp": comp[keep]})
+
+
 def prefix_size(n: np.ndarray, pct: int) -> np.ndarray:
     return n - (pct * n + 99) // 100 + 1
 
@@ -175,8 +195,8 @@ def common_shingles(surveyed: DataFrame, n_docs: int, share: float) -> np.ndarra
     return np.sort(np.array([r["d1"] for r in got.select("d1").collect()], np.int64).view(U))
 
 
-def prefixes(docs: DataFrame, k: int, pct: int, common: np.ndarray, buckets: int, orders: list[int], extra: float = 0.0) -> DataFrame:
-    """``(part, bucket, blob)``: packed (shingle, document) of the prefixes under each order.
+def prefixes(docs: DataFrame, view: list[Turn], only: bool, k: int, pct: int, common: np.ndarray, buckets: int, orders: list[int], extra: float = 0.0) -> DataFrame:
+    """``(part, bucket, blob)``: packed (shingle, document) of the prefixes under each order, of the documents that ``met`` lets through.
 
     With ``extra`` a prefix is longer by that share of the set.
     """
@@ -196,10 +216,10 @@ def prefixes(docs: DataFrame, k: int, pct: int, common: np.ndarray, buckets: int
             blobs.append(pack(deltas(ids), deltas(c[at[i] : at[i + 1]][one]), deltas(h[at[i] : at[i + 1]]), inv.astype(np.uint32)))
         return pa.record_batch({"part": pa.array([o] * len(rows), pa.int32()), "bucket": pa.array(rows, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
-    def run(batches):
+    def run(batches, blobs):
         heavy = shared.value
         held, size = {o: [] for o in orders}, 0
-        for did, comp, sh, so in each_set(batches, k, with_component=True):
+        for did, comp, sh, so in each_set(met(batches, blobs.value, only), k, with_component=True):
             n = np.diff(so)
             p = np.where(n > 0, np.minimum(n, prefix_size(n, pct) - 1 + shared_least(n, extra)), 0)
             late = np.zeros(len(sh), U)
@@ -222,7 +242,7 @@ def prefixes(docs: DataFrame, k: int, pct: int, common: np.ndarray, buckets: int
         yield from (flush(x, o) for o, x in held.items() if x)
         release()
 
-    return docs.mapInArrow(run, "part int, bucket int, blob binary")
+    return by_turns(docs, view, lambda own, blobs: own.mapInArrow(lambda b: run(b, blobs), "part int, bucket int, blob binary"))
 
 
 def shared_least(n: np.ndarray, extra: float) -> np.ndarray:
@@ -315,8 +335,8 @@ def _rows_of(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
 
 
-def prefix_rows(docs: DataFrame, k: int, pct: int, common: np.ndarray, least: np.ndarray, buckets: np.ndarray, orders: list[int]) -> DataFrame:
-    """``(part, bucket, blob)``: packed sets and shingles of their prefixes under each order, by group of size classes."""
+def prefix_rows(docs: DataFrame, view: list[Turn], k: int, pct: int, common: np.ndarray, least: np.ndarray, buckets: np.ndarray, orders: list[int]) -> DataFrame:
+    """``(part, bucket, blob)``: packed sets and shingles of their prefixes under each order, by group of size classes; of the ids in ``view``."""
     base = np.concatenate([[0], np.cumsum(buckets)])
     shared = docs.sparkSession.sparkContext.broadcast((common, least, buckets, base))
 
@@ -341,10 +361,10 @@ def prefix_rows(docs: DataFrame, k: int, pct: int, common: np.ndarray, least: np
                 out.append((int(to[a]), up == 0, blob))
         return pa.record_batch({"part": np.full(len(out), o, np.int32), "bucket": pa.array([x[0] for x in out], pa.int64()), "home": pa.array([x[1] for x in out], pa.bool_()), "blob": pa.array([x[2] for x in out], pa.binary())})
 
-    def run(batches):
+    def run(batches, blobs):
         heavy = shared.value[0]
         held, tokens, size = [], {o: [] for o in orders}, 0
-        for did, comp, sh, so in each_set(batches, k, with_component=True):
+        for did, comp, sh, so in each_set(met(batches, blobs.value, True), k, with_component=True):
             n = np.diff(so)
             p = np.where(n > 0, prefix_size(n, pct), 0)
             if not p.any():
@@ -368,7 +388,7 @@ def prefix_rows(docs: DataFrame, k: int, pct: int, common: np.ndarray, least: np
             yield from (flush(held, x, o) for o, x in tokens.items())
         release()
 
-    return docs.mapInArrow(run, "part int, bucket bigint, home boolean, blob binary")
+    return by_turns(docs, view, lambda own, blobs: own.mapInArrow(lambda b: run(b, blobs), "part int, bucket bigint, home boolean, blob binary"))
 
 
 def _pairs(row: np.ndarray, h: np.ndarray, n: np.ndarray, pct: int):
@@ -503,21 +523,22 @@ def link_group(ids: np.ndarray, members: list[np.ndarray], pct: int) -> tuple[np
 def verify(docs: DataFrame, units: DataFrame, k: int, pct: int) -> DataFrame:
     """``(part, a, b)`` links inside units; ``units`` has ``(doc_id, units)``, a list of unit ids."""
 
-    def ship(batches):
+    def ship(batches, blobs):
+        found = Found(blobs.value)
         for b in batches:
+            row, unit = found(b.column(0).to_numpy())
+            if not len(row):
+                continue
+            some, at = np.unique(row, return_inverse=True)
+            order = np.argsort(at, kind="stable")
+            b, at, unit = b.take(pa.array(some)), at[order], unit[order]
             buf, offs = flat(b.column(1))
             did = b.column(0).to_numpy()
-            at = b.column(2).to_pylist()
             for i, j in chunks(offs):
                 sh, so = sets(buf, offs[i : j + 1], k)
-                rows, ids, blobs = [], [], []
-                for r in range(i, j):
-                    blob = pack(deltas(sh[so[r - i] : so[r - i + 1]] >> U(12)))
-                    for u in at[r]:
-                        rows.append(u)
-                        ids.append(did[r])
-                        blobs.append(blob)
-                yield pa.record_batch({"unit": pa.array(rows, pa.int64()), "doc_id": pa.array(ids, pa.int64()), "s": pa.array(blobs, pa.binary())})
+                sent = [pack(deltas(sh[x:z] >> U(12))) for x, z in zip(so[:-1].tolist(), so[1:].tolist())]
+                own = slice(*np.searchsorted(at, [i, j]))
+                yield pa.record_batch({"unit": unit[own], "doc_id": did[at[own]], "s": pa.array([sent[r - i] for r in at[own].tolist()], pa.binary())})
 
     def run(table):
         ids = table.column("doc_id").to_numpy()
@@ -531,8 +552,8 @@ def verify(docs: DataFrame, units: DataFrame, k: int, pct: int) -> DataFrame:
         far = a != b
         return pa.table({"part": pa.array([0] * int(far.sum()), pa.int32()), "a": a[far], "b": b[far]})
 
-    joined = lookup_join(docs, units, ["doc_id"], row_bytes=F.lit(48) + 8 * F.size("units")).select("doc_id", "text", "units")
-    sent = joined.mapInArrow(ship, "unit bigint, doc_id bigint, s binary")
+    asked = turns(stash(units.select("doc_id", F.explode("units").alias("value")), "units"), "asked")
+    sent = by_turns(docs, asked, lambda own, blobs: own.mapInArrow(lambda b: ship(b, blobs), "unit bigint, doc_id bigint, s binary"))
     return sent.groupBy("unit").applyInArrow(run, "part int, a bigint, b bigint")
 
 
@@ -552,24 +573,22 @@ def join_components(docs: DataFrame, k: int = 4, pct: int = 85, doc_id: str = "d
     first = stash(connected_components(links, "first"), "first")
     # step 2 looks between components: copies take no part, other members carry theirs
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    copies = every.where("n > 0").select("doc_id").distinct().join(reps, "doc_id", "left_anti").select("doc_id", F.lit(None).cast("bigint").alias("comp"))
-    moved = first.where("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
-    marks = stash(copies.unionByName(moved).withColumn("marked", F.lit(True)), "marks")
-    some = lookup_join(live, marks, ["doc_id"], "left", row_bytes=40).where(F.col("marked").isNull() | F.col("comp").isNotNull())
-    some = some.select("doc_id", "text", F.coalesce("comp", "doc_id").alias("comp"))
+    copies = every.where("n > 0").select("doc_id").distinct().join(reps, "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("value"))
+    moved = first.where("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("value"))
+    marks = stash(copies.unionByName(moved), "marks")
     common = common_shingles(surveyed, n_docs, share)
     buckets = bucket_count(size, BUCKET_BYTES, 8)
-    rest = some
+    view = turns(marks, "view")
     for o in range(2):
-        ids = stash(supported(prefixes(rest, k, pct, common, buckets, [o], EXTRA), every.select("doc_id", "n"), pct, EXTRA, buckets), "supported")
-        rest = lookup_join(some, ids, ["doc_id"], "left_semi", row_bytes=16)
+        ids = stash(supported(prefixes(live, view, o > 0, k, pct, common, buckets, [o], EXTRA), every.select("doc_id", "n"), pct, EXTRA, buckets), "supported")
+        view = turns(stash(ids.join(moved, "doc_id", "left").select("doc_id", F.coalesce("value", "doc_id").alias("value")), "rest"), "view")
     # shingles by rounded size, an eighth of an octave apart
     size = F.floor(F.pow(F.lit(2.0), F.floor(F.log2("n") * 8) / 8))
     left = {r["s"]: (r["c"], r["most"]) for r in every.where("n > 0").join(ids, "doc_id", "left_semi").groupBy(size.alias("s")).agg(F.sum("n").alias("c"), F.max("n").alias("most")).collect()}
     if left:
         least = size_classes(max(x for _, x in left.values()), pct)
         buckets = class_buckets(least, {s: c for s, (c, _) in left.items()}, pct)
-        rows = prefix_rows(rest, k, pct, common, least, buckets, list(range(orders)))
+        rows = prefix_rows(live, view, k, pct, common, least, buckets, list(range(orders)))
         chained = connected_components(prefix_edges(rows, pct), "prefix")
         keyed = chained.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("part", "component"))).alias("key")).where(F.size("key") == orders)
         links = links.unionByName(stash(_verified(live, keyed.select(F.col("node").alias("doc_id"), F.xxhash64("key").alias("cluster")), sizes, k, pct, block), "links"))
@@ -591,7 +610,7 @@ def _verified(live: DataFrame, members: DataFrame, sizes: DataFrame, k: int, pct
     every_block = F.transform(F.sequence(F.lit(0).cast("bigint"), blocks - 1), lambda i: F.xxhash64("cluster", i))
     mine = F.array(F.xxhash64("cluster", F.col("block").cast("bigint")))
     units = cand.select("doc_id", F.when(F.col("doc_id") == F.col("head"), every_block).otherwise(mine).alias("units"))
-    links = stash(verify(live, stash(units, "units"), k, pct), "links")
+    links = stash(verify(live, units, k, pct), "links")
     large = cand.where("blocks > 1")
     if large.limit(1).count():
         links = links.unionByName(_across_blocks(live, large, links, k, pct))
@@ -612,7 +631,7 @@ def _across_blocks(docs: DataFrame, large: DataFrame, links: DataFrame, k: int,
     # a slice of the rest meets each block of its group; a member of the rest goes along with every block
     out = rest.select("doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("blk"), "cluster", "slice").select("doc_id", F.xxhash64("cluster", "slice", "blk").alias("u"))
     ins = cur.join(slices, "cluster").select("doc_id", F.xxhash64("cluster", "slice", F.col("block")).alias("u"))
-    units = stash(out.unionByName(ins).groupBy("doc_id").agg(F.collect_set("u").alias("units")), "units")
+    units = out.unionByName(ins).groupBy("doc_id").agg(F.collect_set("u").alias("units"))
     return verify(docs, units, k, pct)
 
 
@@ -634,4 +653,4 @@ def keep_one(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
     first = stash(named.groupBy("component_id").agg(F.min("o").alias("first")), "first")
     gone = stash(named.join(first, "component_id").where(F.col("o.row") != F.col("first.row")).select(row), "gone")
     discard(comp, named, first)
-    return lookup_join(numbered, gone, [row], how="left_anti", row_bytes=16).drop(row)
+    return without(numbered, gone, row)

@@ -8,10 +8,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siteseer.llm import _dist, _text, chat, fingerprint, jaccard, packing, pieces, quality, repeats, shards, toxicity, urlfilter
+from siteseer.llm import _dist, _lookup, _text, chat, fingerprint, jaccard, packing, pieces, quality, repeats, shards, toxicity, urlfilter
 from siteseer.llm.registry import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -523,6 +524,46 @@ def test_keep_one_judges_rows(spark):
     assert jaccard.keep_one(equal).count() == 1 and jaccard.keep_one(equal.where("false")).count() == 0
 
 
+def test_lookups_do_not_move_texts(spark, monkeypatch):
+    """However large a lookup is, texts are not shuffled for it; turns and bitmaps give the same result."""
+    texts = awkward(6) + [f"{t} and one more word" for t in awkward(6)[:40] if t and len(t) < 5000] + awkward(6)
+    want = brute_join(texts, 5, 80)
+    monkeypatch.setattr(_lookup, "TURN_ROWS", 7)
+    monkeypatch.setattr(_lookup, "BLOB_ROWS", 3)
+    for m in (_dist, jaccard, _lookup):
+        if hasattr(m, "lookup_join"):
+            monkeypatch.setattr(m, "lookup_join", lambda *a, f=_dist.lookup_join, **b: f(*a, **b | {"limit": 1 << 15}))
+    mapped = []
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, *a, f=type(spark.range(0)).mapInArrow, **b: mapped.append(self) or f(self, *a, **b))
+    docs = frame(spark, texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_components(docs, 5, 80, share=0.2).collect()}
+    assert got == want
+    plans = [x._jdf.queryExecution().sparkPlan().toString() for x in mapped if "text" in x.columns]
+    assert plans and not any("Join" in x for x in plans)
+    assert {r["doc_id"] for r in jaccard.keep_one(docs, 5, 80).collect()} == {i for i, (_, c) in want.items() if c == i}
+
+
+def test_entries_of_turns(spark, monkeypatch):
+    """Every entry is found once, in the turn of its id, whatever the ids."""
+    monkeypatch.setattr(_lookup, "BLOB_ROWS", 3)
+    ids = [-(1 << 63), -5, 0, 0, 0, 0, 0, 0, 0, 3, 4, 4, 9, 1 << 40, (1 << 63) - 1]
+    rows = _dist.stash(spark.createDataFrame([(d, 10 * i - 7) for i, d in enumerate(ids)], "doc_id long, value long").repartition(4), "t")
+    asked = spark.createDataFrame([(d,) for d in sorted({*ids, 1, 8})], "doc_id long").repartition(3)
+
+    def run(batches, blobs):
+        found = _lookup.Found(blobs.value)
+        for b in batches:
+            row, value = found(b.column(0).to_numpy())
+            yield pa.record_batch({"d": b.column(0).to_numpy()[row], "v": value})
+
+    for most in (2, 4, 100):
+        monkeypatch.setattr(_lookup, "TURN_ROWS", most)
+        all_turns = _lookup.turns(rows, "t")
+        assert len(all_turns) > 1 or most == 100
+        got = _lookup.by_turns(asked, all_turns, lambda own, blobs: own.mapInArrow(lambda b: run(b, blobs), "d long, v long")).collect()
+        assert sorted((r["d"], r["v"]) for r in got) == sorted((d, 10 * i - 7) for i, d in enumerate(ids))
+
+
 def test_hubs_do_not_meet(spark, monkeypatch):
     """A hub's edges get its minimum by broadcast: same components with any threshold."""
     edges = spark.createDataFrame([(0, 1000, i) for i in range(200)] + [(0, i, i + 500) for i in range(50)] + [(1, 7, 9)], "part int, a long, b long")
