@@ -5,8 +5,8 @@ reach, and that is the only one whose neighbouring pieces are all compatible
 (two pieces are compatible when merging their characters gives back those
 two).  So the Viterbi lattice scores a step by compatibility with the piece
 before it.  Words of equal length advance together: at each place all
-substrings that end there are hashed from prefix arrays, the hashes probe the
-sorted piece keys, and the vectorised maximum over the candidates is stored as
+substrings that end there are hashed from prefix arrays, the hashes that begin
+like a key probe the sorted piece keys, and the vectorised maximum over the candidates is stored as
 a backpointer.  Compatibility of a pair is found once by merging and kept.
 
 Words are cached, so each distinct word of a worker is segmented once; a full
@@ -36,8 +36,13 @@ MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Words, and parts of words, that a worker keeps.
 CACHE = 400_000
-#: Pairs of pieces whose compatibility is kept.
+#: Pairs of pieces whose compatibility is kept, and bits of the number of those at hand: a pair has one place there.
 PAIRS = 2_000_000
+AT_HAND = 20
+#: Pairs that are gathered before they are sorted in among the others.
+FRESH = 20_000
+#: Leading bits of the substring keys that tell most substrings that are no piece.
+SIEVE = 22
 #: Strings of up to so many characters are merged by scanning.
 SHORT = 40
 #: Words beyond so many characters are merged without a lattice.
@@ -67,7 +72,11 @@ class Model:
         keys = np.concatenate([self._keys(self.text[i]) for i in ids.tolist()])
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], ids[order]
-        self.pairs, self.fine = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.sieve = self.sieved = None
+        self.size = np.array([len(t) for t in self.text])
+        self.pairs, self.known = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.fresh: dict[int, bool] = {}
+        self.place, self.fine = np.full(1 << AT_HAND, -1, np.int64), np.zeros(1 << AT_HAND, bool)
         # two characters that no piece holds side by side: no merge crosses there
         self.touching = {s[i : i + 2] for s in self.rank for i in range(len(s) - 1)}
         self.cache: dict[str, bytes] = {}
@@ -141,33 +150,60 @@ class Model:
 
     def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         code = left << 22 | right
-        new = np.unique(code)
-        if len(self.pairs):
-            at = np.minimum(np.searchsorted(self.pairs, new), len(self.pairs) - 1)
-            new = new[self.pairs[at] != new]
-        if len(new):
-            if len(self.pairs) > PAIRS:
-                self.pairs, self.fine, new = np.zeros(0, np.int64), np.zeros(0, bool), np.unique(code)
-            fine = []
-            for c in new.tolist():
-                a, b = self._name(c >> 22), self._name(c & (1 << 22) - 1)
-                fine.append(self.merge(a + b) == ([a, b] if a else [b]))
-            at = np.searchsorted(self.pairs, new)
-            self.pairs, self.fine = np.insert(self.pairs, at, new), np.insert(self.fine, at, fine)
-        return self.fine[np.searchsorted(self.pairs, code)]
+        slot = (mix(code.view(U)) >> U(64 - AT_HAND)).view(np.int64)
+        out = self.fine[slot]
+        far = np.flatnonzero(self.place[slot] != code)
+        if len(far):
+            new, inv = np.unique(code[far], return_inverse=True)
+            if len(self.pairs) + len(self.fresh) > PAIRS:
+                self.pairs, self.known = np.zeros(0, np.int64), np.zeros(0, bool)
+                self.fresh.clear()
+            fine, old = np.zeros(len(new), bool), np.zeros(len(new), bool)
+            if len(self.pairs):
+                at = np.minimum(np.searchsorted(self.pairs, new), len(self.pairs) - 1)
+                old = self.pairs[at] == new
+                fine = old & self.known[at]
+            for i, c in zip(np.flatnonzero(~old).tolist(), new[~old].tolist()):
+                ok = self.fresh.get(c)
+                if ok is None:
+                    a, b = self._name(c >> 22), self._name(c & (1 << 22) - 1)
+                    ok = self.fresh[c] = self.merge(a + b) == ([a, b] if a else [b])
+                fine[i] = ok
+            if len(self.fresh) > FRESH:
+                more = np.array(sorted(self.fresh))
+                at = np.searchsorted(self.pairs, more)
+                self.pairs, self.known = np.insert(self.pairs, at, more), np.insert(self.known, at, [self.fresh[c] for c in more.tolist()])
+                self.fresh.clear()
+            out[far] = fine[inv]
+            # of several pairs of one place the last stays, in both tables
+            slot = (mix(new.view(U)) >> U(64 - AT_HAND)).view(np.int64)
+            self.place[slot], self.fine[slot] = new, fine
+        return out
+
+    def _leads(self) -> np.ndarray:
+        """Which leading bits the keys have."""
+        if self.sieved is not self.keys:
+            self.sieve = np.zeros(1 << SIEVE, bool)
+            self.sieve[self.keys >> U(64 - SIEVE)] = True
+            self.sieved = self.keys
+        return self.sieve
 
     def viterbi(self, ws: list[str]) -> np.ndarray:
         """Lattice ids of words of one length, as a matrix of piece ids by end place (-1: none ends there)."""
         n, size = len(ws), len(ws[0])
         codes = np.frombuffer("".join(ws).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).astype(np.int64)
         acc, down = self._prefix(codes), powers(size + 1)[1]
+        leads = self._leads()
         last, back = np.full((n, size + 1), START, np.int64), np.zeros((n, size + 1), np.int64)
         for j in range(1, size + 1):
             m = min(j, self.longest)
             lens = np.arange(1, m + 1)
             h = mix((acc[:, j : j + 1] - acc[:, j - lens]) * down[j - lens] + lens.astype(U) * U(0xA24BAED4963EE407))
+            cand = np.full((n, m), -1, np.int64)
+            like = np.nonzero(leads[h >> U(64 - SIEVE)])
+            h = h[like]
             at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            cand = np.where(self.keys[at] == h, self.ids[at], -1)
+            cand[like] = np.where(self.keys[at] == h, self.ids[at], -1)
             cand[:, 0] = np.where(cand[:, 0] < 0, OTHER + codes[:, j - 1], cand[:, 0])
             r, c = np.nonzero(cand >= 0)
             ok = self.compatible(last[r, j - lens[c]], cand[r, c])
@@ -190,30 +226,43 @@ class Model:
             self.cache.clear()  # emptied before, so that all of ``ws`` is put back
         if len(self.parts) > CACHE:
             self.parts.clear()
-        cut = {w: self._parts(w) for w in ws}
+        whole = [w for w in ws if w.lstrip(MARK).isalpha()]
+        cut = {w: self._parts(w) for w in set(ws).difference(whole)}
         by: dict[int, list[str]] = {}
-        for x in {x for xs in cut.values() for x in xs}:
-            if x not in self.parts:
-                if x.startswith(MARK + MARK) or len(x) > LONG:
-                    self.parts[x] = self._merged(x)
-                else:
-                    by.setdefault(len(x), []).append(x)
+        for x in set(whole).union(*cut.values()).difference(self.parts):
+            if x.startswith(MARK + MARK) or len(x) > LONG:
+                self.parts[x] = self._merged(x)
+            else:
+                by.setdefault(len(x), []).append(x)
         for size, group in by.items():
             step = max(1, (1 << 18) // size)
             for i in range(0, len(group), step):
-                part = group[i : i + step]
-                rows = self.viterbi(part)
-                ids, ends = rows[rows >= 0], np.cumsum((rows >= 0).sum(1)).tolist()
-                plain, at, names = (ids < OTHER).all(), 0, list(map(self._name, ids.tolist()))
-                raw = ids.astype("<u4").tobytes() if plain else b""
-                for x, end in zip(part, ends):
-                    if "".join(names[at:end]) != x:  # a substring hash met another piece's key
-                        self.parts[x] = self._merged(x)
-                    else:
-                        self.parts[x] = raw[4 * at : 4 * end] if plain else self._bytes(ids[at:end].tolist())
-                    at = end
+                self._solve(group[i : i + step], size)
+        parts = self.parts
+        self.cache.update((w, parts[w]) for w in whole)
         for w, xs in cut.items():
-            self.cache[w] = b"".join([self.parts[x] for x in xs])
+            self.cache[w] = b"".join([parts[x] for x in xs])
+
+    def _solve(self, part: list[str], size: int) -> None:
+        """Segment parts of one length."""
+        rows = self.viterbi(part)
+        ids, ends = rows[rows >= 0], np.cumsum((rows >= 0).sum(1))
+        plain, names = (ids < OTHER).all(), list(map(self._name, ids.tolist()))
+        raw = ids.astype("<u4").tobytes() if plain else b""
+        # pieces that spell all parts, each within its own length, spell each part
+        spelt = plain and np.array_equal(np.cumsum(self.size[ids])[ends - 1], size * np.arange(1, len(part) + 1)) and "".join(names) == "".join(part)
+        at = 0
+        if spelt:
+            for x, end in zip(part, (4 * ends).tolist()):
+                self.parts[x] = raw[at:end]
+                at = end
+            return
+        for x, end in zip(part, ends.tolist()):
+            if "".join(names[at:end]) != x:  # a substring hash met another piece's key
+                self.parts[x] = self._merged(x)
+            else:
+                self.parts[x] = raw[4 * at : 4 * end] if plain else self._bytes(ids[at:end].tolist())
+            at = end
 
     def _merged(self, x: str) -> bytes:
         return self._bytes([self.rank[p][1] if p in self.rank else OTHER + ord(p) for p in self.merge(x)])

@@ -186,6 +186,27 @@ def test_pieces_survive_colliding_keys():
 # 3 chats
 
 
+def test_pieces_with_small_tables(monkeypatch):
+    """Pairs that share a place and substrings that the sieve lets through change no id; most substrings are never searched."""
+    from sentencepiece import SentencePieceProcessor
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    sp = SentencePieceProcessor(model_file=path)
+    texts = [t or "" for s in (2, 3) for t in awkward(s)]
+    rnd = random.Random(4)
+    texts += ["".join(rnd.choices("abehinorst", k=12)) + f" id{i * 7919 % 100003}" for i in range(300)]
+    searched, found = [], np.searchsorted
+    monkeypatch.setattr(pieces.np, "searchsorted", lambda a, v, *x, **y: searched.append(np.size(v)) or found(a, v, *x, **y))
+    for bits, sieve, pairs, fresh in ((20, 22, 2_000_000, 20_000), (1, 1, 2_000_000, 7), (3, 12, 50, 9)):
+        for name, value in (("AT_HAND", bits), ("SIEVE", sieve), ("PAIRS", pairs), ("FRESH", fresh)):
+            monkeypatch.setattr(pieces, name, value)
+        searched.clear()
+        m = pieces.Model(path)
+        assert [np.frombuffer(x, "<u4").tolist() for x in m.encode_batch(texts)] == [sp.encode(t) for t in texts]
+        asked = sum(len(x) * (len(x) + 1) // 2 for x in m.parts if len(x) <= m.longest)
+        assert (sum(searched) < asked / 2) == (sieve == 22)
+
+
 def test_chats_round_trip(spark):
     rnd = random.Random(3)
     bits = ["<|turn|>", "<|end|>", "<|", "<||", "|>", "<", "|", "</s>[INST]", "x", "\n", "é", "<|joint|>"]
