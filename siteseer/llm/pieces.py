@@ -301,24 +301,29 @@ class Model:
         return out
 
     def decode(self, ids: np.ndarray) -> str:
-        if not self.odd[ids].any():
-            s = "".join(map(self.text.__getitem__, ids.tolist())).replace(MARK, " ")
-            return s[1:] if s.startswith(" ") else s
+        odd, parts = self.odd[ids], []
+        cuts = [0, *(np.flatnonzero(odd[1:] != odd[:-1]) + 1).tolist(), len(ids)]
+        ids, bytewise = ids.tolist(), bool(len(odd) and odd[0])
+        # plain pieces and others in turn
+        for a, z in zip(cuts, cuts[1:]):
+            parts += self._spelt(ids[a:z]) if bytewise else map(self.text.__getitem__, ids[a:z])
+            bytewise = not bytewise
+        s = "".join(parts).replace(MARK, " ")
+        return s[1:] if s.startswith(" ") else s
+
+    def _spelt(self, ids: list[int]) -> list[str]:
+        """Texts of bytes and control pieces; a control piece has none and ends a run of bytes."""
         parts, run = [], bytearray()
-        for i in ids.tolist():
+        for i in ids:
             b = self.byte_of.get(i)
             if b is not None:
                 run.append(b)
                 continue
-            if run:
-                parts.append(run.decode("utf-8", "replace"))
-                run = bytearray()
+            parts.append(run.decode("utf-8", "replace"))
+            run = bytearray()
             if i not in self.silent:
                 parts.append(self.text[i])
-        if run:
-            parts.append(run.decode("utf-8", "replace"))
-        s = "".join(parts).replace(MARK, " ")
-        return s[1:] if s.startswith(" ") else s
+        return [*parts, run.decode("utf-8", "replace")]
 
 
 _models: dict[str, Model] = {}
@@ -330,18 +335,29 @@ def model(path: str) -> Model:
     return _models[path]
 
 
-def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, text, ids)``; ids are little-endian unsigned 32-bit integers."""
+def _read_back(m: Model, blobs) -> pa.Array:
+    return pa.array([m.decode(np.frombuffer(x or b"", "<u4")) for x in blobs], pa.string())
+
+
+def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """``(doc_id, text, ids)``; ids are little-endian unsigned 32-bit integers.
+
+    With ``decoded`` the column that ``decode`` adds comes along, from the same
+    worker: two operators in a row take two workers a task, each with the
+    model, its tables and its caches.
+    """
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
         m = model(path)
         for b in batches:
             ids = m.encode_batch([t or "" for t in b.column(1).to_pylist()])
-            yield pa.record_batch({"doc_id": b.column(0), "text": b.column(1), "ids": pa.array(ids, pa.binary())})
-        release()
+            more = {"decoded": _read_back(m, ids)} if decoded else {}
+            yield pa.record_batch({"doc_id": b.column(0), "text": b.column(1), "ids": pa.array(ids, pa.binary())} | more)
+            del ids, more
+            release()
 
-    return small_batches(docs).select(doc_id, text).mapInArrow(run, f"doc_id {kind}, text string, ids binary")
+    return small_batches(docs).select(doc_id, text).mapInArrow(run, f"doc_id {kind}, text string, ids binary" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -352,8 +368,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     def run(batches):
         m = model(path)
         for b in batches:
-            blobs = b.column(b.schema.get_field_index(ids)).to_pylist()
-            texts = [m.decode(np.frombuffer(x or b"", "<u4")) for x in blobs]
-            yield pa.record_batch({c: b.column(i) for i, c in enumerate(cols)} | {"decoded": pa.array(texts, pa.string())})
+            texts = _read_back(m, b.column(b.schema.get_field_index(ids)).to_pylist())
+            yield pa.record_batch({c: b.column(i) for i, c in enumerate(cols)} | {"decoded": texts})
 
     return encoded.mapInArrow(run, fields + ", decoded string")

@@ -26,8 +26,7 @@ def op1_toxicity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
-    path = tokenizer_path("piece_bpe_32k.model")
-    e = pieces.decode(pieces.encode(_docs(spark, d), path), path)
+    e = pieces.encode(_docs(spark, d), tokenizer_path("piece_bpe_32k.model"), decoded=True)
     return e.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_ids"),

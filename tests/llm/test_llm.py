@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siteseer.llm import _dist, _lookup, _text, chat, fingerprint, jaccard, packing, pieces, quality, repeats, shards, toxicity, urlfilter
+from siteseer.llm import _dist, _lookup, _text, chat, fingerprint, jaccard, packing, pieces, quality, registry, repeats, shards, toxicity, urlfilter
 from siteseer.llm.registry import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -168,6 +168,23 @@ def test_pieces_equal_the_library(spark):
     assert pieces.encode(docs.where("false"), path).count() == 0
 
 
+def test_pieces_are_read_back_by_their_worker(spark, tmp_path):
+    """The same rows as by two operators, and one step of Python in the query's plan: a task has one worker with the tables."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    docs = frame(spark, [*awkward(6), "日本𐍈 <s>\u2581x", None])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    one = registry.op2_sentencepiece(spark, str(tmp_path))
+    assert one._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    two = pieces.decode(pieces.encode(docs, path), path).collect()
+    assert Counter(tuple(r) for r in pieces.encode(docs, path, decoded=True).collect()) == Counter(tuple(r) for r in two)
+    got = {r["doc_id"]: r for r in one.collect()}
+    assert len(got) == len(two)
+    for r in two:
+        x = got[r["doc_id"]]
+        assert (x["n_ids"], x["ids_crc32"]) == (len(r["ids"]) // 4, zlib.crc32(r["ids"]))
+        assert x["decoded_sha256"] == hashlib.sha256(r["decoded"].encode()).hexdigest() and x["round_trip"] == (r["decoded"] == (r["text"] or ""))
+
+
 def test_pieces_survive_colliding_keys():
     """A substring whose hash meets another piece's key does not get that piece."""
     from sentencepiece import SentencePieceProcessor
