@@ -44,6 +44,18 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Rows of one batch of the Parquet reader: it holds whole texts on the heap, in arrays that double as they grow.
+READ_ROWS = 256
+
+
+def small_reads(df: DataFrame) -> DataFrame:
+    """Bounds the memory of tasks that read whole texts; returns ``df``.  As with ``small_batches``, a lower limit stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.parquet.columnarReaderBatchSize"
+    if int(conf.get(key)) > READ_ROWS:
+        conf.set(key, READ_ROWS)
+    return df
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession

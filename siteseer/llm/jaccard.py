@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._dist import bucket_count, connected_components, discard, least_of_component, small_batches, stash, text_bytes
+from ._dist import bucket_count, connected_components, discard, least_of_component, small_batches, small_reads, stash, text_bytes
 from ._lookup import Found, Turn, by_turns, turns, without
 from ._text import LOWER, U, chunks, deltas, doc_of, flat, mix, pack, release, unpack, windows, words
 
@@ -559,7 +559,7 @@ def verify(docs: DataFrame, units: DataFrame, k: int, pct: int) -> DataFrame:
 
 def join_components(docs: DataFrame, k: int = 4, pct: int = 85, doc_id: str = "doc_id", text: str = "text", orders: int = ORDERS, block: int = BLOCK, share: float = COMMON) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, one row per row of ``docs``."""
-    docs = small_batches(docs).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    docs = small_reads(small_batches(docs)).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     live = docs.where(F.col("doc_id").isNotNull())
     n_docs, size = text_bytes(live)
     surveyed = stash(survey(live, k, share), "survey")

@@ -562,6 +562,22 @@ def test_keep_one_judges_rows(spark):
     assert jaccard.keep_one(equal).count() == 1 and jaccard.keep_one(equal.where("false")).count() == 0
 
 
+def test_join_reads_few_texts_at_once(spark, tmp_path):
+    """The reader's batches are bounded for the passes over the texts, a lower bound stays, and rows are the same."""
+    key, texts = "spark.sql.parquet.columnarReaderBatchSize", awkward(8) * 20
+    frame(spark, texts).coalesce(1).write.parquet(f"{tmp_path}/d")
+    docs, before = spark.read.parquet(f"{tmp_path}/d"), spark.conf.get(key)
+    got = []
+    try:
+        for rows, bound in ((4096, _dist.READ_ROWS), (7, 7)):
+            spark.conf.set(key, rows)
+            got.append(sorted(tuple(r) for r in jaccard.join_components(docs).collect()))
+            assert int(spark.conf.get(key)) == bound
+    finally:
+        spark.conf.set(key, before)
+    assert got[0] == got[1] and len(got[0]) == len(texts)
+
+
 def test_lookups_do_not_move_texts(spark, monkeypatch):
     """However large a lookup is, texts are not shuffled for it; turns and bitmaps give the same result."""
     texts = awkward(6) + [f"{t} and one more word" for t in awkward(6)[:40] if t and len(t) < 5000] + awkward(6)
